@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, toxicity
+from . import html, lines, mixing, packing, quality, simhash, substring, toxicity, urls, winnow
 from .common import table
 
 
@@ -28,6 +28,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Host and path rules with their verdicts.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -36,9 +56,31 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op7_best_fit_packing, op8_source_mixing)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_document_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_best_fit_packing, op8_source_mixing, op9_html_extraction, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {
+    "op10_substring_dedup": r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+), words as (select doc_id, unnest(w) word, unnest(range(len(w))) i from docs
+), starts as (select doc_id, w, unnest(range(greatest(len(w) - 49, 0))) s from docs
+), keyed as (select doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) k from starts
+), least as (select k, min(doc_id) first from keyed group by k
+), hits as (select doc_id, s from keyed join least using (k) where doc_id > first
+), gone as (select distinct doc_id, unnest(range(s, s + 50)) i from hits
+), kept as (
+  select doc_id, count(g.i) n_removed, string_agg(word, ' ' order by i) filter (g.i is null) t
+  from words left join gone g using (doc_id, i) group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from docs d left join kept using (doc_id)
+""",
     "op8_source_mixing": r"""
 with base as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size from documents
