@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .winnow import words_of
 
-SKETCH = 1 << 16
+SKETCH = 1 << 13
 HASH_BITS, TOP = 43, (1 << 20) - 1
 
 
@@ -39,13 +39,12 @@ def _bucket(h: Column) -> Column:
 
 
 def sketch(texts: DataFrame) -> Column:
-    """How often words of each of SKETCH hash buckets occur, as a scalar subquery of one array."""
-    spark = texts.sparkSession
+    """How often words of each of SKETCH hash buckets occur: SKETCH numbers, whatever the input, as one constant array."""
     words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).select(_bucket(_hash(F.col("word"))).alias("bucket"))
-    counts = words.groupBy("bucket").agg(F.count("*").alias("n")).unionByName(spark.range(SKETCH).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n")))
-    counts = counts.groupBy("bucket").agg(F.least(F.sum("n"), F.lit(TOP)).alias("n"))
-    one = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("n"))
-    return cut(one).scalar()
+    counts = [0] * SKETCH
+    for r in words.groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        counts[r["bucket"]] = min(r["n"], TOP)
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
 
 
 def by_rarity(line: Column, counts: Column) -> Column:

@@ -4,8 +4,9 @@ A rule names a host and the start of a path and holds for the host's subdomains
 longest that fits decides. Where none fits, hosts decide: personalised PageRank from the
 trusted hosts follows links, distrust from the blocked hosts follows them backwards (who
 links to a blocked host shares in it), and a host is blocked if its distrust exceeds its trust
-by more than ``margin``. Hosts that neither reaches are allowed. Links are counted
-per pair of hosts before anything is joined, so a hot host is one row per partner.
+by more than ``margin``. A host is a trusted (blocked) seed if rules allow (block) more than
+half of its pages. Hosts that neither reaches are allowed. Links are counted per pair of
+hosts before anything is joined, so a hot host is one row per partner.
 
 Defined results: null url, or one without "://", has empty host and path, fits no rule and
 is allowed; null html has no links; links to the own host don't count; repeated rows are judged
@@ -84,16 +85,17 @@ def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float =
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path"), "rule")).withColumn("ruled", longest_rule(rules, F.col("host"), F.col("path"), "verdict"))
-    known = cut(seen.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")))
-    total = known.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
+    share = lambda verdict: F.avg(F.when(F.col("ruled") == verdict, 1.0).otherwise(0.0)) > 0.5
+    known = cut(seen.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
+    total = known.agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad")).first()
 
-    def seeds(column: str, whole: int | None) -> DataFrame:
-        return known.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(whole or 1))).alias("seed"))
+    def seeds(column: str) -> DataFrame:
+        return known.where(column).select("host", F.lit(1.0 / max(total[column], 1)).alias("seed"))
 
     edges = cut(host_edges(pages.select("url", "html")))
-    trust = propagate(edges, seeds("good", total["g"]), damping, rounds)
+    trust = propagate(edges, seeds("good"), damping, rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, seeds("bad", total["b"]), damping, rounds)
+    distrust = propagate(back, seeds("bad"), damping, rounds)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     blocked = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).where(F.col("distrust") > F.col("trust") + margin).select(F.col("host").alias("blocked"))
     x = seen.join(blocked, F.col("host") == F.col("blocked"), "left")

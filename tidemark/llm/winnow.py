@@ -46,22 +46,21 @@ def _grams(words: str, k: int) -> Column:
     return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: gram(i.cast("bigint"))))
 
 
-def _least_of_windows(grams: str, window: int) -> Column:
-    """The least number of every window, found by doubling: of 2 neighbours, of 4, and so on."""
-    g, width = F.col(grams), 1
+def winnow(df: DataFrame, text: str, out: str, k: int = 5, window: int = 8) -> DataFrame:
+    """``df`` with the chosen grams of column ``text`` as array<bigint> ``out``, by position.
+
+    The least of every window is found by doubling: of 2 neighbours, of 4, and so on. Each
+    step is a column of its own, so that Spark works it out once."""
+    x = df.withColumn("__words", words_of(F.coalesce(F.col(text), F.lit(""))))
+    x = x.withColumn("__grams", _grams("__words", k)).withColumn("__least", F.col("__grams"))
+    width, g = 1, F.col("__least")
     while width < window:
         step = min(width, window - width)
-        n = F.size(F.col(grams)) - (width + step - 1)
-        g = F.zip_with(F.slice(g, F.lit(1), n), F.slice(g, F.lit(step + 1), n), lambda a, b: F.least(a, b))
+        n = F.greatest(F.size("__grams") - (width + step - 1), F.lit(0))
+        x = x.withColumn("__least", F.zip_with(F.slice(g, F.lit(1), n), F.slice(g, F.lit(step + 1), n), lambda a, b: F.least(a, b)))
         width += step
-    return F.array_distinct(F.when(F.size(F.col(grams)) > window, g).when(F.size(F.col(grams)) > 0, F.array(F.array_min(F.col(grams)))).otherwise(F.col(grams)))
-
-
-def winnow(df: DataFrame, text: str, out: str, k: int = 5, window: int = 8) -> DataFrame:
-    """``df`` with the chosen grams of column ``text`` as array<bigint> ``out``, by position."""
-    x = df.withColumn("__words", words_of(F.coalesce(F.col(text), F.lit(""))))
-    x = x.withColumn("__grams", _grams("__words", k))
-    return x.withColumn(out, _least_of_windows("__grams", window)).drop("__words", "__grams")
+    every = F.when(F.size("__grams") > window, g).when(F.size("__grams") > 0, F.array(F.array_min("__grams"))).otherwise(F.col("__grams"))
+    return x.withColumn(out, F.array_distinct(every)).drop("__words", "__grams", "__least")
 
 
 def hashes(chosen: Column) -> Column:
