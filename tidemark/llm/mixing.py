@@ -72,4 +72,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows, with all columns of ``docs``, each as often as it is taken."""
     n = copies(docs, **options).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), "copies")
     x = docs.alias("d").join(n.alias("n"), F.expr("d.doc_id <=> n.id and d.source <=> n.src"))
-    return x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n.copies")))).select("d.*")
+    return x.select("d.*", F.explode(F.sequence(F.lit(1), F.col("n.copies"))).alias("__copy")).drop("__copy")
