@@ -64,7 +64,8 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 5, window: int = 8) -> D
 
 
 def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda g: F.shiftright(g, PLACE_BITS)))
+    """The distinct hashes of chosen grams, their upper 31 bits: enough to compare two documents, and half to send."""
+    return F.array_distinct(F.transform(chosen, lambda g: F.shiftright(g, PLACE_BITS + 8).cast("int")))
 
 
 def written(chosen: Column) -> Column:
@@ -96,14 +97,16 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = 5, window: int = 8) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    own = winnow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "chosen", k, window)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # shuffled once: both joins read the same exchange
     to = next_ids(docs.select("doc_id", "text")).select(F.col("next"), F.col("doc_id").alias("to"), "need")
-    sent = own.join(to, F.col("doc_id").eqNullSafe(F.col("next"))).select("to", F.xxhash64("text").alias("h"), F.expr("substring(text, 1, need)").alias("start"), hashes(F.col("chosen")).alias("next_hashes"))
+    sent = winnow(base.join(to, F.col("doc_id").eqNullSafe(F.col("next"))).select("to", "text", "need"), "text", "chosen", k, window)
+    sent = sent.select("to", F.xxhash64("text").alias("h"), F.expr("substring(text, 1, need)").alias("start"), hashes(F.col("chosen")).alias("next_hashes"))
     sent = sent.groupBy("to").agg(F.min(F.struct("h", "start", "next_hashes")).alias("m")).select("to", "m.start", "m.next_hashes")
-    x = own.join(sent, F.col("doc_id").eqNullSafe(F.col("to")))
+    x = base.join(sent, F.col("doc_id").eqNullSafe(F.col("to")))
     x = x.withColumn("n_chars", F.length("text").cast("long")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
     x = x.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - third as int)), substring(start, 1, third))"))
-    x = winnow(x.select("doc_id", "n_chars", "edited", "chosen", "next_hashes"), "edited", "edited_chosen", k, window)
+    x = winnow(x, "text", "chosen", k, window).select("doc_id", "n_chars", "edited", "chosen", "next_hashes")
+    x = winnow(x, "edited", "edited_chosen", k, window)
     x = x.withColumn("own_hashes", hashes(F.col("chosen"))).withColumn("edited_hashes", hashes(F.col("edited_chosen")))
     return x.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("chosen")).alias("fingerprint"), written(F.col("edited_chosen")).alias("edited_fingerprint"),
