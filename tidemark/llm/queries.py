@@ -20,7 +20,7 @@ def word_tokenizer() -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return x.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", "llr_per_word")
+    return x.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted", "llr_per_word")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,25 @@ with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-
   from words left join gone g using (doc_id, i) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from docs d left join kept using (doc_id)
+""",
+    "op3_line_dedup": r"""
+with docs as (select doc_id, text, string_split(text, chr(10)) ls from documents
+), lines as (select doc_id, unnest(range(len(ls))) line_no, unnest(ls) line from docs where doc_id is not null and text is not null
+), words as (select doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') w from lines
+), sets as (select doc_id, line_no, unnest(list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) s from words where len(w) > 0
+), sizes as (select doc_id, line_no, count(*) n from sets group by all
+), common as (
+  select b.doc_id, b.line_no, a.doc_id a_doc, a.line_no a_line, count(*) c
+  from sets a join sets b on a.s = b.s and (a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)) group by all
+), gone as (
+  select distinct c.doc_id, c.line_no from common c
+  join sizes x on x.doc_id = c.doc_id and x.line_no = c.line_no join sizes y on y.doc_id = a_doc and y.line_no = a_line where 5 * c >= 4 * (x.n + y.n - c)
+), kept as (
+  select doc_id, string_agg(line, chr(10) order by line_no) filter (g.doc_id is null) t, count(g.doc_id) r
+  from lines left join gone g using (doc_id, line_no) group by doc_id
+)
+select d.doc_id, case when text is not null then coalesce(t, case when k.doc_id is null then text else '' end) end text,
+  coalesce(len(ls), 0) n_lines, coalesce(r, 0) n_lines_removed from docs d left join kept k using (doc_id)
 """,
     "op8_source_mixing": r"""
 with base as (
