@@ -34,8 +34,9 @@ def gap_fill(scored: DataFrame, threshold: float | Column) -> DataFrame:
     A gap under 500 bases is filled at every 50; a longer one by as many steps as the score is
     above the threshold in units of 0.05, from the one side, the other, or both. The steps count
     from 1 to that number, downwards if it is 0."""
-    t = F.lit(threshold) if isinstance(threshold, float | int) else threshold
     x = with_neighbours(scored.select("chrom", "start", "score"), "chrom", "start", ["start", "score"]).where("next is not null")
+    x = x.withColumn("t", F.lit(threshold) if isinstance(threshold, float | int) else threshold)
+    t = F.col("t")
     x = x.withColumn("gap", F.col("next.start") - F.col("start")).where(F.col("gap") > STEP)
 
     def steps(score: Column) -> Column:
