@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.functions.scalar import laplace_quantile, logistic_scale
 from tidemark.operators import calling, fdr, features, models, mvlaplace, noise, peaks, scan, smoothing
 from tidemark.plans import pipeline
 from tidemark.sources import sinks, tensors, tracks
+from tidemark.streaming.bins import fine_bin_updates
 
 SF = "/root/testdata/sf0.001"
 TRACK = "chrom string, start long, end long, value double, strand string"
@@ -70,7 +72,7 @@ def test_noise(spark):
     sigma = d[d <= 5 * math.sqrt(2) * d.mean()].mean()
     got = noise.min_score_row(rows).first()
     assert math.isclose(got["sigma"], sigma) and math.isclose(got["min_score"], sigma * math.log(1000))
-    assert spark.range(1).select(noise.laplace_quantile(F.lit(0.5))).first()[0] == 0
+    assert spark.range(1).select(laplace_quantile(F.lit(0.5))).first()[0] == 0
     assert noise.laplace_sigma(rows.where("score > 0")).first()["sigma"] is None
     s = v[2::2]
     starts = np.arange(len(v)) * 10
@@ -230,6 +232,26 @@ def test_pipeline(spark, tmp_path):
         sinks.write_bed(out.raw, "x.bed")
 
 
+def test_logistic_scale(spark):
+    x = spark.createDataFrame([([0.0, 5.0, 100.0],), ([0.0, 0.0, 0.0],)], "b array<double>").select(logistic_scale(F.col("b")).alias("s")).collect()
+    for r, b in zip(x, ([0.0, 5.0, 100.0], [0.0] * 3)):
+        assert np.allclose(r["s"], features.logistic(np.array([b]))[0])
+    assert np.allclose(x[1]["s"], 0.01) and np.isclose(x[0]["s"][1], 0.5)
+
+
+def test_stream(spark, tmp_path):
+    """Bins of a track that arrives in two files."""
+    rows = spark.createDataFrame([("a", 0, 120, 1.0, "+"), ("a", 40, 60, 2.0, "-"), ("b", 10, 11, 3.0, "+"), ("a", 110, 115, 1.0, "+")], TRACK)
+    for i in (0, 1):
+        rows.where(f"start % 20 = {i} * 10").write.mode("append").parquet(f"{tmp_path}/in")
+    stream = fine_bin_updates(spark.readStream.schema(TRACK).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("memory").queryName("bins").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["chrom"], r["bin"]): (r["plus"], r["minus"]) for r in spark.table("bins").collect()}
+    assert got == {("a", 0): (50, 20), ("a", 1): (50, 20), ("a", 2): (25, 0), ("b", 0): (3, 0)}
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLOOR_VALUE = 0.01
+from ..functions.scalar import FLOOR_VALUE
+
 TILE = 1 << 20
 
 
@@ -18,12 +19,6 @@ def reach(windows, halves) -> int:
     return max(w * h for w, h in zip(windows, halves))
 
 
-def logistic_column(bins: Column) -> Column:
-    """Array scaled so that 0 becomes 0.01 and a twentieth of the maximum becomes one half."""
-    m = F.when(F.array_max(bins) == 0, F.lit(1.0)).otherwise(0.05 * F.array_max(bins))
-    return F.transform(bins, lambda x: 1 / (1 + F.exp(-(F.lit(math.log(1 / FLOOR_VALUE - 1)) / m) * (x - m))))
-
-
 def logistic(bins: np.ndarray) -> np.ndarray:
     top = bins.max(1, keepdims=True)
     m = np.where(top == 0, 1.0, 0.05 * top)

@@ -7,16 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import with_neighbours
+from ..functions.scalar import laplace_quantile
+from .ordered import ranked, with_neighbours
 
 TAIL = 0.001
 
 
-def laplace_quantile(p: Column, m: float = 0.0, s: Column | float = 1.0) -> Column:
-    s = F.lit(s) if isinstance(s, float | int) else s
-    return F.when(p < 0.5, m + s * F.log(2 * p)).otherwise(m - s * F.log(2 * (1 - p)))
-
-
 def noise_counts(scored: DataFrame) -> DataFrame:
     """One row: negative, zero and noise (each negative, its mirror image, each zero) counts."""
     x = scored.where(~F.isnan("score")).agg(F.count_if(F.col("score") < 0).alias("negative"), F.count_if(F.col("score") == 0).alias("zero"))
@@ -55,8 +51,6 @@ def thinned(scored: DataFrame, distance: int = 20) -> DataFrame:
     x = with_neighbours(scored.select("chrom", "start", "score"), "chrom", "start", ["start"])
     x = with_neighbours(x.select("chrom", "start", "score", F.col("prev.start").alias("p")), "chrom", "start", ["start", "p"])
     x = x.where(F.col("start") - F.col("prev.p") == distance).select("chrom", "start", "score")
-    from .ordered import ranked
-
     x = ranked(x, F.col("chrom"), F.col("start"))
     return x.where("rank % 2 = 1").select(((F.col("rank") + 1) / 2).cast("bigint").alias("idx"), "score")
 
