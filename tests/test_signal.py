@@ -40,6 +40,13 @@ def _scored(spark, rows):
     return spark.createDataFrame([("chr1", int(s), int(s) + e, float(v)) for s, e, v in rows], "chrom string, start long, end long, score double")
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+def test_query_runs(spark, name):
+    """Queries beyond SQL; what they are made of has tests of its own."""
+    x = queries.QUERIES[name](spark, SF)
+    assert x.columns and x.count() > 0
+
+
 def test_broad_peaks(spark):
     rows = _scored(spark, [(s, 0, 1) for s in (200, 400, 600, 2100, 2300)])
     assert [tuple(r) for r in peaks.broad_peaks(rows).collect()] == [("chr1", 150, 650)]

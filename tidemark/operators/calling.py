@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .fdr import significant
 from .intervals import overlap_join
 from .models import Forest
@@ -89,13 +90,13 @@ def profiles(dense: DataFrame, broad: DataFrame, floor: Column | float, width: i
     spans = broad.where(F.col("max") >= floor).select("chrom", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
     x = overlap_join(dense.select("chrom", "start", "score"), spans).withColumn("peak", F.struct("chrom", "span_start"))
     size = x.groupBy("peak").agg(F.count("*").alias("n"), F.max("score").alias("top")).where((F.col("n") > 3) & (F.col("top") > floor))
-    x = x.join(size.select("peak", "n"), "peak").select("peak", "start", "score", "n")
+    x = kept(x.join(size.select("peak", "n"), "peak").select("peak", "start", "score", "n"))
 
     def shaped(rows: DataFrame, w: int) -> DataFrame:
         rows = derivative(smooth(rows, "peak", "start", "score", "y", w, kind), "peak", "start", "y", "slope")
         return smooth(rows, "peak", "start", "slope", "turn", w, kind) if width > 1 else rows.withColumn("turn", F.col("slope"))
 
-    x = shaped(x.where(F.col("n") > width), width).unionByName(shaped(x.where(F.col("n") <= width), 3))
+    x = kept(shaped(x.where(F.col("n") > width), width).unionByName(shaped(x.where(F.col("n") <= width), 3)))
     top = local_maxima(x, "peak", "start", "y", "turn", floor).select("peak", F.col("start").alias("at"))
     maxima = top.groupBy("peak").agg(F.array_sort(F.collect_list("at")).alias("maxima"))
     rows = x.groupBy("peak").agg(F.array_sort(F.collect_list(F.struct("start", "y", "score"))).alias("p"))
@@ -127,6 +128,6 @@ def raw_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest,
 def call_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, width: int = 4, kind: int = 2, method: str = "fdr", threshold: float = 0.05, cov: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
     """All summits, and the significant ones as chrom, start, end, score, prob, center."""
     cov = covariance_matrix(dense) if cov is None else cov
-    raw = raw_peaks(dense, broad, floor, forest, cov, width, kind)
-    kept = significant(raw, method, threshold)
-    return raw, kept.select("chrom", "start", "end", "score", F.col("adj_p").alias("prob"), F.col("original_mode").alias("center"))
+    raw = kept(raw_peaks(dense, broad, floor, forest, cov, width, kind))
+    found = significant(raw, method, threshold)
+    return raw, found.select("chrom", "start", "end", "score", F.col("adj_p").alias("prob"), F.col("original_mode").alias("center"))

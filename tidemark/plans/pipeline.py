@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import calling, features, peaks, scan
 from ..operators.models import Forest, Svr
 from ..sources import sinks, tensors, tracks
+from ..sources.shared import kept
 
 
 @dataclass
@@ -23,28 +21,17 @@ class Result:
     min_score: float
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: scoring must not run twice, and lost executors must not cost it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run(track: DataFrame, svr: Svr, forest: Forest, sizes: DataFrame | None = None, method: str = "fdr", threshold: float = 0.05, width: int = 4, backend: str = "numpy64", or_depth: float = 2) -> Result:
     """Frames of dense positions, all summits and significant peaks; empty frames where there are none."""
     positions = scan.informative_positions(track, sizes, or_depth)
-    score = lambda p: _kept(features.scored(p, track, svr, backend))
+    score = lambda p: kept(features.scored(p, track, svr, backend))
     dense, broad, floor = peaks.dense_positions(score(positions), score)
-    dense, broad = _kept(dense), _kept(broad)
+    dense, broad = kept(dense), kept(broad)
     least = dense.sparkSession.range(1).select(floor.alias("f")).first()["f"]
     if least is None or least != least:
         raise ValueError("could not estimate finite min_score: no scores at or below zero")
-    raw, kept = calling.call_peaks(dense, broad, float(least), forest, width, 2, method, threshold)
-    raw = _kept(raw)
-    return Result(dense, raw, calling.significant(raw, method, threshold).select("chrom", "start", "end", "score", F.col("adj_p").alias("prob"), F.col("original_mode").alias("center")), float(least))
+    raw, found = calling.call_peaks(dense, broad, float(least), forest, width, 2, method, threshold)
+    return Result(dense, raw, found, float(least))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, fdr, features, intervals, models, noise, peaks, scan, smoothing
+from .operators import calling, evaluation, fdr, features, intervals, models, mvlaplace, noise, peaks, scan, smoothing
+from .plans import pipeline
 from .sources import tracks
+from .sources.shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,3 +413,48 @@ select event_type, round(q1, 9) q1, round(median, 9) median, round(q3, 9) q3, mi
 def five_numbers(spark, d):
     x = evaluation.five_numbers(spark.read.parquet(f"{d}/events.parquet"), "value", "event_type")
     return x.select("event_type", *[F.round(c, 9).alias(c) for c in ("q1", "median", "q3")], "low", "high", "outliers")
+
+
+def valley_forest() -> models.Forest:
+    """One tree over a valley's ten features: deep valleys (the last feature) split, others merge."""
+    row = lambda *v, t=int: np.array([v], t)
+    return models.Forest(row(-3, -1, -1), row(10, 0, 0), row(0.5, 0, 0, t=float), row(2, 0, 0), row(3, 0, 0), row(0, 0.2, 0.8, t=float))
+
+
+COVARIANCE = 0.02 * np.eye(5) + 0.01
+
+
+def _dense(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = kept(_ev_scored(spark, d))
+    dense = kept(s.unionByName(tracks.proxy_scores(peaks.gap_fill(s, 0.2))))
+    return dense, kept(peaks.summary(dense, peaks.broad_peaks(dense)))
+
+
+@query()
+def summits(spark, d):
+    return calling.raw_peaks(*_dense(spark, d), 0.05, valley_forest(), COVARIANCE)
+
+
+@query()
+def called_peaks(spark, d):
+    return calling.call_peaks(*_dense(spark, d), 0.05, valley_forest(), threshold=1.0, cov=COVARIANCE)[1]
+
+
+@query()
+def mvlaplace_p(spark, d):
+    """P-values of five neighbouring scores of each chrom's first positions."""
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return pd.Series([1 - mvlaplace.laplace_box(v, COVARIANCE) for v in x])
+
+    x = _ev_scored(spark, d).where("start < 200000").withColumn("k", F.floor(F.col("start") / 1000))
+    five = x.groupBy("chrom", "k").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "score"))), 1, 5).alias("s")).where(F.size("s") == 5)
+    return five.select("chrom", "k", p("s.score").alias("p"))
+
+
+@query()
+def pipeline_e2e(spark, d):
+    """Scan, scores, gap filling and densifying over the events track, through to peaks, with a regressor of eight support vectors; its dense positions."""
+    e = np.arange(8 * 60, dtype=float).reshape(8, 60)
+    svr = models.Svr((e * 7919 % 101) / 101, (np.arange(8) * 37 % 11 - 5) / 5, 1 / 64, 0.1, windows=(10, 50), halves=(5, 10))
+    return pipeline.run(tracks.events_track(spark, d), svr, valley_forest(), threshold=1.0, or_depth=2000).dense
