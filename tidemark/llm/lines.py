@@ -1,16 +1,21 @@
 """Line dedup: an exact set-similarity join over all lines of all documents.
 
-Lines are sets of words. Of equal lines only the first goes on. The others' words are put in
-order of rarity (counts in a sketch of fixed size; any fixed order gives the same pairs, a
-rarer first just gives fewer candidates). Two lines with Jaccard index of at least
-``similarity`` must share a word among their first n - ceil(similarity * n) + 1; lines meet
-on those words if their lengths and the word's places still allow it, and are verified on
-their whole sets. A line with an earlier match (smaller doc_id, then earlier in the text)
-is removed.
-
-Each line is first held against the earliest line and its neighbour under each of its words;
-lines that have found a match then need no other. Only the rest are held against all, so a
-large group of near copies costs each of its lines a few comparisons.
+A line is the set of its five-word shingles (of fewer words: the whole line is one). Two lines
+with Jaccard index of at least ``similarity`` must share one of their first
+n - ceil(similarity * n) + 1 shingles in any fixed order of all shingles; lines meet on those if
+their lengths and the shingles' places still allow it, and are verified on their whole sets.
+A line with an earlier match (smaller doc_id, then earlier in the text) is removed.
+
+Shingles are so rare that most order nothing. Those under which more than ``busy`` lines meet are
+common passages or groups of near copies. There each line is first held against the earliest
+line and its neighbour only, which finds most matches in a few comparisons a line. Lines with
+a busy shingle then meet once more, now in order of rarity by exact counts among them, so
+that what many share comes last and is left out of the prefixes; only lines without a match so
+far are held against the others. A pair that only busy shingles join has both its lines
+there, so no pair is lost.
+
+Of equal lines only the first goes on. The most frequent ones, ``frequent`` at most, are known
+to every task and dropped before their shingles are made, the others after the first shuffle.
 
 Defined results: null text has no lines and stays null; a line without words always stays;
 rows with null doc_id stay whole and remove nothing; rows that share a doc_id are copies of
@@ -20,37 +25,42 @@ number that is removed is removed from each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .winnow import words_of
 
-SKETCH = 1 << 13
-HASH_BITS, TOP = 43, (1 << 20) - 1
-
-
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word)
+SHINGLE = 5
+#: Bits of the bitmaps that spare shuffling rows nobody asks for: fixed, whatever the input.
+BITS = 1 << 22
+LINE = ["doc_id", "line_no"]
 
 
-def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(SKETCH)).cast("int")
+def bitmap(df: DataFrame, *keys: str) -> Callable[..., Column]:
+    """A test whether keys may be among those of ``df``: BITS bits in one constant, never wrong about a key that is."""
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS)).cast("int")
+    x = df.select(slot(*keys).alias("s")).groupBy(F.expr("s div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
+    words = [0] * (BITS // 64)
+    for r in x.collect():  # at most BITS / 64 rows
+        words[r["at"]] = r["bits"]
+    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
+    def test(*columns: Column | str) -> Column:
+        s = slot(*columns)
+        return F.getbit(F.get(held, F.shiftright(s, 6)), F.pmod(s, F.lit(64))) == 1
 
-def sketch(texts: DataFrame) -> Column:
-    """How often words of each of SKETCH hash buckets occur: SKETCH numbers, whatever the input, as one constant array."""
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).select(_bucket(_hash(F.col("word"))).alias("bucket"))
-    counts = [0] * SKETCH
-    for r in words.groupBy("bucket").agg(F.count("*").alias("n")).collect():
-        counts[r["bucket"]] = min(r["n"], TOP)
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+    return test
 
 
-def by_rarity(line: Column, counts: Column) -> Column:
-    """The distinct words of a line as numbers, the rarest first: count above, 43 bits of the hash below."""
-    numbers = F.transform(words_of(line), lambda w: F.shiftleft(F.get(counts, _bucket(_hash(w))), HASH_BITS).bitwiseOR(F.shiftrightunsigned(_hash(w), 64 - HASH_BITS)))
-    return F.array_distinct(F.sort_array(numbers))
+def shingled(lines: DataFrame, out: str = "w") -> DataFrame:
+    """``lines`` with column ``line`` replaced by ``out``: the sorted hashes of its distinct shingles."""
+    x = lines.withColumn("__words", words_of(F.col("line")))
+    w = F.col("__words")
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+    return x.withColumn(out, F.array_distinct(F.sort_array(F.when(F.size(w) > 0, hashes).otherwise(F.array().cast("array<bigint>"))))).drop("__words", "line")
 
 
 def _before(a: str, b: str) -> str:
@@ -58,62 +68,81 @@ def _before(a: str, b: str) -> str:
 
 
 def _may(a: str, b: str, num: int, den: int) -> str:
-    """Whether sizes and places of a common prefix word allow num / den of similarity."""
-    rest = f"1 + least({a}n - {a}at, {b}n - {b}at) - 1"
-    return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * ({rest}) >= {num} * ({a}n + {b}n)"
-
-
-def _matched(docs: DataFrame, pairs: DataFrame, counts: Column, num: int, den: int) -> DataFrame:
-    """The later lines (doc_id, line_no) of the pairs that are similar."""
-    pairs = cut(pairs)
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no"))).distinct()
-    asked = ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("asked"))
-    sets = docs.join(asked, "doc_id").withColumn("lines", F.split("text", "\n")).select("doc_id", F.explode("asked").alias("line_no"), "lines")
-    sets = cut(sets.select("doc_id", "line_no", by_rarity(F.get("lines", F.col("line_no")), counts).alias("w")).dropDuplicates(["doc_id", "line_no"]))
+    """Whether sizes and places of a common shingle allow num / den of similarity."""
+    return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * least({a}n - {a}at, {b}n - {b}at) >= {num} * ({a}n + {b}n)"
+
+
+def _prefix(n: Column, num: int, den: int) -> Column:
+    return (n - F.floor((num * n + (den - 1)) / den) + 1).cast("int")
+
+
+def _pairs(posted: DataFrame, later: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (line, a_doc, a_line) of a line of ``later`` and an earlier one of ``posted`` that a shingle joins and the filters leave."""
+    a = posted.select("word", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "line_no", "n", "at")])
+    x = later.join(a, "word").where(f"{_before('a_', '')} and {_may('a_', '', num, den)}")
+    return x.select(*LINE, F.col("a_doc_id").alias("a_doc"), F.col("a_line_no").alias("a_line"))
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The later lines of the pairs that are similar."""
     a = sets.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("w").alias("a_w"))
     both = F.size(F.array_intersect("w", "a_w"))
-    x = pairs.join(sets, ["doc_id", "line_no"]).join(a, ["a_doc", "a_line"])
-    return x.where(den * both >= num * (F.size("w") + F.size("a_w") - both)).select("doc_id", "line_no").distinct()
+    x = pairs.join(sets, LINE).join(a, ["a_doc", "a_line"])
+    return x.where(den * both >= num * (F.size("w") + F.size("a_w") - both)).select(*LINE).distinct()
 
 
-def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 32, frequent: int = 10_000) -> DataFrame:
     """doc_id, line_no of every line with an earlier line of at least this similarity (a fraction)."""
     num, den = similarity
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    whole = F.btrim(F.col("line"), F.lit(" \t\x0b\x0c\r"))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(whole != "").select("doc_id", "line_no", F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
-    rows = cut(rows.distinct())
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    equal = cut(rows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("f")).select("doc_id", "line_no"))
-
-    counts = sketch(docs.select("text"))
-    known = equal.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    lines = docs.join(known, "doc_id", "left").select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.split("text", "\n").alias("lines"))
-    lines = lines.select("doc_id", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")).alias("left"))
-    lines = lines.select("doc_id", F.explode("left").alias("line_no"), "lines").select("doc_id", "line_no", by_rarity(F.get("lines", F.col("line_no")), counts).alias("w"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).where("line <> ''")
+    lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+
+    hashed = cut(lines.select(*LINE, "h1", "h2"))
+    repeated = cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("f"), F.count("*").alias("copies")).where("copies > 1"))
+    later = F.struct(*LINE) != F.col("f")
+    equal = cut(hashed.join(repeated, ["h1", "h2"]).where(later).select(*LINE))
+    most = repeated.orderBy(F.desc("copies"), "h1", "h2").limit(frequent).select("h1", "h2", "f")
+    # at most `frequent` rows of 28 bytes
+    rest = lines.join(F.broadcast(most), ["h1", "h2"], "left").where(F.col("f").isNull() | ~later).select(*LINE, "line")
+
     n = F.size("w")
-    prefix = n - F.expr(f"({num} * size(w) + {den - 1}) div {den}").cast("int") + 1
-    words = lines.where(n > 0).select("doc_id", "line_no", n.alias("n"), F.posexplode(F.slice("w", F.lit(1), prefix)).alias("at", "word"))
+    words = shingled(rest).withColumn("n", n).select(*LINE, "n", F.posexplode(F.slice("w", F.lit(1), _prefix(n, num, den))).alias("at", "word"))
     by_word = Window.partitionBy("word")
-    in_order = by_word.orderBy("doc_id", "line_no")
-    here = F.struct("doc_id", "line_no", "n", "at")
-    posted = words.withColumn("many", F.count("*").over(by_word)).where("many > 1")
-    posted = cut(posted.withColumn("first", F.first(here).over(in_order)).withColumn("last", F.lag(here).over(in_order)).drop("many"))
-
-    tried = posted.select("doc_id", "line_no", "n", "at", F.explode(F.array_distinct(F.array("first", "last"))).alias("a")).where("a is not null")
-    pairs = tried.where(f"{_before('a.', '')} and {_may('a.', '', num, den)}").select("doc_id", "line_no", F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line")).distinct()
-    found = cut(_matched(docs, pairs, counts, num, den))
-    rest = posted.drop("first", "last").join(found, ["doc_id", "line_no"], "left_anti")
-    every = posted.select("word", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "line_no", "n", "at")])
-    more = rest.join(every, "word").where(f"{_before('a_', '')} and {_may('a_', '', num, den)}").select("doc_id", "line_no", F.col("a_doc_id").alias("a_doc"), F.col("a_line_no").alias("a_line")).distinct()
-    late = _matched(docs, more.join(pairs, ["doc_id", "line_no", "a_doc", "a_line"], "left_anti"), counts, num, den)
+    in_order = by_word.orderBy(*LINE)
+    here = F.struct(*LINE, "n", "at")
+    met = cut(words.withColumn("many", F.count("*").over(by_word)).where("many > 1").drop("many"))
+    posted = met.join(equal, LINE, "left_anti").withColumn("many", F.count("*").over(by_word)).where("many > 1")
+    posted = posted.withColumn("a", F.when(F.col("many") > busy, F.array_distinct(F.array(F.first(here).over(in_order), F.lag(here).over(in_order)))))
+    posted = cut(posted)
+
+    few = posted.where(F.col("many") <= busy)
+    tried = posted.select(*LINE, "n", "at", F.explode("a").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    pairs = cut(_pairs(few, few, num, den).unionByName(tried.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"))).distinct())
+    ends = pairs.select(*LINE).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")))
+    crowd = cut(posted.where(F.col("many") > busy).select(*LINE).distinct())
+    asked = bitmap(ends.unionByName(crowd), *LINE)
+    sets = cut(shingled(rest.where(asked(*LINE))))
+    found = cut(_matched(pairs, sets, num, den))
+
+    own = sets.join(crowd, LINE, "left_semi").select(*LINE, F.size("w").alias("n"), F.explode("w").alias("word"))
+    counts = own.groupBy("word").agg(F.count("*").alias("many")).where("many > 1")
+    ordered = own.join(counts, "word", "left").groupBy(*LINE, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("w"))
+    again = ordered.select(*LINE, "n", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "x")).where("x.many > 1").select(*LINE, "n", "at", "x.word")
+    again = cut(again)
+    more = _pairs(again, again.join(found, LINE, "left_anti"), num, den).distinct().join(pairs, [*LINE, "a_doc", "a_line"], "left_anti")
+    late = cut(_matched(more, sets, num, den))
     return equal.unionByName(found).unionByName(late).distinct()
 
 
-def dedup(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def dedup(docs: DataFrame, similarity: tuple[int, int] = (4, 5), **options) -> DataFrame:
     """``docs`` with text less its removed lines, and the new columns n_lines and n_lines_removed, in place of any such."""
-    gone = removed(docs, similarity).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
-    x = docs.drop("n_lines", "n_lines_removed").join(gone, "doc_id", "left").withColumn("__lines", F.split("text", "\n"))
+    gone = removed(docs, similarity, **options).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
+    touched = F.coalesce(bitmap(gone, "doc_id")("doc_id"), F.lit(False)) & F.col("doc_id").isNotNull()
+    x = docs.drop("n_lines", "n_lines_removed")
+    # documents that lose nothing needn't be shuffled
+    x = x.where(touched).join(gone, "doc_id", "left").select(*x.columns, "__gone").unionByName(x.where(~touched).withColumn("__gone", F.lit(None).cast("array<int>")))
+    x = x.withColumn("__lines", F.split("text", "\n"))
     x = x.withColumn("__keep", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     x = x.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__keep", lambda i: F.get(F.col("__lines"), i)), "\n")))
     x = x.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("long")).withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
