@@ -166,4 +166,7 @@ def components(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, its smallest doc_id (of repeated rows, one), with all columns."""
     kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi").dropDuplicates(["doc_id"])
+    # by doc_id itself, so that the join and the last step share one shuffle of the texts
+    named = docs.where("doc_id is not null").join(kept.where("id is not null"), docs["doc_id"] == kept["id"], "left_semi")
+    nameless = docs.where("doc_id is null").join(kept.where("id is null"), docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["doc_id"]))
