@@ -132,6 +132,41 @@ def test_laplace_box():
     assert len(mvlaplace.mixing_grid()) == 290
 
 
+def test_mvlaplace_every_run(spark):
+    """Each five neighbours, far out and across tiles, not the first of a window or chrom."""
+    r = np.random.default_rng(4)
+    rows = [(c, int(s), float(v)) for c, n in (("a", 40), ("b", 5), ("c", 4)) for s, v in zip(np.sort(r.choice(3_000_000, n, False)), r.choice([-0.01, 0.2, 0.9], n))]
+    got = {(q["chrom"], q["start"]): q["p"] for q in mvlaplace.neighbour_p(spark.createDataFrame(rows, "chrom string, start long, score double"), queries.COVARIANCE, 100_000).collect()}
+    want = {}
+    for c in "abc":
+        own = [x for x in rows if x[0] == c]
+        for i in range(2, len(own) - 2):
+            want[c, own[i][1]] = 1 - mvlaplace.laplace_box([x[2] for x in own[i - 2 : i + 3]], queries.COVARIANCE)
+    assert len(want) == 37 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_whole_table_queries(spark):
+    """Every informative position has features, and every one but two at each end of a chrom a p-value."""
+    scored = queries._ev_scored(spark, SF)
+    n = {r["chrom"]: r["count"] for r in scored.groupBy("chrom").count().collect()}
+    assert max(n.values()) > 20
+    assert {r["chrom"]: r["count"] for r in queries.QUERIES["mvlaplace_p"](spark, SF).groupBy("chrom").count().collect()} == {c: k - 4 for c, k in n.items() if k > 4}
+    x = queries.QUERIES["logistic_features_all"](spark, SF)
+    assert {r["chrom"]: r["count"] for r in x.groupBy("chrom").count().collect()} == {c: 120 * k for c, k in n.items()}
+    track = tracks.events_track(spark, SF).toPandas()
+    base = track.assign(value=track["value"].abs()).groupby(["chrom", "strand", "start"])["value"].sum()
+    far = [r for r in scored.groupBy("chrom").agg(F.max("start").alias("start")).collect()]
+    for c, at in [(r["chrom"], r["start"]) for r in far[:2]]:
+        own = base[c]
+        sums = {k: np.zeros(at + 600) for k in "+-"}
+        for (k, s), v in own.items():
+            if s < at + 600:
+                sums[k][s] += v
+        want = features.features_of_center(lambda k, a, b: sums[k][a:b], at, queries.WINDOWS, queries.HALVES)
+        got = [r["f"] for r in x.where((F.col("chrom") == c) & (F.col("start") == at)).orderBy("k").collect()]
+        assert np.allclose(got, want, atol=1e-8)
+
+
 def test_features(spark):
     r = np.random.default_rng(1)
     at = np.unique(np.concatenate([r.normal(50_200, 150, 400), r.integers(0, 99_000, 300)]).astype(int))

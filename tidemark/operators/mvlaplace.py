@@ -9,6 +9,11 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .ordered import with_neighbours
 
 POINTS = 300
 
@@ -78,3 +83,21 @@ def laplace_box(x: np.ndarray, cov: np.ndarray, tolerance: float = 1e-6) -> floa
     rest = np.cumsum(weight[::-1])[::-1]
     use = (rest > tolerance) & (weight > 0)
     return float(min(1.0, (weight[use] * normal_box(cov, b / np.sqrt(z[:-1][use, None]))).sum()))
+
+
+def neighbour_p(scored: DataFrame, cov: np.ndarray, tile: int = 1 << 18) -> DataFrame:
+    """chrom, start, p: of every run of five neighbouring scores of a chrom, at the position of its third.
+
+    The integral is worked out once for each distinct run of scores."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return pd.Series([1 - laplace_box(v, cov) for v in x])
+
+    x = with_neighbours(scored.select("chrom", "start", "score"), "chrom", "start", ["score"], tile)
+    x = with_neighbours(x.select("chrom", "start", "score", F.col("prev").alias("a"), F.col("next").alias("b")), "chrom", "start", ["a", "b"], tile)
+    x = x.where(F.col("prev.a").isNotNull() & F.col("next.b").isNotNull())
+    x = x.select("chrom", "start", F.array("prev.a.score", "a.score", "score", "b.score", "next.b.score").alias("five"))
+    tasks = 4 * scored.sparkSession.sparkContext.defaultParallelism  # by number: few bytes, but much work a row
+    each = x.select("five").repartition(tasks, "five").distinct().withColumn("p", p("five"))
+    return x.join(each, "five").select("chrom", "start", "p")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,6 +212,14 @@ def logistic_features(spark, d):
     return x.select("chrom", "start", F.posexplode("features").alias("k", "f")).withColumn("f", F.round("f", 9))
 
 
+@query()
+def logistic_features_all(spark, d):
+    """The features of every informative position; ``logistic_features`` and its SQL take the first 20 of each chrom."""
+    t = tracks.events_track(spark, d)
+    x = features.with_features(scan.informative_positions(t, or_depth=2000), t, WINDOWS, HALVES)
+    return x.select("chrom", "start", F.posexplode("features").alias("k", "f")).withColumn("f", F.round("f", 9))
+
+
 @query(f"with track as ({EV}), per_base as (select chrom, pos, sum(abs(v)) v from track group by all) select chrom, pos start, cast(sum(v) over (partition by chrom order by pos) as bigint) total from per_base")
 def prefix_sum(spark, d):
     from .operators.ordered import running_sum
@@ -442,14 +449,8 @@ def called_peaks(spark, d):
 
 @query()
 def mvlaplace_p(spark, d):
-    """P-values of five neighbouring scores of each chrom's first positions."""
-    @F.pandas_udf("double")
-    def p(x: pd.Series) -> pd.Series:
-        return pd.Series([1 - mvlaplace.laplace_box(v, COVARIANCE) for v in x])
-
-    x = _ev_scored(spark, d).where("start < 200000").withColumn("k", F.floor(F.col("start") / 1000))
-    five = x.groupBy("chrom", "k").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "score"))), 1, 5).alias("s")).where(F.size("s") == 5)
-    return five.select("chrom", "k", p("s.score").alias("p"))
+    """P-values of every run of five neighbouring scores of a chrom, at the third of the five."""
+    return mvlaplace.neighbour_p(_ev_scored(spark, d), COVARIANCE)
 
 
 @query()
