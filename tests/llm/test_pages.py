@@ -108,6 +108,19 @@ def test_site_style_tree(spark):
     assert seen["two", 24] > 0.85 and len(seen) >= 4
 
 
+def test_repeated_in_article(spark):
+    """Unmarked blocks that a host's different articles repeat go, also among paragraphs; copies of one article stay whole."""
+    page = "<body><div>Top</div><article><p>Share this page</p><p>{a}</p><div class=x7>Partner {k}</div><p>{b}</p><p>{c}</p></article></body>"
+    rows = [(i, f"http://one/{i}", page.format(a=f"text {i}", b=f"more {i * 7}", c=f"of {i % 3}", k="offer")) for i in range(12)]
+    rows += [(i, f"http://mirror/{i}", page.format(a="same", b="text", c="here", k="offer")) for i in range(20, 32)]
+    rows += [(i, f"http://few/{i}", page.format(a=f"text {i}", b="b", c="c", k="offer")) for i in range(40, 43)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"text {i}\n\nmore {i * 7}\n\nof {i % 3}" for i in range(12))
+    assert all(got[i] == "Share this page\n\nsame\n\nPartner offer\n\ntext\n\nhere" for i in range(20, 32))
+    assert all(got[i] == f"Share this page\n\ntext {i}\n\nPartner offer\n\nb\n\nc" for i in range(40, 43))
+
+
 def brute_article(page):
     """The article of the synthetic pages, by plain string work."""
     import html as h

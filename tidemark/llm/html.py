@@ -5,9 +5,14 @@ Each page is parsed once into blocks of text, each with its node of the host's s
 contents and its presentations (inner tags) spread over pages; the importance of a node is
 the weighted mean of both normalised entropies: near 0 where pages repeat one another, 1 where
 each page has its own. Branches whose tag, role or class says what they are need no vote:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments go, an
-article or main element stays. All other branches go if their importance is below
-``least`` on a host where at least ``pages`` blocks show it.
+menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments go, and
+where a page has an article or main element, so does what is beside it. All other branches go if
+their importance is below ``least`` on a host where at least ``shown`` blocks show it.
+
+Within an article or main element the bar is higher. A node goes there if its importance is
+below ``article_least``, and so does a block whose text the same node has in more than ``repeated``
+of the host's different articles. Copies of one article are one article in both counts, and at
+least ``shown`` different articles must have the node or the text.
 
 Defined results: null or empty html gives an empty text; null url gives the empty host, whose
 pages form one site; repeated rows get a result each; text cut off inside a tag ends there.
@@ -141,7 +146,8 @@ def blocks(html: str) -> list[tuple[int, int, int, str]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, uid (unique), host; of every block node, content and shape; of the blocks that may stay vote (its node, null if tags decide) and text."""
+    """page_id, url, uid (unique), host; of every block node, content and shape; of the blocks that may stay vote (its node), said (its content)
+    and text. body is the hash of the page's article, null if it has none; with one, only its blocks may stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = TaskContext.get().partitionId() << 33
@@ -150,9 +156,10 @@ def parse(pages: DataFrame) -> DataFrame:
             for html in b["html"]:
                 found = blocks(html)
                 stay = [x for x in found if x[0] != DROP]
-                rows.append((n, [x[1] for x in found], [_hash(x[3]) for x in found], [x[2] for x in found], [None if x[0] == KEEP else x[1] for x in stay], [x[3] for x in stay]))
+                rows.append((n, [x[1] for x in found], [_hash(x[3]) for x in found], [x[2] for x in found], [x[1] for x in stay], [_hash(x[3]) for x in stay], [x[3] for x in stay], _hash(*(x[3] for x in stay)) if any(x[0] == KEEP for x in stay) else None))
                 n += 1
-            out = pd.DataFrame(rows, columns=["uid", "node", "content", "shape", "vote", "text"])
+            out = pd.DataFrame(rows, columns=["uid", "node", "content", "shape", "vote", "said", "text", "body"])
+            out["body"] = out["body"].astype("Int64")
             out.insert(0, "page_id", b["page_id"].astype("Int64") if kind == "bigint" else b["page_id"])
             out.insert(1, "url", b["url"])
             out.insert(2, "host", b["host"])
@@ -161,7 +168,7 @@ def parse(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInPandas(
-        run, f"page_id {kind}, url string, host string, uid long, node array<long>, content array<long>, shape array<long>, vote array<long>, text array<string>"
+        run, f"page_id {kind}, url string, host string, uid long, node array<long>, content array<long>, shape array<long>, vote array<long>, said array<long>, text array<string>, body long"
     )
 
 
@@ -177,15 +184,28 @@ def importance(parsed: DataFrame, content_weight: float = 0.9) -> DataFrame:
     return kinds.groupBy("host", "node").agg(F.max("shown").alias("shown"), F.sum(weight * F.col("entropy")).alias("importance"))
 
 
-def extract(pages: DataFrame, least: float = 0.3, shown: int = 4) -> DataFrame:
+def repeated_in_articles(parsed: DataFrame, least: float, shown: int, repeated: float) -> DataFrame:
+    """host, node, content of the blocks of articles that the host's different articles repeat."""
+    own = parsed.where("body is not null")
+    each = own.select("host", "body", F.explode(F.arrays_zip("vote", "said")).alias("b")).select("host", "body", F.col("b.vote").alias("node"), F.col("b.said").alias("content"))
+    texts = cut(each.groupBy("host", "node", "content").agg(F.count_distinct("body").alias("n")))
+    n, total = F.col("n").cast("double"), F.sum("n").cast("double")
+    spread = F.when(F.count("*") == F.sum("n"), F.lit(1.0)).otherwise((F.log(total) * total - F.sum(n * F.log(n))) / total / F.log(total))
+    low = texts.groupBy("host", "node").agg(F.sum("n").alias("shown"), spread.alias("importance")).where((F.col("shown") >= shown) & (F.col("importance") < least))
+    articles = own.groupBy("host").agg(F.count_distinct("body").alias("articles"))
+    often = texts.where(F.col("n") >= shown).join(articles, "host").where(F.col("n") > F.col("articles") * F.lit(repeated)).select("host", "node", "content")
+    return cut(texts.join(low.select("host", "node"), ["host", "node"]).select("host", "node", "content").unionByName(often).distinct())
+
+
+def extract(pages: DataFrame, least: float = 0.3, shown: int = 4, article_least: float = 0.1, repeated: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = cut(parse(pages))
     low = importance(parsed).where((F.col("shown") >= shown) & (F.col("importance") < least)).select("host", "node")
-    voted = parsed.where(F.exists("vote", lambda v: v.isNotNull()))
-    asked = voted.select("uid", "host", F.explode(F.array_distinct(F.filter("vote", lambda v: v.isNotNull()))).alias("node"))
-    gone = asked.join(low, ["host", "node"]).groupBy("uid").agg(F.collect_list("node").alias("gone"))
-    rest = F.filter(F.arrays_zip("vote", "text"), lambda b: b["vote"].isNull() | F.col("gone").isNull() | ~F.array_contains(F.col("gone"), b["vote"]))
-    judged = voted.join(gone, "uid", "left").select("page_id", "url", F.transform(rest, lambda b: b["text"]).alias("text"))
-    clear = parsed.where(~F.exists("vote", lambda v: v.isNotNull())).select("page_id", "url", "text")
-    out = clear.unionByName(judged).withColumn("text", F.array_join("text", "\n\n"))
+    blocks_of = lambda x: x.select("uid", "host", F.explode(F.arrays_zip("vote", "said")).alias("b")).select("uid", "host", F.col("b.vote").alias("node"), F.col("b.said").alias("content"))
+    outside = blocks_of(parsed.where("body is null")).join(low, ["host", "node"])
+    within = blocks_of(parsed.where("body is not null")).join(repeated_in_articles(parsed, article_least, shown, repeated), ["host", "node", "content"])
+    # written first, so that where few blocks go the texts need no shuffle
+    gone = cut(outside.unionByName(within.select(*outside.columns)).groupBy("uid").agg(F.collect_set(F.struct("node", "content")).alias("gone")))
+    rest = F.filter(F.arrays_zip("vote", "said", "text"), lambda b: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), F.struct(b["vote"].alias("node"), b["said"].alias("content"))))
+    out = parsed.join(gone, "uid", "left").select("page_id", "url", F.array_join(F.transform(rest, lambda b: b["text"]), "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
