@@ -51,6 +51,17 @@ def test_stages(spark):
     assert check_packing and texts and public_tokenizers
 
 
+def test_near_dedup_rows(spark):
+    """Unlike rows without a doc_id all stay, as do unlike texts under one; copies don't, with or without one."""
+    text = lambda k: " ".join(f"w{k}x{i * i % 97}" for i in range(60))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(10)), (7, text(11)), (7, text(11)), (8, text(12)), (None, text(12)), (9, text(12)), (None, text(20)), (None, text(20))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str)
+    assert got == sorted([*[(None, text(k)) for k in (0, 1, 2, 3, 4, 20)], (7, text(10)), (7, text(11)), (8, text(12))], key=str)
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 

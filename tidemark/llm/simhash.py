@@ -48,14 +48,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp."""
+def fingerprints(docs: DataFrame, shingle: int = 4, more: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, ``more``, fp."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t or "", shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return docs.select("doc_id", *more, of("text").alias("fp"))
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -152,21 +152,31 @@ def stars(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("u <> v").distinct())
 
 
+def rooted(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``nodes`` (fp, each once, and first) with root, the fingerprint that stands for its component."""
+    linked = stars(links(nodes.select("fp"), distance, blocks))
+    return nodes.join(linked, nodes["fp"] == linked["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+
+
 def components(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     marked = cut(fingerprints(docs, shingle))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = stars(links(nodes.select("fp"), distance, blocks))
-    part = cut(nodes.join(linked, nodes["fp"] == linked["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root")))
+    part = cut(rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), distance, blocks))
     least = part.groupBy("root").agg(F.min("first").alias("component_id"))
     known = part.join(least, "root").select("fp", "component_id")
     return marked.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, its smallest doc_id (of repeated rows, one), with all columns."""
-    kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    # by doc_id itself, so that the join and the last step share one shuffle of the texts
-    named = docs.where("doc_id is not null").join(kept.where("id is not null"), docs["doc_id"] == kept["id"], "left_semi")
-    nameless = docs.where("doc_id is null").join(kept.where("id is null"), docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["doc_id"]))
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """One row of each component with all columns: of its smallest doc_id (null only if it has no other), of several rows with that the one with the least hash.
+
+    Rows are told apart by two 64-bit hashes of all their columns, so null and repeated doc_ids cost no component its row."""
+    keys = (F.xxhash64(*docs.columns).alias("__row"), F.xxhash64(F.lit(1), *docs.columns).alias("__row2"))
+    row = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"), F.col("__row2"))
+    nodes = cut(fingerprints(docs, shingle, keys)).groupBy("fp").agg(F.min(row).alias("first"))
+    best = rooted(cut(nodes), distance, blocks).groupBy("root").agg(F.min("first").alias("first"))
+    kept = best.select(F.col("first.__row").alias("a"), F.col("first.__row2").alias("b"))
+    # the join and the last step, which leaves one of equal rows, share one shuffle of the texts
+    x = docs.select("*", *keys)
+    x = x.join(kept, (x["__row"] == kept["a"]) & (x["__row2"] == kept["b"]), "left_semi")
+    return x.dropDuplicates(["__row", "__row2"]).drop("__row", "__row2")
