@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tidemark.llm import html, urls
+from tidemark.llm import html, queries, urls
 from tidemark.llm.queries import URL_RULES
 
 
@@ -78,6 +78,17 @@ def test_urls_odd_rows(spark):
     assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and got.count() == 3
 
 
+def test_partly_blocked_hosts_seed(spark, tmp_path):
+    """Hosts with few blocked pages hand distrust to who links to them; each host decides by its own pages."""
+    link = '<a href="http://part.net/">x</a>'
+    rows = [(f"http://part.net/{'es/' if i < 30 else ''}{i}", "") for i in range(100)]
+    rows += [(f"http://friend.org/{i}", link) for i in range(10)] + [(f"http://big.org/{i}", link if i == 0 else "") for i in range(400)]
+    rows += [(f"http://most.net/{'fr/' if i < 6 else ''}{i}", "") for i in range(10)] + [(f"http://other.org/{i}", "") for i in range(5)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r["host"], r["verdict"]) for r in queries.op5_url_filters(spark, str(tmp_path)).collect())
+    assert got == {("part.net", "block"): 30, ("part.net", "allow"): 70, ("friend.org", "block"): 10, ("big.org", "allow"): 400, ("most.net", "block"): 10, ("other.org", "allow"): 5}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="home menu-page">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div><aside>side</aside>
 <article><header><h1>Head &amp; <i>shoulders</i></h1></header><p>One<b>bold</b>

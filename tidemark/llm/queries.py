@@ -41,7 +41,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, threshold=0.5)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,13 @@ longest that fits decides. Where none fits, hosts decide: personalised PageRank
 trusted hosts follows links, distrust from the blocked hosts follows them backwards (who
 links to a blocked host shares in it), and a host is blocked if its distrust exceeds its trust
 by more than ``margin``. A host is a trusted (blocked) seed if rules allow (block) more than
-half of its pages. Hosts that neither reaches are allowed. Links are counted per pair of
-hosts before anything is joined, so a hot host is one row per partner.
+half of its pages. Hosts that neither reaches are allowed. Links are counted per pair of hosts
+before anything is joined, so a hot host is one row per partner.
+
+With ``threshold`` every page that a rule allows (blocks) is a seed of its host, so hosts seed in
+proportion to them, and each host decides by its own size: both scores are counted in pages (without
+links, just the host's allowed and blocked pages), and a host is blocked if distrust exceeds trust by
+more than ``threshold`` of its pages.
 
 Defined results: null url, or one without "://", has empty host and path, fits no rule and
 is allowed; null html has no links; links to the own host don't count; repeated rows are judged
@@ -80,24 +85,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return score
 
 
-def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float = 0.0, rounds: int = 30) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float = 0.0, rounds: int = 30, threshold: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("rule", longest_rule(rules, F.col("host"), F.col("path"), "rule")).withColumn("ruled", longest_rule(rules, F.col("host"), F.col("path"), "verdict"))
     share = lambda verdict: F.avg(F.when(F.col("ruled") == verdict, 1.0).otherwise(0.0)) > 0.5
-    known = cut(seen.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
-    total = known.agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad")).first()
+    count = lambda verdict: F.count_if(F.coalesce(F.col("ruled") == verdict, F.lit(False)))
+    each = (lambda v: share(v).cast("long")) if threshold is None else count
+    known = cut(seen.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), each("allow").alias("good"), each("block").alias("bad")))
+    total = known.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
 
     def seeds(column: str) -> DataFrame:
-        return known.where(column).select("host", F.lit(1.0 / max(total[column], 1)).alias("seed"))
+        return known.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(max(total[column], 1)))).alias("seed"))
 
     edges = cut(host_edges(pages.select("url", "html")))
     trust = propagate(edges, seeds("good"), damping, rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, seeds("bad"), damping, rounds)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
-    blocked = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).where(F.col("distrust") > F.col("trust") + margin).select(F.col("host").alias("blocked"))
+    scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    if threshold is None:
+        scores = scores.where(F.col("distrust") > F.col("trust") + margin)
+    else:  # in pages; hosts without pages decide nothing
+        worth = lambda column, n: F.col(column) * F.lit(n / (1 - damping))
+        scores = scores.join(known.select("host", "pages"), "host").where(worth("distrust", total["bad"]) - worth("trust", total["good"]) > F.col("pages") * F.lit(threshold))
+    blocked = scores.select(F.col("host").alias("blocked"))
     x = seen.join(blocked, F.col("host") == F.col("blocked"), "left")
     verdict = F.coalesce("ruled", F.when(F.col("blocked").isNotNull(), "block").otherwise("allow"))
     return x.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
