@@ -167,3 +167,10 @@ def test_substring_odd_rows(spark, odd_docs, no_docs):
     rows = spark.createDataFrame([(None, long), (1, long), (1, long), (2, long)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in substring.dedup(rows).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 60)]
+
+
+def test_likeness_of_whole_hashes(spark):
+    """Grams whose hashes differ in their last shown bits only are unlike."""
+    x = spark.createDataFrame([([(5 << 24) + 9, (6 << 24) + 8, (900 << 24) + 7], [(5 << 24) + 3, (7 << 24) + 2])], "a array<long>, b array<long>")
+    r = x.select(winnow.hashes(x["a"]).alias("a"), winnow.likeness(winnow.hashes(x["a"]), winnow.hashes(x["b"])).alias("likeness")).first()
+    assert r["a"] == [5, 6, 900] and r["likeness"] == 0.25

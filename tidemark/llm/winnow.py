@@ -64,8 +64,8 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 5, window: int = 8) -> D
 
 
 def hashes(chosen: Column) -> Column:
-    """The distinct hashes of chosen grams, their upper 31 bits: enough to compare two documents, and half to send."""
-    return F.array_distinct(F.transform(chosen, lambda g: F.shiftright(g, PLACE_BITS + 8).cast("int")))
+    """The distinct hashes of chosen grams, all 39 bits that the fingerprint shows."""
+    return F.array_distinct(F.transform(chosen, lambda g: F.shiftright(g, PLACE_BITS)))
 
 
 def written(chosen: Column) -> Column:
