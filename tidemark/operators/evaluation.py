@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked_values
+
 
 def paired_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     """chrom, start, a, b where both tracks have a finite score."""
@@ -16,7 +18,8 @@ def paired_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 def agreement(pairs: DataFrame) -> DataFrame:
     """One row: n, max_diff, median_diff, r."""
     d = F.abs(F.col("a") - F.col("b"))
-    return pairs.agg(F.count("*").alias("n"), F.max(d).alias("max_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.corr("a", "b").alias("r"))
+    median = ranked_values(pairs.select(d.alias("d")), "d", 0.5)[0]
+    return pairs.agg(F.count("*").alias("n"), F.max(d).alias("max_diff"), F.lit(median).cast("double").alias("median_diff"), F.corr("a", "b").alias("r"))
 
 
 def histogram2d(pairs: DataFrame, width: float) -> DataFrame:

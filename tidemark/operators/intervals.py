@@ -17,12 +17,22 @@ def overlap_join(points: DataFrame, spans: DataFrame, bucket: int = 1 << 14) ->
     return p.join(s, ["chrom", "__bucket"]).where("span_start <= start and start < span_end").drop("__bucket")
 
 
-def merged(spans: DataFrame, gap: int = 0) -> DataFrame:
-    """chrom, start, end: spans that overlap, or lie at most ``gap`` apart, as one."""
-    by = Window.partitionBy("chrom").orderBy("start", "end")
-    x = spans.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def _most_so_far(x: DataFrame, value: str, out: str, last: int) -> DataFrame:
+    """``x`` (with __tile) with ``out``: the greatest ``value`` of its chrom up to ``last`` rows from here. A tile takes one row from those before it."""
+    tiles = x.groupBy("chrom", "__tile").agg(F.max(value).alias("__m"))
+    before = F.max("__m").over(Window.partitionBy("chrom").orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.max(value).over(Window.partitionBy("chrom", "__tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, last))
+    x = x.withColumn(out, own).join(tiles.select("chrom", "__tile", before.alias("__before")), ["chrom", "__tile"])
+    return x.withColumn(out, F.greatest(out, "__before")).drop("__before")
+
+
+def merged(spans: DataFrame, gap: int = 0, tile: int = 1 << 22) -> DataFrame:
+    """chrom, start, end: spans that overlap, or lie at most ``gap`` apart, as one. An island's name is its first start."""
+    x = spans.select("chrom", "start", "end").withColumn("__tile", F.floor(F.col("start") / tile))
+    x = _most_so_far(x, "end", "__reach", -1)
+    x = x.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + gap), F.col("start")))
+    x = _most_so_far(x, "__new", "__island", 0)
+    return x.groupBy("chrom", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
 def jaccard(a: DataFrame, b: DataFrame, bucket: int = 1 << 14) -> DataFrame:

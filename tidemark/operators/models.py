@@ -29,8 +29,10 @@ class Svr:
     windows: tuple[int, ...] = (10, 25, 50, 500, 5000)
     halves: tuple[int, ...] = (10, 10, 30, 20, 20)
 
-    def predict(self, x: np.ndarray, block: int = 4096, dtype=np.float64) -> np.ndarray:
-        """Support vectors come in blocks, so memory stays at rows times ``block``."""
+    def predict(self, x: np.ndarray, block: int = 4096, dtype=np.float64, rows: int = 1024) -> np.ndarray:
+        """Rows and support vectors come in blocks, so memory stays at ``rows`` times ``block`` numbers."""
+        if len(x) > rows:
+            return np.concatenate([self.predict(x[at : at + rows], block, dtype, rows) for at in range(0, len(x), rows)])
         xs = ((np.asarray(x, float) - self.x_center) / self.x_scale).astype(dtype)
         xx, y = (xs * xs).sum(1)[:, None], np.zeros(len(xs), dtype)
         for at in range(0, len(self.support), block):
@@ -107,11 +109,17 @@ def svr_scores(vectors: DataFrame, model: Svr, key: str, vector: str, backend: s
     return vectors.select(key, score(vector).alias("score"))
 
 
-def svr_scores_joined(vectors: DataFrame, support: DataFrame, gamma: float, rho: float, key: str, vector: str) -> DataFrame:
-    """The same without Python: each vector meets each support vector (sv array, coef) of the fixed-size model, and partial sums meet by key."""
-    squared = F.aggregate(F.zip_with(vector, "sv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, d: s + d)
-    x = vectors.join(F.broadcast(support), F.lit(True)).select(key, (F.col("coef") * F.exp(-gamma * squared)).alias("part"))
-    return x.groupBy(key).agg((F.sum("part") - rho).alias("score"))
+def svr_scores_joined(vectors: DataFrame, support: DataFrame, gamma: float, rho: float, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """The same without Python: support vectors (sv array, coef) come as rows of ``block`` of them, each vector meets
+    each row by its number and leaves one partial sum there; the sums meet by key."""
+    blocks = -(-support.count() // block)
+    if not blocks:
+        return vectors.select(key, F.lit(-rho).alias("score"))
+    packed = support.select(F.struct("coef", "sv").alias("s"), F.pmod(F.xxhash64("coef", "sv"), F.lit(blocks)).cast("int").alias("block")).groupBy("block").agg(F.collect_list("s").alias("block_rows"))
+    squared = lambda sv: F.aggregate(F.zip_with(vector, sv, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, d: s + d)
+    part = F.aggregate("block_rows", F.lit(0.0), lambda total, s: total + s["coef"] * F.exp(-gamma * squared(s["sv"])))
+    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    return met.select(key, part.alias("part")).groupBy(key).agg((F.sum("part") - rho).alias("score"))
 
 
 def forest_scores(rows: DataFrame, forest: Forest, key: str, features: list[str]) -> DataFrame:

@@ -73,8 +73,10 @@ def normal_box(cov: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def laplace_box(x: np.ndarray, cov: np.ndarray, tolerance: float = 1e-6) -> float:
     """P(|X| <= |x|): the normal's probability if that exceeds 0.99, else the sum over mixing intervals by their left ends.
 
-    Intervals whose weights can't add up to more than ``tolerance`` are left out."""
+    NaN where a score is NaN. Intervals whose weights can't add up to more than ``tolerance`` are left out."""
     b = np.abs(np.asarray(x, float))
+    if np.isnan(b).any():
+        return float("nan")
     normal = float(normal_box(cov, b[None])[0])
     if normal > 0.99:
         return normal

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import laplace_quantile
-from .ordered import ranked, with_neighbours
+from .ordered import ranked, ranked_values, with_neighbours
 
 TAIL = 0.001
 
@@ -40,8 +40,10 @@ def min_score(scored: DataFrame) -> Column:
 
 
 def quantiles(scored: DataFrame) -> DataFrame:
-    q = F.percentile("score", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return scored.agg(q.alias("q"), F.min("score").alias("min"), F.max("score").alias("max")).select(F.col("q")[0].alias("q01"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q99"), "min", "max")
+    """One row: q01, q50, q99, min, max of the scores that aren't null."""
+    q = ranked_values(scored.where("score is not null"), "score", 0.01, 0.5, 0.99)
+    named = [F.lit(v).cast("double").alias(c) for v, c in zip(q, ("q01", "q50", "q99"))]
+    return scored.agg(F.min("score").alias("min"), F.max("score").alias("max")).select(*named, "min", "max")
 
 
 def thinned(scored: DataFrame, distance: int = 20) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 TILE = 1 << 22
 
 
@@ -34,8 +36,11 @@ def running_sum(df: DataFrame, key: str, at: str, value: str, out: str, tile: in
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``rank`` (from 1, over all rows in ``order``), ``m`` (all rows) and ``part`` (its range partition)."""
-    x = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """``df`` with ``rank`` (from 1, over all rows in ``order``), ``m`` (all rows) and ``part`` (its range partition).
+
+    The partitions have a number, so that they aren't merged at run time, and are written: both readers see the same ones."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = kept(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     every = Window.orderBy("part")  # one row a partition
     parts = x.groupBy("part").agg(F.count("*").alias("__n"))
     parts = parts.select("part", F.coalesce(F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
@@ -44,10 +49,25 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def running_extreme(df: DataFrame, value: str, out: str, least: bool) -> DataFrame:
-    """Of rows from ``ranked``: the least ``value`` from this rank on, or the greatest up to this rank."""
-    f, edge = (F.min, (0, Window.unboundedFollowing)) if least else (F.max, (Window.unboundedPreceding, 0))
-    others = (1, Window.unboundedFollowing) if least else (Window.unboundedPreceding, -1)
+    """Of rows from ``ranked``: the least ``value`` from this rank on, or the greatest up to this rank.
+
+    The order runs the way the extreme does, so that every frame grows by a row and nothing is looked at twice."""
+    f = F.min if least else F.max
+    along = lambda c: F.col(c).desc() if least else F.col(c)
     parts = df.groupBy("part").agg(f(value).alias("__x"))
-    parts = parts.select("part", f("__x").over(Window.orderBy("part").rowsBetween(*others)).alias("__x"))
-    own = f(value).over(Window.partitionBy("part").orderBy("rank").rowsBetween(*edge))
+    parts = parts.select("part", f("__x").over(Window.orderBy(along("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__x"))
+    own = f(value).over(Window.partitionBy("part").orderBy(along("rank")).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(out, own).join(parts, "part").withColumn(out, (F.least if least else F.greatest)(out, "__x")).drop("__x")
+
+
+def ranked_values(df: DataFrame, value: str, *at: float) -> list[float | None]:
+    """The exact quantiles of ``value`` (no nulls), interpolated between neighbours: two ranks each, instead of all values in one task."""
+    x = ranked(df.select(value), F.col(value))
+    first = x.select("m").first()
+    if first is None:
+        return [None] * len(at)
+    places = [q * (first["m"] - 1) for q in at]
+    needed = sorted({int(p) + k for p in places for k in (1, 2)})
+    known = {r["rank"]: r[value] for r in x.where(F.col("rank").isin(needed)).select("rank", value).collect()}  # two rows a quantile
+    low = [known[int(p) + 1] for p in places]
+    return [a + (known.get(int(p) + 2, a) - a) * (p - int(p)) for a, p in zip(low, places)]

@@ -29,9 +29,9 @@ def run(track: DataFrame, svr: Svr, forest: Forest, sizes: DataFrame | None = No
     dense, broad = kept(dense), kept(broad)
     least = dense.sparkSession.range(1).select(floor.alias("f")).first()["f"]
     if least is None or least != least:
-        raise ValueError("could not estimate finite min_score: no scores at or below zero")
+        raise ValueError("no score lies at or below zero, so there is no noise to set a floor by")
     raw, found = calling.call_peaks(dense, broad, float(least), forest, width, 2, method, threshold)
-    return Result(dense, raw, found, float(least))
+    return Result(dense, kept(raw), kept(found), float(least))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -357,6 +357,17 @@ _adjusted("hochberg", "p * (m - r + 1)", "rows between current row and unbounded
 _adjusted("bonferroni", "p * m", "rows between current row and current row")
 
 
+@query(f"""with {TESTS}, s as (select s.r s, min(s.r * k.p / (k.r - k.m + s.r)) q from ranked s join ranked k on k.r > k.m - s.r group by s.r)
+select id, round(least(max(least(s * p, q)), 1.0), 9) adj_p from ranked, s group by id""")
+def hommel(spark, d):
+    return fdr.adjust(_tests(spark, d), "hommel").select("id", F.round("adj_p", 9).alias("adj_p"))
+
+
+@query(f"with {TESTS} select id, round(p, 9) adj_p from ranked")
+def unadjusted(spark, d):
+    return fdr.adjust(_tests(spark, d), "none").select("id", F.round("adj_p", 9).alias("adj_p"))
+
+
 @query(f"""with {TESTS}, a as (select id, p, least(min(p * m / r) over (order by r rows between current row and unbounded following), 1.0) adj from ranked where p > 0),
 t as (select o_orderkey id, case when o_orderkey % 10 = 0 then -1.0 else ((o_orderkey * 7919) % 10007 + 1) / 10008.0::double / 50 end p from orders),
 r as (select *, row_number() over (order by p, id) r, count(*) over () m from t where p <> -1)
