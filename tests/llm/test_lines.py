@@ -15,8 +15,7 @@ def brute(texts, num=4, den=5):
             continue
         kept = []
         for line in t.split("\n"):
-            words = line.encode().split()
-            words = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+            words = set(line.encode().split())
             match = bool(words) and any(den * len(words & w) >= num * len(words | w) for w in seen)
             if words:
                 seen.append(words)
@@ -48,17 +47,34 @@ def near(seed, copies, words=40):
 
 
 @pytest.mark.parametrize("busy", [2, 32])
-@pytest.mark.parametrize("frequent", [0, 1, 10_000])
-def test_near_lines(spark, busy, frequent):
+def test_near_lines(spark, busy):
     texts = near(5, 120)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: x["text"] for x in lines.dedup(rows, busy=busy, frequent=frequent).collect()}
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(rows, busy=busy).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_long_lines(spark):
+    """Lines of thousands of words, beyond what the signatures can tell apart, and a document of many lines."""
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words), " ".join(words[:4400]), " ".join(words[1100:]) + "\n\n" + " ".join(words[500:]), "\n".join(f"line {i} of {i * i} and {i * i * i}" for i in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Two long texts under one id are two documents; the same row twice is one. Ids above 2**53 beside a null one stay as they are."""
+    big = (1 << 60) + 1
+    a, b = "\n".join(f"only {i} here a{i} b{i}" for i in range(50)), "\n".join(f"else {i} there c{i} d{i}" for i in range(50))
+    rows = spark.createDataFrame([(big, a), (big, b), (big, b), (None, a), (big + 1, b + "\nnew line")], "doc_id long, text string")
+    got = sorted(((x["doc_id"] or 0, x["text"], x["n_lines_removed"]) for x in lines.dedup(rows).collect()))
+    assert got == sorted([(0, a, 0), (big, a, 0), (big, b, 0), (big, b, 0), (big + 1, "new line", 50)])
+
+
 def test_odd_rows(odd_docs, no_docs):
     x = lines.dedup(odd_docs)
     rows = x.collect()
     assert len(rows) == 6 and [c for c in x.columns if c != "n_lines_removed"] == [*[c for c in odd_docs.columns if c != "n_lines"], "n_lines"]
-    assert sorted((r["doc_id"] or 0, r["text"] or "", r["n_lines_removed"]) for r in rows) == [(0, "x y z", 0), (1, "x y z", 0), (1, "x y z", 0), (2, "", 0), (3, "", 1), (3, "", 1)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["n_lines_removed"]) for r in rows) == [(0, "x y z", 0), (1, "x y z", 0), (1, "x y z", 0), (2, "", 0), (3, "", 1), (3, "other text here", 0)]
     assert lines.dedup(no_docs).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (local tests), one of our own."""
+    """``spark.checkpoint.dir``. Only a local session may do without: it gets a folder of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -30,7 +34,22 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def done(*frames: DataFrame) -> None:
+    """Delete the tables of ``cut`` that no later step reads, and let go of finished steps' shuffle files.
+
+    Spark removes the files of a shuffle once the driver's garbage collector finds its plan unused, by itself at most every
+    half hour. A job of many steps would hold all of them until then."""
+    for x in frames:
+        spark = x.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(x.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def text_or_empty(c: Column | str = "text") -> Column:

@@ -1,148 +1,172 @@
 """Line dedup: an exact set-similarity join over all lines of all documents.
 
-A line is the set of its five-word shingles (of fewer words: the whole line is one). Two lines
-with Jaccard index of at least ``similarity`` must share one of their first
-n - ceil(similarity * n) + 1 shingles in any fixed order of all shingles; lines meet on those if
-their lengths and the shingles' places still allow it, and are verified on their whole sets.
+A line is the set of its words. Words have one order over all lines: by rarity, and by hash
+among equals. Two lines with Jaccard index of at least ``similarity`` share one of their first
+n - ceil(similarity * n) + 1 words in that order, the shorter one even within a shorter prefix. So
+lines are posted under their prefixes' words and meet there, if their lengths, the common
+word's places and their parity signatures (one bit a word, added without carry) allow the
+similarity; the texts of those that may match are fetched and their whole sets compared.
 A line with an earlier match (smaller doc_id, then earlier in the text) is removed.
 
-Shingles are so rare that most order nothing. Those under which more than ``busy`` lines meet are
-common passages or groups of near copies. There each line is first held against the earliest
-line and its neighbour only, which finds most matches in a few comparisons a line. Lines with
-a busy shingle then meet once more, now in order of rarity by exact counts among them, so
-that what many share comes last and is left out of the prefixes; only lines without a match so
-far are held against the others. A pair that only busy shingles join has both its lines
-there, so no pair is lost.
+Rarity comes from counts of all words of all documents in SLOTS hashed slots, in steps of about 60 %.
+A word that shares a slot with a frequent one stands later than it should, which costs some
+candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. The most frequent ones, ``frequent`` at most, are known
-to every task and dropped before their shingles are made, the others after the first shuffle.
+Of equal lines only the first goes on. Where a word still has more than ``busy`` lines, each line is
+first held against the earliest one and its neighbour, which finds most matches of groups of near
+copies in a few comparisons a line; only lines without a match so far meet all the others.
 
 Defined results: null text has no lines and stays null; a line without words always stays;
-rows with null doc_id stay whole and remove nothing; rows that share a doc_id are copies of
-one document to each other: none removes a line of the same number in the other, and a line
-number that is removed is removed from each.
+rows with null doc_id stay whole and remove nothing; rows that share a doc_id are documents of
+their own, in the order of their texts' hashes, but rows that share doc_id and text are one
+document, and each of them loses the same lines. Words are compared by 57 bits of their hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .winnow import words_of
+from .common import SPACE, cut, done
+
+#: Slots of the word counts: a fixed number, whatever the input.
+SLOTS, BLOCK = 1 << 19, 1 << 10
+CLASS_BITS, CLASSES = 6, 64
+DOC = ["doc_id", "v"]
+LINE = [*DOC, "line_no"]
+BLANKS = " \t\x0b\x0c\r"
+
+
+def rarity(texts: DataFrame) -> Column:
+    """The class of each slot's count, 0 for the rarest, as one constant array. ``texts`` has column text, without nulls."""
+    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
+    counts = texts.select(F.explode(F.split("text", SPACE)).alias("word")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    step = F.least(F.floor(1.5 * F.log2("n")), F.lit(CLASSES - 1)).cast("int").alias("step")
+    every = texts.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts.select("slot", step), "slot", "left")
+    in_block = F.sort_array(F.collect_list(F.struct((F.col("slot") % BLOCK).alias("i"), F.coalesce("step", F.lit(0)).alias("step"))))
+    rows = every.groupBy((F.col("slot") / BLOCK).cast("int").alias("block")).agg(F.array_join(F.transform(in_block, lambda s: s["step"].cast("string")), ",").alias("steps"))
+    steps = {r["block"]: r["steps"] for r in rows.collect()}  # SLOTS / BLOCK strings
+    return F.split(F.lit(",".join(steps[b] for b in range(SLOTS // BLOCK))), ",").cast("array<int>")
 
-SHINGLE = 5
-#: Bits of the bitmaps that spare shuffling rows nobody asks for: fixed, whatever the input.
-BITS = 1 << 22
-LINE = ["doc_id", "line_no"]
 
+def hashes(line: Column) -> Column:
+    """The hashes of a line's words; the line has no blanks at its ends."""
+    return F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))
 
-def bitmap(df: DataFrame, *keys: str) -> Callable[..., Column]:
-    """A test whether keys may be among those of ``df``: BITS bits in one constant, never wrong about a key that is."""
-    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS)).cast("int")
-    x = df.select(slot(*keys).alias("s")).groupBy(F.expr("s div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
-    words = [0] * (BITS // 64)
-    for r in x.collect():  # at most BITS / 64 rows
-        words[r["at"]] = r["bits"]
-    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
-    def test(*columns: Column | str) -> Column:
-        s = slot(*columns)
-        return F.getbit(F.get(held, F.shiftright(s, 6)), F.pmod(s, F.lit(64))) == 1
+def ordered(words: Column, steps: Column) -> Column:
+    """A line's distinct words, rarest first: the slot's class over the upper bits of the hash."""
 
-    return test
+    def key(h: Column) -> Column:
+        step = F.coalesce(F.get(steps, F.pmod(h, F.lit(SLOTS)).cast("int")), F.lit(0)).cast("bigint")
+        return F.shiftleft(step, 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS + 1))
 
+    return F.array_distinct(F.sort_array(F.transform(words, key)))
 
-def shingled(lines: DataFrame, out: str = "w") -> DataFrame:
-    """``lines`` with column ``line`` replaced by ``out``: the sorted hashes of its distinct shingles."""
-    x = lines.withColumn("__words", words_of(F.col("line")))
-    w = F.col("__words")
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-    return x.withColumn(out, F.array_distinct(F.sort_array(F.when(F.size(w) > 0, hashes).otherwise(F.array().cast("array<bigint>"))))).drop("__words", "line")
+
+def lines_of(docs: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """doc_id, v, line_no, line (without blanks at its ends) of every line with a word; of those in ``numbers``, which may name the array __lines."""
+    if numbers is None:
+        x = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    else:
+        x = docs.withColumn("__lines", F.split("text", "\n")).select(*DOC, "__lines", numbers.alias("__numbers"), F.size("__lines").alias("__size"))
+        each = F.transform(F.col("__numbers"), lambda i: F.struct(i.alias("line_no"), F.get(F.col("__lines"), i).alias("line")))
+        x = x.select(*DOC, F.inline(each))
+    return x.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
 def _before(a: str, b: str) -> str:
-    return f"({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))"
+    return f"struct({a}doc_id, {a}v, {a}line_no) < struct({b}doc_id, {b}v, {b}line_no)"
 
 
 def _may(a: str, b: str, num: int, den: int) -> str:
-    """Whether sizes and places of a common shingle allow num / den of similarity."""
-    return f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * least({a}n - {a}at, {b}n - {b}at) >= {num} * ({a}n + {b}n)"
+    """Whether lengths, places of a common word and signatures allow num / den of similarity."""
+    both = f"({a}n + {b}n)"
+    return (
+        f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * least({a}n - {a}at, {b}n - {b}at) >= {num} * {both}"
+        f" and {num + den} * bit_count({a}sig ^ {b}sig) <= {den - num} * {both}"
+    )
 
 
 def _prefix(n: Column, num: int, den: int) -> Column:
     return (n - F.floor((num * n + (den - 1)) / den) + 1).cast("int")
 
 
-def _pairs(posted: DataFrame, later: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (line, a_doc, a_line) of a line of ``later`` and an earlier one of ``posted`` that a shingle joins and the filters leave."""
-    a = posted.select("word", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "line_no", "n", "at")])
-    x = later.join(a, "word").where(f"{_before('a_', '')} and {_may('a_', '', num, den)}")
-    return x.select(*LINE, F.col("a_doc_id").alias("a_doc"), F.col("a_line_no").alias("a_line"))
+def _pairs(short: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (line, a) of a line without a match and an earlier one that a word joins and the filters leave; of the shorter one the word stands in its short prefix."""
+    a = short.where(f"at <= n - ceil({2 * num} * n / {num + den})").select("word", *[F.col(c).alias(f"a_{c}") for c in (*LINE, "n", "at", "sig", "matched")])
+    order = f"(a_n < n or (a_n = n and {_before('a_', '')}))"  # each pair once
+    x = a.join(long, "word").where(f"{order} and {_may('a_', '', num, den)} and not if({_before('a_', '')}, matched, a_matched)")
+    here, there = F.struct(*LINE), F.struct(*[F.col(f"a_{c}").alias(c) for c in LINE])
+    return x.select(F.greatest(here, there).alias("line"), F.least(here, there).alias("a"))
+
+
+def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The later lines of the pairs that are similar; texts: lines by key, at least those of the pairs."""
+    keyed = texts.select(F.struct(*LINE).alias("line"), F.col("line").alias("text"))
+    x = pairs.join(keyed, "line").withColumnsRenamed({"line": "later", "text": "b"}).join(keyed.withColumnsRenamed({"line": "a", "text": "a_text"}), "a")
+    sets = x.select("later", *[F.array_distinct(hashes(F.col(c))).alias(c) for c in ("a_text", "b")])
+    both, a, b = F.size(F.array_intersect("a_text", "b")), F.size("a_text"), F.size("b")
+    return sets.select("later", both.alias("both"), (a + b).alias("sum")).where(f"{den} * both >= {num} * (sum - both)").select("later.*").distinct()
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The later lines of the pairs that are similar."""
-    a = sets.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("w").alias("a_w"))
-    both = F.size(F.array_intersect("w", "a_w"))
-    x = pairs.join(sets, LINE).join(a, ["a_doc", "a_line"])
-    return x.where(den * both >= num * (F.size("w") + F.size("a_w") - both)).select(*LINE).distinct()
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, v, line_no, line of the lines in ``pairs``."""
+    asked = pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").groupBy(*DOC).agg(F.collect_set("line_no").alias("asked"))
+    return lines_of(docs.join(asked, DOC), F.col("asked"))
 
 
-def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 32, frequent: int = 10_000) -> DataFrame:
-    """doc_id, line_no of every line with an earlier line of at least this similarity (a fraction)."""
+def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 32) -> DataFrame:
+    """doc_id, v, line_no of every line with an earlier line of at least this similarity (a fraction). ``docs`` has doc_id, v (together unique) and text, no nulls."""
     num, den = similarity
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c\r"))).where("line <> ''")
-    lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
-
-    hashed = cut(lines.select(*LINE, "h1", "h2"))
-    repeated = cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("f"), F.count("*").alias("copies")).where("copies > 1"))
-    later = F.struct(*LINE) != F.col("f")
-    equal = cut(hashed.join(repeated, ["h1", "h2"]).where(later).select(*LINE))
-    most = repeated.orderBy(F.desc("copies"), "h1", "h2").limit(frequent).select("h1", "h2", "f")
-    # at most `frequent` rows of 28 bytes
-    rest = lines.join(F.broadcast(most), ["h1", "h2"], "left").where(F.col("f").isNull() | ~later).select(*LINE, "line")
-
-    n = F.size("w")
-    words = shingled(rest).withColumn("n", n).select(*LINE, "n", F.posexplode(F.slice("w", F.lit(1), _prefix(n, num, den))).alias("at", "word"))
+    here = F.struct(*LINE)
+    hashed = cut(lines_of(docs).select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
+    repeated = hashed.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    equal = cut(hashed.join(repeated, ["h1", "h2"]).where(here != F.col("first")).select(*LINE))
+    done(hashed)
+
+    steps = rarity(docs.select("text"))
+    copies = equal.groupBy(*DOC).agg(F.collect_list("line_no").alias("copies"))
+    others = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("copies", F.array().cast("array<int>")))
+    x = lines_of(docs.join(copies, DOC, "left"), others).select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
+    x = x.select(*LINE, F.size("w").alias("n"), "w", F.expr("aggregate(w, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"))
+    posts = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
     by_word = Window.partitionBy("word")
+    entry = F.struct(*LINE, "n", "at", "sig")
     in_order = by_word.orderBy(*LINE)
-    here = F.struct(*LINE, "n", "at")
-    met = cut(words.withColumn("many", F.count("*").over(by_word)).where("many > 1").drop("many"))
-    posted = met.join(equal, LINE, "left_anti").withColumn("many", F.count("*").over(by_word)).where("many > 1")
-    posted = posted.withColumn("a", F.when(F.col("many") > busy, F.array_distinct(F.array(F.first(here).over(in_order), F.lag(here).over(in_order)))))
-    posted = cut(posted)
-
-    few = posted.where(F.col("many") <= busy)
-    tried = posted.select(*LINE, "n", "at", F.explode("a").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
-    pairs = cut(_pairs(few, few, num, den).unionByName(tried.select(*LINE, F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"))).distinct())
-    ends = pairs.select(*LINE).unionByName(pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")))
-    crowd = cut(posted.where(F.col("many") > busy).select(*LINE).distinct())
-    asked = bitmap(ends.unionByName(crowd), *LINE)
-    sets = cut(shingled(rest.where(asked(*LINE))))
-    found = cut(_matched(pairs, sets, num, den))
-
-    own = sets.join(crowd, LINE, "left_semi").select(*LINE, F.size("w").alias("n"), F.explode("w").alias("word"))
-    counts = own.groupBy("word").agg(F.count("*").alias("many")).where("many > 1")
-    ordered = own.join(counts, "word", "left").groupBy(*LINE, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "word"))).alias("w"))
-    again = ordered.select(*LINE, "n", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "x")).where("x.many > 1").select(*LINE, "n", "at", "x.word")
-    again = cut(again)
-    more = _pairs(again, again.join(found, LINE, "left_anti"), num, den).distinct().join(pairs, [*LINE, "a_doc", "a_line"], "left_anti")
-    late = cut(_matched(more, sets, num, den))
-    return equal.unionByName(found).unionByName(late).distinct()
+    posts = posts.withColumn("many", F.count("*").over(by_word)).where("many > 1")
+    posts = cut(posts.withColumn("tried", F.when(F.col("many") > busy, F.array_distinct(F.array(F.first(entry).over(in_order), F.lag(entry).over(in_order))))))
+    done()
+
+    few = posts.where(F.col("many") <= busy).drop("many", "tried").withColumn("matched", F.lit(False))
+    tried = posts.select(*LINE, "n", "at", "sig", F.explode("tried").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    pairs = _pairs(few, few, num, den).unionByName(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a")))
+    pairs = cut(pairs.distinct())
+    crowd = cut(posts.where(F.col("many") > busy).drop("many", "tried"))
+    done(posts)
+    texts = cut(_texts(docs, pairs))
+    found = cut(_matched(pairs, texts, num, den))
+    done(texts)
+
+    marked = cut(crowd.join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    done(crowd)
+    single, matched = marked.where("not matched"), marked.where("matched")
+    more = _pairs(single, marked, num, den).unionByName(_pairs(matched, single, num, den)).distinct()
+    more = cut(more.join(pairs, ["line", "a"], "left_anti"))
+    texts = cut(_texts(docs, more))
+    late = cut(_matched(more, texts, num, den))
+    done(pairs, marked, more, texts)
+    return equal.unionByName(found).unionByName(late)
 
 
 def dedup(docs: DataFrame, similarity: tuple[int, int] = (4, 5), **options) -> DataFrame:
     """``docs`` with text less its removed lines, and the new columns n_lines and n_lines_removed, in place of any such."""
-    gone = removed(docs, similarity, **options).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
-    touched = F.coalesce(bitmap(gone, "doc_id")("doc_id"), F.lit(False)) & F.col("doc_id").isNotNull()
-    x = docs.drop("n_lines", "n_lines_removed")
-    # documents that lose nothing needn't be shuffled
-    x = x.where(touched).join(gone, "doc_id", "left").select(*x.columns, "__gone").unionByName(x.where(~touched).withColumn("__gone", F.lit(None).cast("array<int>")))
-    x = x.withColumn("__lines", F.split("text", "\n"))
+    base = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    once = base.groupBy("doc_id").count().where("count > 1").isEmpty()
+    v = F.lit(0).cast("bigint") if once else F.xxhash64("text")
+    base = base.withColumn("v", v)
+    gone = removed(base if once else base.dropDuplicates(DOC), similarity, **options).groupBy(*DOC).agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("v", "__v")
+    x = docs.drop("n_lines", "n_lines_removed").withColumn("__v", v).join(gone, ["doc_id", "__v"], "left").withColumn("__lines", F.split("text", "\n"))
     x = x.withColumn("__keep", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     x = x.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__keep", lambda i: F.get(F.col("__lines"), i)), "\n")))
     x = x.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("long")).withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))

@@ -84,8 +84,7 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_removed, 0) n_remove
     "op3_line_dedup": r"""
 with docs as (select doc_id, text, string_split(text, chr(10)) ls from documents
 ), lines as (select doc_id, unnest(range(len(ls))) line_no, unnest(ls) line from docs where doc_id is not null and text is not null
-), words as (select doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') w from lines
-), sets as (select doc_id, line_no, unnest(list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) s from words where len(w) > 0
+), sets as (select doc_id, line_no, unnest(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) s from lines
 ), sizes as (select doc_id, line_no, count(*) n from sets group by all
 ), common as (
   select b.doc_id, b.line_no, a.doc_id a_doc, a.line_no a_line, count(*) c
