@@ -8,7 +8,7 @@ word's places and their parity signatures (one bit a word, added without carry)
 similarity; the texts of those that may match are fetched and their whole sets compared.
 A line with an earlier match (smaller doc_id, then earlier in the text) is removed.
 
-Rarity comes from counts of all words of all documents in SLOTS hashed slots, in steps of about 60 %.
+Rarity comes from counts of all words of all different lines in SLOTS hashed slots, in steps of about 60 %.
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
@@ -37,12 +37,12 @@ LINE = [*DOC, "line_no"]
 BLANKS = " \t\x0b\x0c\r"
 
 
-def rarity(texts: DataFrame) -> Column:
-    """The class of each slot's count, 0 for the rarest, as one constant array. ``texts`` has column text, without nulls."""
+def rarity(lines: DataFrame) -> Column:
+    """The class of each slot's count, 0 for the rarest, as one constant array. ``lines`` come from ``lines_of``."""
     slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    counts = texts.select(F.explode(F.split("text", SPACE)).alias("word")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode(F.split("line", " ")).alias("word")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     step = F.least(F.floor(1.5 * F.log2("n")), F.lit(CLASSES - 1)).cast("int").alias("step")
-    every = texts.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts.select("slot", step), "slot", "left")
+    every = lines.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts.select("slot", step), "slot", "left")
     in_block = F.sort_array(F.collect_list(F.struct((F.col("slot") % BLOCK).alias("i"), F.coalesce("step", F.lit(0)).alias("step"))))
     rows = every.groupBy((F.col("slot") / BLOCK).cast("int").alias("block")).agg(F.array_join(F.transform(in_block, lambda s: s["step"].cast("string")), ",").alias("steps"))
     steps = {r["block"]: r["steps"] for r in rows.collect()}  # SLOTS / BLOCK strings
@@ -50,8 +50,8 @@ def rarity(texts: DataFrame) -> Column:
 
 
 def hashes(line: Column) -> Column:
-    """The hashes of a line's words; the line has no blanks at its ends."""
-    return F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))
+    """The hashes of the words of a line from ``lines_of``."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
 def ordered(words: Column, steps: Column) -> Column:
@@ -65,14 +65,18 @@ def ordered(words: Column, steps: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, numbers: Column | None = None) -> DataFrame:
-    """doc_id, v, line_no, line (without blanks at its ends) of every line with a word; of those in ``numbers``, which may name the array __lines."""
+    """doc_id, v, line_no, line (its words, joined by one space) of every line with a word; of those in ``numbers``, which may name the array __lines."""
     if numbers is None:
         x = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     else:
         x = docs.withColumn("__lines", F.split("text", "\n")).select(*DOC, "__lines", numbers.alias("__numbers"), F.size("__lines").alias("__size"))
         each = F.transform(F.col("__numbers"), lambda i: F.struct(i.alias("line_no"), F.get(F.col("__lines"), i).alias("line")))
         x = x.select(*DOC, F.inline(each))
-    return x.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    x = x.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):  # few lines need the pattern, which costs as much as all else
+        odd = odd | F.contains("line", F.lit(blank))
+    return x.withColumn("line", F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")))
 
 
 def _before(a: str, b: str) -> str:
@@ -110,10 +114,9 @@ def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return sets.select("later", both.alias("both"), (a + b).alias("sum")).where(f"{den} * both >= {num} * (sum - both)").select("later.*").distinct()
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, v, line_no, line of the lines in ``pairs``."""
-    asked = pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").groupBy(*DOC).agg(F.collect_set("line_no").alias("asked"))
-    return lines_of(docs.join(asked, DOC), F.col("asked"))
+    return lines.join(pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").distinct(), LINE)
 
 
 def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 32) -> DataFrame:
@@ -123,39 +126,37 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 3
     hashed = cut(lines_of(docs).select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     repeated = hashed.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     equal = cut(hashed.join(repeated, ["h1", "h2"]).where(here != F.col("first")).select(*LINE))
-    done(hashed)
-
-    steps = rarity(docs.select("text"))
     copies = equal.groupBy(*DOC).agg(F.collect_list("line_no").alias("copies"))
     others = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("copies", F.array().cast("array<int>")))
-    x = lines_of(docs.join(copies, DOC, "left"), others).select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
+    done(hashed)
+    lines = cut(lines_of(docs.join(copies, DOC, "left"), others))
+    done()
+
+    steps = rarity(lines)
+    x = lines.select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
     x = x.select(*LINE, F.size("w").alias("n"), "w", F.expr("aggregate(w, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"))
-    posts = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
-    by_word = Window.partitionBy("word")
-    entry = F.struct(*LINE, "n", "at", "sig")
-    in_order = by_word.orderBy(*LINE)
-    posts = posts.withColumn("many", F.count("*").over(by_word)).where("many > 1")
-    posts = cut(posts.withColumn("tried", F.when(F.col("many") > busy, F.array_distinct(F.array(F.first(entry).over(in_order), F.lag(entry).over(in_order))))))
+    x = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
+    posts = cut(x.withColumn("many", F.count("*").over(Window.partitionBy("word"))).where("many > 1"))
     done()
 
-    few = posts.where(F.col("many") <= busy).drop("many", "tried").withColumn("matched", F.lit(False))
-    tried = posts.select(*LINE, "n", "at", "sig", F.explode("tried").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    few = posts.where(F.col("many") <= busy).drop("many").withColumn("matched", F.lit(False))
+    crowd = posts.where(F.col("many") > busy).drop("many")
+    entry, in_order = F.struct(*LINE, "n", "at", "sig"), Window.partitionBy("word").orderBy(*LINE)
+    near = F.array_distinct(F.array(F.first(entry).over(in_order), F.lag(entry).over(in_order)))
+    tried = crowd.select(*LINE, "n", "at", "sig", near.alias("near")).select(*LINE, "n", "at", "sig", F.explode("near").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
     pairs = _pairs(few, few, num, den).unionByName(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a")))
     pairs = cut(pairs.distinct())
-    crowd = cut(posts.where(F.col("many") > busy).drop("many", "tried"))
-    done(posts)
-    texts = cut(_texts(docs, pairs))
+    texts = cut(_texts(lines, pairs))
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
     marked = cut(crowd.join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
-    done(crowd)
+    done(posts)
     single, matched = marked.where("not matched"), marked.where("matched")
     more = _pairs(single, marked, num, den).unionByName(_pairs(matched, single, num, den)).distinct()
     more = cut(more.join(pairs, ["line", "a"], "left_anti"))
-    texts = cut(_texts(docs, more))
-    late = cut(_matched(more, texts, num, den))
-    done(pairs, marked, more, texts)
+    late = cut(_matched(more, _texts(lines, more), num, den))
+    done(lines, pairs, marked, more)
     return equal.unionByName(found).unionByName(late)
 
 
