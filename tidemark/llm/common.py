@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,7 @@ def done(*frames: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(x.cut_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
+    time.sleep(0.5)  # until Spark's listeners have let go of the finished plan
     SparkSession.active()._jvm.System.gc()
 
 
