@@ -1,20 +1,27 @@
-"""Toxicity by class-conditional Kneser-Ney models of expressions.
-
-An expression is a word's head: its first letters up to ``ORDER`` symbols, or the whole of a
-shorter word. Two models are fitted, one on toxic and one on ordinary labelled texts. Each
-discounts its class's counts and gives the mass that frees to a shared backoff, itself
-discounted, from both classes' counts together. An expression whose document frequencies
-don't differ significantly between the classes has only shared counts, so it favours neither.
-Long texts count no more than ``CAP`` words. A text's log-likelihood ratio is normalised by its
-length in words and calibrated to a score by logistic regression on labelled rows that the
-calibrated models haven't seen.
-
-The models are fitted on a bounded sample of labelled rows (``max_docs`` of each class, the
-lowest hashes of doc_id); every text is scored whole, in slices of bounded size.
-
-Defined results: null or empty text scores as a text of no words; labels with null
-doc_id or toxic are ignored, of several labels for one doc_id the largest counts; without
-labels of both classes every score is 0. Repeated rows are scored each.
+"""Toxicity by class-conditional Kneser-Ney models of words' spelling.
+
+Two models spell every different word of a text out, symbol by symbol to its end, each symbol given up to
+``ORDER`` - 1 before it in the word: one model has the counts of toxic labelled texts, one those of ordinary
+ones. Each discounts its class's counts and hands the mass that frees to a backoff that both share:
+the counts of both classes together, in turn discounted towards Kneser-Ney's continuation counts (of how
+many different symbols stand before a run), down to single symbols. An expression (a run of symbols) whose
+share of documents in its context doesn't differ beyond chance, and that leads to none whose does, is
+rare as evidence: all of its mass is the backoff's, so it has the ratio of what came before it.
+
+A word's log-likelihood ratio is the sum over its symbols. A text's is the sum over its different words,
+counted from the median word, so that its language or subject as a whole decides nothing; it is normalised by
+the number of words and by its root, and calibrated to a score by logistic regression on labelled rows
+that the calibrated models haven't seen.
+
+The models are fitted on a bounded sample of labelled rows (``max_docs`` of each class, the lowest hashes
+of doc_id), which bounds what the driver gets and sends; of rows of one class whose least four-word hash is
+the same, near copies as a rule, one counts. Every text is scored whole.
+
+Symbols are lower-cased letters; those beyond Latin scripts share 126 codes by hash.
+
+Defined results: null or empty text scores as a text of no words; labels with null doc_id or toxic are
+ignored, of several labels for one doc_id the largest counts; without labels of both classes every score
+is 0. Repeated rows are scored each; ids of any type come back as they are.
 """
 
 from __future__ import annotations
@@ -23,143 +30,220 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SYMBOL_BITS, ORDER = 6, 6
-DISCOUNT = 0.75
-SLICE = 1_000_000
-SLOTS = 1 << 21
-CAP = 200
-#: Likelihood-ratio statistic of document frequencies from which an expression counts by class (p of about 0.001).
-SIGNIFICANT = 11.0
+from .common import SPACE, cut
+
+BITS, ORDER = 9, 7
+EDGE, WIDE = 1, 386
+SLICE = 500_000
+FEWEST = 2
+#: Likelihood-ratio statistic of a run in its context below which the classes' counts differ by chance (p of about 0.001).
+CHANCE = 11.0
+#: Ratios nearer to the text's median word than this say nothing (a factor of about 1.6).
+EVEN = 0.5
+#: Likelihood-ratio statistic of a run in its context below which the classes' counts differ by chance (p of about 0.001).
+CHANCE = 11.0
+#: Ratios nearer to the text's median word than this say nothing (a factor of about 1.6).
+EVEN = 0.5
 
 
 def _alphabet() -> np.ndarray:
-    """Code point (65,535 stands for all above) to symbol: 0 pads, 1 is white space, then a-z, digits, other ASCII, and 33 classes of other characters."""
+    """Code point (65,535 stands for all above) to symbol: 0 is none, EDGE is white space, then the Latin blocks one by one, others by hash."""
     cp = np.arange(65536, dtype=np.int64)
-    t = 30 + (cp * 40503 >> 4) % 33
-    t[:128] = 29
-    t[48:58] = 28
-    t[97:123] = np.arange(2, 28)
-    t[[*range(9, 14), 32, 133, 160]] = 1
-    return t.astype(np.uint8)
+    t = WIDE + (cp * 40503 >> 4) % ((1 << BITS) - WIDE)
+    t[:384] = np.arange(384) + 2
+    t[[*range(9, 14), *range(28, 33), 133, 160]] = EDGE
+    return t
 
 
 ALPHABET = _alphabet()
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of (row, part of a text) with about SLICE characters; long texts are cut at spaces."""
-    rows, parts, n = [], [], 0
-    for i, t in enumerate(texts):
-        at = 0
-        while at < len(t) or not at:
-            to = len(t) if len(t) - at <= SLICE else (t.rfind(" ", at, at + SLICE) + 1 or at + SLICE)
-            to = to if to > at else at + SLICE
-            rows.append(i)
-            parts.append(t[at:to].lower())
-            n += to - at
-            at = max(to, 1)
-            if n >= SLICE:
-                yield rows, parts
-                rows, parts, n = [], [], 0
-    if rows:
-        yield rows, parts
-
-
-def _heads(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Every word's expression, its symbols as the digits of one number, and the part that holds it."""
-    cp = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    part = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+def words_of(text: str) -> list[str]:
+    """The different words of a text, in a fixed order."""
+    return sorted(set(text.lower().split()))
+
+
+def runs(words: list[str]) -> np.ndarray:
+    """Of every symbol of every word, its end included, the run of up to ORDER symbols that it ends.
+
+    A run is a number whose digits are its symbols, the last one lowest; a run that reaches its word's start begins with EDGE."""
+    cp = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     sym = ALPHABET[np.minimum(cp, 65535)]
-    space = sym == 1
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    keep[0] = not space[0]
-    sym, part, space = sym[keep].astype(np.int64), part[keep], space[keep]
     at = np.arange(len(sym))
-    last = np.maximum.accumulate(np.where(space, at, -1))
-    place = at - np.concatenate([[-1], last[:-1]])[: len(at)]  # from 1 in each word
-    ends = np.flatnonzero((place == ORDER) | space & (place < ORDER))
-    head = np.zeros(len(ends), np.int64)
+    last = np.maximum.accumulate(np.where(sym == EDGE, at, 0))
+    place = at - np.concatenate([[0], last[:-1]])  # from 1 in each word; the edge before is 0
+    run = np.zeros(len(sym), np.int64)
     for k in range(ORDER):
-        head |= np.where(place[ends] > k, sym[ends - np.minimum(k, place[ends] - 1)], 0) << (SYMBOL_BITS * k)
-    return head, part[ends]
+        run[k:] |= np.where(place[k:] >= k, sym[: max(len(sym) - k, 0)] << (BITS * k), 0)
+    return run[1:] if words else run[:0]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(fold, toxic, text) to this task's (fold, toxic, head, n, docs): thousandths of counts, and documents; head -1 counts all documents."""
-    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    """(fold, toxic, text) to this task's (fold, toxic, run, n, docs): how often its documents' words have the run, and how many documents; run -1 counts all."""
+    held: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
     for b in batches:
         for (fold, toxic), g in b.groupby(["fold", "toxic"]):
-            found = [held[fold, toxic]] if (fold, toxic) in held else []
+            found = held.setdefault((fold, toxic), [])
             for text in g["text"]:
-                head = np.concatenate([_heads(parts)[0] for _, parts in _slices([text])])
-                ids, n = np.unique(head, return_counts=True)
-                n = np.round(n * (1000 * min(1.0, CAP / max(1, len(head))))).astype(np.int64)
-                found.append((np.append(ids, -1), np.append(n, 0), np.ones(len(ids) + 1, np.int64)))
-            ids, inv = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-            held[fold, toxic] = (ids, *(np.bincount(inv, np.concatenate([x[k] for x in found])).astype(np.int64) for k in (1, 2)))
-    for (fold, toxic), (ids, n, docs) in held.items():
-        yield pd.DataFrame({"fold": fold, "toxic": toxic, "head": ids, "n": n, "docs": docs})
-
-
-def _g2(k: np.ndarray, n: float, share: np.ndarray) -> np.ndarray:
-    """Of k out of n documents, the part of the likelihood-ratio statistic against a common share."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * (np.where(k > 0, k * np.log(k / (n * share)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0))
+                own, n = np.unique(runs(words_of(text)), return_counts=True)
+                found.append((np.append(own, -1), np.append(n, 0), np.ones(len(own) + 1, np.int64)))
+            found[:] = [_summed(found)]
+    for (fold, toxic), found in held.items():
+        run, n, docs = found[0]
+        yield pd.DataFrame({"fold": fold, "toxic": toxic, "run": run, "n": n, "docs": docs})
 
 
-def kneser_ney(head: np.ndarray, counts: list[np.ndarray], docs: list[np.ndarray], size: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratios of expressions, in a hashed table of fixed size. Lists hold the toxic, then the ordinary class."""
-    pool = counts[0] + counts[1]
-    cut = np.minimum(pool, DISCOUNT)
-    shared = (pool - cut + cut.sum() / len(pool)) / pool.sum()
-    p = []
-    for n in counts:
-        cut = np.minimum(n, DISCOUNT)
-        p.append((n - cut + cut.sum() * shared) / n.sum())
-    share = (docs[0] + docs[1]) / (size[0] + size[1])
-    sure = _g2(docs[0], size[0], share) + _g2(docs[1], size[1], share) >= SIGNIFICANT
-    return _pack(head[sure], np.log(p[0][sure] / p[1][sure]), SLOTS)
+def _summed(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    run, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+    return run, *(np.bincount(at, np.concatenate([x[k] for x in found])).astype(np.int64) for k in (1, 2))
+
+
+def _length(run: np.ndarray) -> np.ndarray:
+    """Symbols of each run."""
+    return sum((run >> (BITS * k) > 0).astype(np.int64) for k in range(ORDER))
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, at = np.unique(keys, return_inverse=True)
+    return unique, at
+
 
+def discount(n: np.ndarray) -> float:
+    """Kneser and Ney's estimate of the absolute discount, from how many counts are 1 and 2."""
+    once, twice = (n == 1).sum(), (n == 2).sum()
+    return float(once / (once + 2 * twice)) if once else 0.5
 
-def _slot(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        h = (keys.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h & np.uint64(slots - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
 
+def _mask(symbols: int) -> np.int64:
+    return np.int64((1 << (BITS * symbols)) - 1)
 
-def _pack(keys: np.ndarray, values: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(np.abs(values), kind="stable")  # where two meet, the stronger stays
-    at, tag = _slot(keys[order], slots)
-    tags, out = np.zeros(slots, np.uint16), np.zeros(slots, np.float32)
-    tags[at], out[at] = tag, values[order]
-    return tags, out
 
+def continuation(run: np.ndarray) -> np.ndarray:
+    """The shared backoff: of each run, the probability of its last symbol after the others without the first.
 
-def _look_up(model: tuple[np.ndarray, np.ndarray], head: np.ndarray) -> np.ndarray:
-    tags, values = model
-    at, tag = _slot(head, len(tags))
-    return np.where(tags[at] == tag, values[at], 0)
+    Level by level from single symbols up: a run of k symbols counts the different symbols seen before it."""
+    length, out = _length(run), np.zeros(len(run))
+    level = np.unique(run & _mask(1))
+    base = np.full(len(level), 1 / (len(level) + 1))
+    for k in range(1, ORDER):
+        longer = np.unique(run[length > k] & _mask(k + 1))
+        n = np.bincount(np.searchsorted(level, longer & _mask(k)), minlength=len(level))
+        d = discount(n)
+        context, at = _groups(level >> BITS)
+        total, kinds = np.bincount(at, n)[at], np.bincount(at, n > 0)[at]
+        p = np.where(total > 0, (np.maximum(n - d, 0) + d * kinds * base) / np.maximum(total, 1), base)
+        here = length == k + 1
+        out[here] = p[np.searchsorted(level, run[here] & _mask(k))]
+        base, level = p[np.searchsorted(level, longer & _mask(k))], longer
+    return out
 
 
-def measure(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, the sum of log-likelihood ratios and the number of words."""
-    llr, words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for rows, parts in _slices(texts):
-        head, part = _heads(parts)
-        where = np.asarray(rows)
-        np.add.at(llr, where, np.bincount(part, _look_up(model, head), len(parts)))
-        np.add.at(words, where, np.bincount(part, minlength=len(parts)))
-    return llr, words
+def _g2(k: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of k out of n, the part of the likelihood-ratio statistic against a common share."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(k > 0, k * np.log(k / (n * share)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0))
+
+
+def _g2(k: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of k out of n, the part of the likelihood-ratio statistic against a common share."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(k > 0, k * np.log(k / (n * share)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0))
+
+
+def kneser_ney(run: np.ndarray, counts: list[np.ndarray], docs: list[np.ndarray], chance: float = CHANCE) -> dict[str, np.ndarray]:
+    """Log-likelihood ratios of runs, and of what a context gives to runs it hasn't.
+
+    ``counts``, and ``docs`` for how many documents hold them: of the toxic, then the ordinary class."""
+    context, at = _groups(run >> BITS)
+    summed = lambda n: np.bincount(at, n, len(context))
+
+    def mixed(n: np.ndarray, cut: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = summed(n)
+        free = np.where(total > 0, summed(cut) / np.maximum(total, 1), 1.0)
+        return (n - cut) / np.maximum(total, 1)[at] + free[at] * low, free
+
+    pool = counts[0] + counts[1]
+    shared = mixed(pool, np.minimum(pool, discount(pool)), continuation(run))[0]
+    totals = [summed(n)[at] for n in docs]
+    share = (docs[0] + docs[1]) / (totals[0] + totals[1])
+    sure = sum(_g2(n, total, share) for n, total in zip(docs, totals)) >= chance
+    way = run[sure]
+    for _ in range(ORDER - 2):  # what leads to such a run is spelled by class, too
+        way = way >> BITS
+        sure |= np.isin(run, way)
+    (toxic, free_toxic), (ordinary, free_ordinary) = (mixed(n, np.where(sure, np.minimum(n, discount(n)), n), shared) for n in counts)
+    value, rest = np.log(toxic / ordinary), np.log(np.maximum(free_toxic, 1e-6) / np.maximum(free_ordinary, 1e-6))
+    far = np.abs(value - rest[at]) > 1e-9
+    return {"runs": _packed(run[far], value[far]), "contexts": _packed(context[rest != 0], rest[rest != 0])}
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table, at most a quarter full: keys, and values of one number more for what isn't there."""
+    bits = max(4, int(4 * len(keys)).bit_length())
+    held, out = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+    left, at = np.arange(len(keys)), _slot(keys, bits)
+    while len(left):
+        free = held[at] < 0
+        held[at[free]] = keys[left[free]]
+        put = held[at] == keys[left]
+        out[at[put]] = values[left[put]]
+        left, at = left[~put], (at[~put] + 1) & ((1 << bits) - 1)
+    return held, out
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's value, and whether the table has it."""
+    held, values = table
+    at = _slot(keys, len(held).bit_length() - 1)
+    out, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    left = np.arange(len(keys))
+    while len(left):
+        there = held[at]
+        hit = there == keys[left]
+        out[left[hit]], known[left[hit]] = values[at[hit]], True
+        on = ~hit & (there >= 0)
+        left, at = left[on], (at[on] + 1) & (len(held) - 1)
+    return out, known
+
+
+def _ratios(words: list[str], model: dict) -> np.ndarray:
+    """Log-likelihood ratios of words."""
+    run = runs(words)
+    value, known = look_up(model["runs"], run)
+    value[~known] = look_up(model["contexts"], run[~known] >> BITS)[0]
+    return np.diff(np.cumsum(value)[run & _mask(1) == EDGE], prepend=0.0)
+
+
+def measure(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the sum of its words' ratios beyond their median, and the number of its words."""
+    llr, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words, size = words_of(text), 0
+        if not words:
+            continue
+        cuts = [0]
+        for k, w in enumerate(words):  # a very long text goes part by part
+            size += len(w)
+            if size >= SLICE:
+                cuts.append(k + 1)
+                size = 0
+        value = np.concatenate([_ratios(words[a:b], model) for a, b in zip(cuts, [*cuts[1:], len(words)]) if a < b])
+        value -= np.median(value)
+        llr[i], count[i] = value[np.abs(value) >= EVEN].sum(), len(words)
+    return llr, count
 
 
 def _features(llr: np.ndarray, words: np.ndarray) -> np.ndarray:
     n = np.maximum(words, 1)
-    return np.column_stack([np.ones(len(n)), 10 * llr / n, llr / np.sqrt(n), np.log1p(words)])
+    return np.column_stack([np.ones(len(n)), 10 * llr / n, llr / np.sqrt(n)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -185,7 +269,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds, held_out: int, max_
     part = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     # at most 2 * max_docs rows of three numbers, so the broadcast has a fixed bound
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(part(0).union(part(1))), "doc_id")
-    return rows.select("fold", "toxic", "text"), {c: n / min(n, max_docs) for c, n in have.items()}
+    words = F.split(F.lower("text"), SPACE)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(4)]))
+    rows = rows.withColumn("words", words).withColumn("group", F.array_min(grams))
+    rows = rows.groupBy("toxic", "group").agg(F.min_by(F.struct("fold", "text"), F.struct("doc_id", F.xxhash64("text"))).alias("r")).select("r.fold", "toxic", "r.text")
+    return rows, {c: n / min(n, max_docs) for c, n in have.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 20_000) -> dict | None:
@@ -193,22 +281,22 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
     rows, stands = training_rows(docs, labels, folds, held_out, max_docs)
     if len(stands) < 2:
         return None
-    counts = rows.mapInPandas(_count, "fold long, toxic int, head long, n long, docs long").groupBy("fold", "toxic", "head").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
+    rows = cut(rows)
     last = max(f for f in range(folds) if f != held_out)
+    summed = lambda of, c, late: F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == last if late else F.col("fold") != last), F.col(of)).otherwise(0))
+    columns = [summed(of, c, late).alias(f"{of}{c}{int(late)}") for of in ("n", "docs") for c in (1, 0) for late in (False, True)]
+    wide = rows.mapInPandas(_count, "fold long, toxic int, run long, n long, docs long").groupBy("run").agg(*columns)
+    # runs of the sample's documents, so bounded with it
+    counts = wide.where(f"run = -1 or docs00 + docs01 + docs10 + docs11 >= {FEWEST}").toPandas().sort_values("run")
 
-    def model(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        every = np.unique(x["head"].to_numpy())
-        n, d = [], []
-        for toxic in (1, 0):
-            own = x[x["toxic"] == toxic]
-            at = np.searchsorted(every, own["head"].to_numpy())
-            n.append(np.bincount(at, own["n"].to_numpy(), len(every)) / 1000)
-            d.append(np.bincount(at, own["docs"].to_numpy(), len(every)))
-        if not (d[0][:1].sum() and d[1][:1].sum() and n[0].sum() and n[1].sum()):
-            return _pack(every[:0], np.zeros(0), SLOTS)
-        return kneser_ney(every[1:], [x[1:] for x in n], [x[1:] for x in d], [x[0] for x in d])  # every[0] is -1
+    def model(*late: int) -> dict:
+        n, d = ([sum(counts[f"{of}{c}{x}"].to_numpy() for x in late) for c in (1, 0)] for of in ("n", "docs"))
+        if not (len(counts) and d[0][0] and d[1][0]):  # the first row counts documents
+            return {"runs": _packed(np.zeros(0, np.int64), np.zeros(0)), "contexts": _packed(np.zeros(0, np.int64), np.zeros(0))}
+        some = (d[0] + d[1] >= FEWEST) & (counts["run"].to_numpy() >= 0)
+        return kneser_ney(counts["run"].to_numpy()[some], [x[some] for x in n], [x[some] for x in d])
 
-    trial = docs.sparkSession.sparkContext.broadcast(model(counts[counts["fold"] != last]))
+    trial = docs.sparkSession.sparkContext.broadcast(model(0))
 
     def features(batches):
         for b in batches:
@@ -221,8 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
         w = np.where(y == 1, stands[1], stands[0])
         weights = _logistic(_features(seen["llr"].to_numpy(), seen["words"].to_numpy()), y, w)
     else:  # too few labels to calibrate
-        weights = np.array([-2.0, 1.0, 0.5, 0.0])
-    return {"table": model(counts), "weights": weights}
+        weights = np.array([-2.0, 1.0, 0.5])
+    return {"model": model(0, 1), "weights": weights}
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
@@ -231,15 +319,15 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFr
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("llr_per_word"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            llr, words = measure(b["text"].tolist(), m["table"])
+            llr, words = measure(b["text"].to_pylist(), m["model"])
             s = 1 / (1 + np.exp(-np.clip(_features(llr, words) @ m["weights"], -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32), "llr_per_word": llr / np.maximum(words, 1)})
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(llr / np.maximum(words, 1))], ["doc_id", "score", "predicted", "llr_per_word"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, score double, predicted int, llr_per_word double")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, llr_per_word double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 20_000, threshold: float = 0.3) -> DataFrame:
