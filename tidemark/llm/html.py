@@ -4,18 +4,19 @@ Each page is parsed once into blocks of text, each with its node of the host's s
 (the chain of tags and classes above it). Merging a host's pages gives, for each node, how its
 contents and its presentations (inner tags) spread over pages; the importance of a node is
 the weighted mean of both normalised entropies: near 0 where pages repeat one another, 1 where
-each page has its own. Branches whose tag, role or class says what they are need no vote:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments go, and
-where a page has an article or main element, so does what is beside it. All other branches go if
-their importance is below ``least`` on a host where at least ``shown`` blocks show it.
+each page has its own. Pages with the same article (or, without one, the same blocks) count once, and a node that fewer than ``shown``
+different pages have counts as important. Every block is put to this vote: its node's importance, shifted
+by a prior for what its tags say, must reach ``least``.
 
-Within an article or main element the bar is higher. A node goes there if its importance is
-below ``article_least``, and so does a block whose text the same node has in more than ``repeated``
-of the host's different articles. Copies of one article are one article in both counts, and at
-least ``shown`` different articles must have the node or the text.
+Priors (PRIOR): inside an article or main element a node needs little importance; a branch whose class
+or id says that it is noise, or that lies beside an article, is lost unless it holds about half or more of its
+host's text, which no advert or menu does; other branches stand for themselves. A block whose text its node has
+in more than ``repeated`` of the host's different pages (``shown`` at least) goes, too. What its element
+says to be no text of the page (menus, headers, footers, sidebars, forms, scripts, styles, hidden parts) isn't parsed.
 
 Defined results: null or empty html gives an empty text; null url gives the empty host, whose
-pages form one site; repeated rows get a result each; text cut off inside a tag ends there.
+pages form one site; repeated rows get a result each; text cut off inside a tag ends there; ids of any
+type come back as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, done
 
 # Element names and class words with a meaning of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +52,9 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
-DROP, KEEP, VOTE = 0, 1, 2
+DROP, KEEP, VOTE, HINT, BESIDE = range(5)
+#: What a kind of branch adds to its importance. HINT and BESIDE also get their branch's share of the host's text.
+PRIOR = {KEEP: 0.2, VOTE: 0.0, HINT: -1.2, BESIDE: -1.2}
 
 
 def _hash(*parts: object) -> int:
@@ -69,28 +72,37 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
             return DROP, style
         role = a.get("role", "").lower()
-        if role in ROLES or tag not in ("html", "body") and not NOISE.isdisjoint(WORDS.findall(f"{style} {a.get('id', '').lower()}")):
+        if role in ROLES:
             return DROP, style
+        if tag not in ("html", "body") and not NOISE.isdisjoint(WORDS.findall(f"{style} {a.get('id', '').lower()}")):
+            return HINT, style
         if role in ("main", "article"):
             return KEEP, style
     return (KEEP if tag in CONTENT else VOTE), style
 
 
-def blocks(html: str) -> list[tuple[int, int, int, str]]:
-    """The blocks of a page in order: what its tags say (DROP, KEEP, VOTE), node, presentation, text."""
-    out: list[tuple[int, int, int, str]] = []
-    stack: list[tuple[str, int, int]] = [("", VOTE, 0)]  # tag, kind, node
+def blocks(html: str) -> list[tuple[int, int, int, int, str]]:
+    """The blocks of a page in order: kind, node, branch (the node where a HINT begins; else the own), presentation, text."""
+    out: list[tuple[int, int, int, int, str]] = []
+    stack: list[tuple[str, int, int, int]] = [("", VOTE, 0, 0)]  # tag, kind, node, branch
     held: list[str] = []
     shape: list[str] = []
 
     def flush() -> None:
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            _, kind, node, branch = stack[-1]
+            text = " ".join(unescape("".join(held)).split()) if kind != DROP else ""
             if text:
-                out.append((stack[-1][1], stack[-1][2], _hash(*shape), text))
+                out.append((kind, node, branch or node, _hash(*shape), text))
             held.clear()
         shape.clear()
 
+    def enter(tag: str, kind: int, style: str) -> None:
+        _, above, node, branch = stack[-1]
+        kind = next(k for k in (DROP, HINT, KEEP, VOTE) if k in (kind, above))
+        node = _hash(node, tag, style, kind)
+        stack.append((tag, kind, node, branch or (node if kind == HINT else 0)))
+
     at = 0
     for m in MARKUP.finditer(html):
         if m.start() > at:
@@ -114,12 +126,12 @@ def blocks(html: str) -> list[tuple[int, int, int, str]]:
                         flush()
                     del stack[known:]
                 continue
-            kind, _ = _kind(tag, attributes, stack[-1][1] == KEEP)
-            if kind == DROP and stack[-1][1] != DROP:
+            kind, style = _kind(tag, attributes, stack[-1][1] == KEEP)
+            if kind in (DROP, HINT) and stack[-1][1] not in (DROP, kind):
                 flush()
-                stack.append((tag, DROP, _hash(stack[-1][2], tag)))
+                enter(tag, kind, style)
             else:
-                stack.append((tag, stack[-1][1], stack[-1][2]))
+                stack.append((tag, *stack[-1][1:]))
             continue
         flush()
         if close:
@@ -133,79 +145,82 @@ def blocks(html: str) -> list[tuple[int, int, int, str]]:
         open_p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
         if stack[open_p][0] == "p" or stack[open_p][0] == tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
             del stack[open_p:]
-        kind, style = _kind(tag, attributes, stack[-1][1] == KEEP)
-        above = stack[-1]
-        kind = DROP if DROP in (kind, above[1]) else KEEP if KEEP in (kind, above[1]) else VOTE
-        stack.append((tag, kind, _hash(above[2], tag, style)))
+        enter(tag, *_kind(tag, attributes, stack[-1][1] == KEEP))
     if at < len(html):
         held.append(html[at:])
     flush()
-    if any(b[0] == KEEP for b in out):  # beside an article, what doesn't belong to it goes
-        out = [b if b[0] == KEEP else (DROP, *b[1:]) for b in out]
+    if any(b[0] == KEEP for b in out):
+        out = [(BESIDE, _hash(n, "beside"), _hash(n, "beside"), *b) if k == VOTE else (k, n, r, *b) for k, n, r, *b in out]
     return out
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, uid (unique), host; of every block node, content and shape; of the blocks that may stay vote (its node), said (its content)
-    and text. body is the hash of the page's article, null if it has none; with one, only its blocks may stay."""
+    """page_id, url, uid (unique), host, body (the hash of its article, or of all blocks), and of every block kind, node, branch, content, shape and text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
         for b in batches:
-            rows = []
-            for html in b["html"]:
+            uids, bodies, columns = [], [], [[] for _ in range(6)]
+            for html in b.column("html").to_pylist():
                 found = blocks(html)
-                stay = [x for x in found if x[0] != DROP]
-                rows.append((n, [x[1] for x in found], [_hash(x[3]) for x in found], [x[2] for x in found], [x[1] for x in stay], [_hash(x[3]) for x in stay], [x[3] for x in stay], _hash(*(x[3] for x in stay)) if any(x[0] == KEEP for x in stay) else None))
+                each = [(kind, node, branch, _hash(text), shape, text) for kind, node, branch, shape, text in found]
+                for k, column in enumerate(columns):
+                    column.append([x[k] for x in each])
+                uids.append(n)
+                bodies.append(_hash(*((x[1], x[3]) for x in [y for y in each if y[0] == KEEP] or each)))
                 n += 1
-            out = pd.DataFrame(rows, columns=["uid", "node", "content", "shape", "vote", "said", "text", "body"])
-            out["body"] = out["body"].astype("Int64")
-            out.insert(0, "page_id", b["page_id"].astype("Int64") if kind == "bigint" else b["page_id"])
-            out.insert(1, "url", b["url"])
-            out.insert(2, "host", b["host"])
-            yield out
+            made = [pa.array(c, pa.list_(kind)) for c, kind in zip(columns, (pa.int32(), *[pa.int64()] * 4, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), pa.array(uids, pa.int64()), pa.array(bodies, pa.int64()), *made], names)
 
+    names = ["page_id", "url", "host", "uid", "body", "kind", "node", "branch", "content", "shape", "text"]
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
-    return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInPandas(
-        run, f"page_id {kind}, url string, host string, uid long, node array<long>, content array<long>, shape array<long>, vote array<long>, said array<long>, text array<string>, body long"
+    return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(
+        run, f"page_id {kind}, url string, host string, uid long, body long, kind array<int>, node array<long>, branch array<long>, content array<long>, shape array<long>, text array<string>"
     )
 
 
-def importance(parsed: DataFrame, content_weight: float = 0.9) -> DataFrame:
-    """host, node, shown (its blocks) and importance of every node of the hosts' style trees."""
-    rows = parsed.select("host", F.explode(F.arrays_zip("node", "content", "shape")).alias("b"))
-    each = rows.select("host", "b.node", F.explode(F.array(F.struct(F.lit(True).alias("c"), F.col("b.content").alias("v")), F.struct(F.lit(False).alias("c"), F.col("b.shape").alias("v")))).alias("f"))
-    counts = each.groupBy("host", "node", "f.c", "f.v").agg(F.count("*").alias("n"))
+def style_tree(parsed: DataFrame) -> DataFrame:
+    """host, node, kind, branch, content, shape, size, n: how many different pages of the host show this block; the text's size in code points."""
+    block = F.arrays_zip("kind", "node", "branch", "content", "shape", F.transform("text", lambda t: F.length(t)).alias("size"))
+    rows = parsed.select("host", "body", F.explode(block).alias("b")).select("host", "body", "b.*")
+    return rows.distinct().groupBy("host", "node", "kind", "branch", "content", "shape", "size").agg(F.count("*").alias("n"))
+
+
+def importance(tree: DataFrame, content_weight: float = 0.9) -> DataFrame:
+    """host, node, kind, branch, shown (its blocks) and importance of every node."""
+    each = tree.select("host", "node", "kind", "branch", "n", F.explode(F.array(F.struct(F.lit(True).alias("c"), F.col("content").alias("v")), F.struct(F.lit(False).alias("c"), F.col("shape").alias("v")))).alias("f"))
+    counts = each.groupBy("host", "node", "kind", "branch", "f.c", "f.v").agg(F.sum("n").alias("n"))
     n, total = F.col("n").cast("double"), F.sum("n").cast("double")
     spread = F.when(F.count("*") == F.sum("n"), F.lit(1.0)).otherwise((F.log(total) * total - F.sum(n * F.log(n))) / total / F.log(total))
-    kinds = counts.groupBy("host", "node", "c").agg(F.sum("n").alias("shown"), spread.alias("entropy"))
+    kinds = counts.groupBy("host", "node", "kind", "branch", "c").agg(F.sum("n").alias("shown"), spread.alias("entropy"))
     weight = F.when(F.col("c"), F.lit(content_weight)).otherwise(F.lit(1 - content_weight))
-    return kinds.groupBy("host", "node").agg(F.max("shown").alias("shown"), F.sum(weight * F.col("entropy")).alias("importance"))
+    return kinds.groupBy("host", "node", "kind", "branch").agg(F.max("shown").alias("shown"), F.sum(weight * F.col("entropy")).alias("importance"))
 
 
-def repeated_in_articles(parsed: DataFrame, least: float, shown: int, repeated: float) -> DataFrame:
-    """host, node, content of the blocks of articles that the host's different articles repeat."""
-    own = parsed.where("body is not null")
-    each = own.select("host", "body", F.explode(F.arrays_zip("vote", "said")).alias("b")).select("host", "body", F.col("b.vote").alias("node"), F.col("b.said").alias("content"))
-    texts = cut(each.groupBy("host", "node", "content").agg(F.count_distinct("body").alias("n")))
-    n, total = F.col("n").cast("double"), F.sum("n").cast("double")
-    spread = F.when(F.count("*") == F.sum("n"), F.lit(1.0)).otherwise((F.log(total) * total - F.sum(n * F.log(n))) / total / F.log(total))
-    low = texts.groupBy("host", "node").agg(F.sum("n").alias("shown"), spread.alias("importance")).where((F.col("shown") >= shown) & (F.col("importance") < least))
-    articles = own.groupBy("host").agg(F.count_distinct("body").alias("articles"))
-    often = texts.where(F.col("n") >= shown).join(articles, "host").where(F.col("n") > F.col("articles") * F.lit(repeated)).select("host", "node", "content")
-    return cut(texts.join(low.select("host", "node"), ["host", "node"]).select("host", "node", "content").unionByName(often).distinct())
+def verdicts(tree: DataFrame, least: float, shown: int) -> DataFrame:
+    """host, node, score of every node: its importance, its kind's prior, and of doubtful branches their share of the host's text."""
+    size = F.sum(F.col("size") * F.col("n"))
+    of_host = tree.groupBy("host").agg(size.alias("all"))
+    share = tree.where(F.col("kind").isin(HINT, BESIDE)).groupBy("host", "branch").agg(size.alias("own")).join(of_host, "host").select("host", "branch", (F.col("own") / F.col("all")).alias("share"))
+    prior = F.element_at(F.create_map(*[F.lit(x) for kv in PRIOR.items() for x in kv]), F.col("kind"))
+    nodes = importance(tree).join(share, ["host", "branch"], "left")
+    value = F.when(F.col("shown") >= shown, F.col("importance")).otherwise(F.lit(1.0)) + prior + F.coalesce("share", F.lit(0.0))
+    return nodes.select("host", "node", value.alias("score"))
 
 
-def extract(pages: DataFrame, least: float = 0.3, shown: int = 4, article_least: float = 0.1, repeated: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.3, shown: int = 4, repeated: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = cut(parse(pages))
-    low = importance(parsed).where((F.col("shown") >= shown) & (F.col("importance") < least)).select("host", "node")
-    blocks_of = lambda x: x.select("uid", "host", F.explode(F.arrays_zip("vote", "said")).alias("b")).select("uid", "host", F.col("b.vote").alias("node"), F.col("b.said").alias("content"))
-    outside = blocks_of(parsed.where("body is null")).join(low, ["host", "node"])
-    within = blocks_of(parsed.where("body is not null")).join(repeated_in_articles(parsed, article_least, shown, repeated), ["host", "node", "content"])
+    tree = cut(style_tree(parsed))
+    low = verdicts(tree, least, shown).where(F.col("score") < least).select("host", "node")
+    bodies = parsed.groupBy("host").agg(F.count_distinct("body").alias("pages"))
+    often = tree.groupBy("host", "node", "content").agg(F.sum("n").alias("n")).where(F.col("n") >= shown).join(bodies, "host").where(F.col("n") > F.col("pages") * F.lit(repeated)).select("host", "node", "content")
+    lost = cut(tree.join(low, ["host", "node"]).select("host", "node", "content").unionByName(often).distinct())
+    done(tree)
     # written first, so that where few blocks go the texts need no shuffle
-    gone = cut(outside.unionByName(within.select(*outside.columns)).groupBy("uid").agg(F.collect_set(F.struct("node", "content")).alias("gone")))
-    rest = F.filter(F.arrays_zip("vote", "said", "text"), lambda b: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), F.struct(b["vote"].alias("node"), b["said"].alias("content"))))
+    held = parsed.select("uid", "host", F.explode(F.arrays_zip("node", "content")).alias("b")).select("uid", "host", "b.node", "b.content")
+    gone = cut(held.join(lost, ["host", "node", "content"]).groupBy("uid").agg(F.collect_set(F.struct("node", "content")).alias("gone")))
+    rest = F.filter(F.arrays_zip("node", "content", "text"), lambda b: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), F.struct(b["node"].alias("node"), b["content"].alias("content"))))
     out = parsed.join(gone, "uid", "left").select("page_id", "url", F.array_join(F.transform(rest, lambda b: b["text"]), "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
