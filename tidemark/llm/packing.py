@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,25 +85,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """doc_id, piece, start, length, ids_crc32 of every piece; task and rank number the pieces of a length within a task."""
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task = _Ids(tokenizer), TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            rows, owners = [], []
+            for row, text in enumerate(b.column("text").to_pylist()):
                 ids = ids_of.text(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, used[n]))
+                    rows.append((k, at // 4, n, zlib.crc32(part), task, used[n]))
+                    owners.append(row)
                     used[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-            if kind == "bigint":
-                out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            x = np.array(rows, np.int64).reshape(-1, 6)
+            columns = [pa.array(np.ascontiguousarray(x[:, k])) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owners, pa.int32())), columns[0].cast(pa.int32()), *columns[1:]], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")
 
 
 def plan(lengths: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "residual_norm", weights=(1.0, 1.0, 1.0)) -> list[tuple[int, int, int, int, int, int]]:
