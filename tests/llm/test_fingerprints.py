@@ -169,6 +169,33 @@ def test_substring_odd_rows(spark, odd_docs, no_docs):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 60)]
 
 
+def test_substring_rows_that_share_a_doc_id(spark):
+    """Each row is judged by its own text, none against one with its id; ids above 2**53 stay as they are beside a null one."""
+    big = (1 << 60) + 1
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(80))
+    rows = [(big, a), (big, b), (big, a + " " + b), (big + 1, b + " end"), (None, a), (big + 2, "x " + a[: len(a) // 2])]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    half = len(a[: len(a) // 2].split())
+    cut = half - (a[: len(a) // 2].split()[-1] != f"a{half - 1}")
+    assert got == [(0, 300, 0), (big, 80, 0), (big, 300, 0), (big, 380, 0), (big + 1, 81, 80), (big + 2, half + 1, cut)]
+
+
+def test_parse():
+    """Pieces that go on at the next place of one reference are one factor."""
+    assert substring.parse([0, 3, 10], [3, 2, 5], [1, 1, 1], [7, 10, 17], 50) == [(0, 54, 1, 7), (10, 54, 1, 17)]
+    assert substring.parse([3, 0], [2, 3], [1, 2], [10, 7], 50) == [(0, 52, 2, 7), (3, 51, 1, 10)]
+    assert substring.parse([0, 3], [3, 2], [1, 1], [7, 11], 50) == [(0, 52, 1, 7), (3, 51, 1, 11)]
+
+
+def test_substring_long_text(spark):
+    """A text of 200,000 words that holds an earlier document in its middle."""
+    early = " ".join(f"e{i % 977}x{i // 7}" for i in range(4000))
+    late = " ".join(f"l{i}" for i in range(98_000))
+    texts = [early, f"{late} {early} {' '.join(f'm{i}' for i in range(98_000))}"]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (4000, 0), 1: (200_000, 4000)}
+
+
 def test_likeness_of_whole_hashes(spark):
     """Grams whose hashes differ in their last shown bits only are unlike."""
     x = spark.createDataFrame([([(5 << 24) + 9, (6 << 24) + 8, (900 << 24) + 7], [(5 << 24) + 3, (7 << 24) + 2])], "a array<long>, b array<long>")

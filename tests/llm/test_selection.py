@@ -203,6 +203,15 @@ def test_quality_odd_rows(odd_docs, no_docs, labels, no_labels, docs):
     assert {r["llr"] for r in quality.quality(docs, no_labels).collect()} == {0.0}
 
 
+def test_packing_ids(spark):
+    """Ids above 2**53 beside a null one, two texts under one id, and a text of many pieces."""
+    big = (1 << 60) + 1
+    rows = [(None, "a b"), (big, "c"), (big, "d e f"), (big + 1, "long text " * 30_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), TOKENIZER).collect()
+    assert {x["doc_id"] for x in got} == {None, big, big + 1} and sum(x["doc_id"] == big for x in got) == 2
+    assert sorted((x["start"], x["piece"]) for x in got if x["doc_id"] == big + 1) == [(4096 * k, k) for k in range(sum(x["doc_id"] == big + 1 for x in got))]
+
+
 def check_packing(rows, texts, capacity):
     t = Tokenizer.from_file(TOKENIZER)
     ids = [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
