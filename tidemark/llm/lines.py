@@ -12,9 +12,9 @@ Rarity comes from counts of all words of all different lines in SLOTS hashed slo
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. Where a word still has more than ``busy`` lines, each line is
-first held against the earliest one and its neighbour, which finds most matches of groups of near
-copies in a few comparisons a line; only lines without a match so far meet all the others.
+Of equal lines only the first goes on. Under words that may have 2 ** (2 / 3 * ``busy``) lines or more by their class,
+each line is first held against the earliest one there and its neighbour, which finds most matches of groups
+of near copies in a few comparisons a line; only lines without a match so far meet all the others.
 
 Defined results: null text has no lines and stays null; a line without words always stays;
 rows with null doc_id stay whole and remove nothing; rows that share a doc_id are documents of
@@ -39,7 +39,7 @@ BLANKS = " \t\x0b\x0c\r"
 
 def rarity(lines: DataFrame) -> Column:
     """The class of each slot's count, 0 for the rarest, as one constant array. ``lines`` come from ``lines_of``."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
+    slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1).cast("bigint")).cast("int")
     counts = lines.select(F.explode(F.split("line", " ")).alias("word")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     step = F.least(F.floor(1.5 * F.log2("n")), F.lit(CLASSES - 1)).cast("int").alias("step")
     every = lines.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts.select("slot", step), "slot", "left")
@@ -58,7 +58,7 @@ def ordered(words: Column, steps: Column) -> Column:
     """A line's distinct words, rarest first: the slot's class over the upper bits of the hash."""
 
     def key(h: Column) -> Column:
-        step = F.coalesce(F.get(steps, F.pmod(h, F.lit(SLOTS)).cast("int")), F.lit(0)).cast("bigint")
+        step = F.coalesce(F.get(steps, h.bitwiseAND(F.lit(SLOTS - 1).cast("bigint")).cast("int")), F.lit(0)).cast("bigint")
         return F.shiftleft(step, 63 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS + 1))
 
     return F.array_distinct(F.sort_array(F.transform(words, key)))
@@ -73,10 +73,15 @@ def lines_of(docs: DataFrame, numbers: Column | None = None) -> DataFrame:
         each = F.transform(F.col("__numbers"), lambda i: F.struct(i.alias("line_no"), F.get(F.col("__lines"), i).alias("line")))
         x = x.select(*DOC, F.inline(each))
     x = x.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    return normal(x)
+
+
+def normal(lines: DataFrame) -> DataFrame:
+    """``lines`` with single spaces between words."""
     odd = F.lit(False)
     for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):  # few lines need the pattern, which costs as much as all else
         odd = odd | F.contains("line", F.lit(blank))
-    return x.withColumn("line", F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")))
+    return lines.withColumn("line", F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")))
 
 
 def _before(a: str, b: str) -> str:
@@ -102,16 +107,15 @@ def _pairs(short: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
     order = f"(a_n < n or (a_n = n and {_before('a_', '')}))"  # each pair once
     x = a.join(long, "word").where(f"{order} and {_may('a_', '', num, den)} and not if({_before('a_', '')}, matched, a_matched)")
     here, there = F.struct(*LINE), F.struct(*[F.col(f"a_{c}").alias(c) for c in LINE])
-    return x.select(F.greatest(here, there).alias("line"), F.least(here, there).alias("a"))
+    return x.select(F.greatest(here, there).alias("line"), F.least(here, there).alias("a"), (F.col("n") + F.col("a_n")).alias("words"))
 
 
 def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines of the pairs that are similar; texts: lines by key, at least those of the pairs."""
     keyed = texts.select(F.struct(*LINE).alias("line"), F.col("line").alias("text"))
     x = pairs.join(keyed, "line").withColumnsRenamed({"line": "later", "text": "b"}).join(keyed.withColumnsRenamed({"line": "a", "text": "a_text"}), "a")
-    sets = x.select("later", *[F.array_distinct(hashes(F.col(c))).alias(c) for c in ("a_text", "b")])
-    both, a, b = F.size(F.array_intersect("a_text", "b")), F.size("a_text"), F.size("b")
-    return sets.select("later", both.alias("both"), (a + b).alias("sum")).where(f"{den} * both >= {num} * (sum - both)").select("later.*").distinct()
+    x = x.select("later", "words", F.size(F.array_intersect(hashes(F.col("a_text")), hashes(F.col("b")))).alias("both"))
+    return x.where(f"{den} * both >= {num} * (words - both)").select("later.*").distinct()
 
 
 def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return lines.join(pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").distinct(), LINE)
 
 
-def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 32) -> DataFrame:
+def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 15) -> DataFrame:
     """doc_id, v, line_no of every line with an earlier line of at least this similarity (a fraction). ``docs`` has doc_id, v (together unique) and text, no nulls."""
     num, den = similarity
     here = F.struct(*LINE)
@@ -136,25 +140,25 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 3
     x = lines.select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
     x = x.select(*LINE, F.size("w").alias("n"), "w", F.expr("aggregate(w, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"))
     x = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
-    posts = cut(x.withColumn("many", F.count("*").over(Window.partitionBy("word"))).where("many > 1"))
+    posts = cut(x)
     done()
 
-    few = posts.where(F.col("many") <= busy).drop("many").withColumn("matched", F.lit(False))
-    crowd = posts.where(F.col("many") > busy).drop("many")
+    rare = posts.where(F.col("word") < busy << 63 - CLASS_BITS).withColumn("matched", F.lit(False))
+    hot = posts.where(F.col("word") >= busy << 63 - CLASS_BITS)
     entry, in_order = F.struct(*LINE, "n", "at", "sig"), Window.partitionBy("word").orderBy(*LINE)
     near = F.array_distinct(F.array(F.first(entry).over(in_order), F.lag(entry).over(in_order)))
-    tried = crowd.select(*LINE, "n", "at", "sig", near.alias("near")).select(*LINE, "n", "at", "sig", F.explode("near").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
-    pairs = _pairs(few, few, num, den).unionByName(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a")))
+    tried = hot.select(*LINE, "n", "at", "sig", near.alias("near")).select(*LINE, "n", "at", "sig", F.explode("near").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    pairs = _pairs(rare, rare, num, den).unionByName(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")))
     pairs = cut(pairs.distinct())
     texts = cut(_texts(lines, pairs))
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
-    marked = cut(crowd.join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    marked = cut(hot.join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
     done(posts)
     single, matched = marked.where("not matched"), marked.where("matched")
     more = _pairs(single, marked, num, den).unionByName(_pairs(matched, single, num, den)).distinct()
-    more = cut(more.join(pairs, ["line", "a"], "left_anti"))
+    more = cut(more.join(pairs.select("line", "a"), ["line", "a"], "left_anti"))
     late = cut(_matched(more, _texts(lines, more), num, den))
     done(lines, pairs, marked, more)
     return equal.unionByName(found).unionByName(late)
