@@ -39,7 +39,8 @@ from .common import SPACE, cut
 BITS, ORDER = 9, 7
 EDGE, WIDE = 1, 386
 SLICE = 500_000
-FEWEST = 2
+#: Runs that fewer documents of the sample hold aren't counted.
+FEWEST = 5
 #: Likelihood-ratio statistic of a run in its context below which the classes' counts differ by chance (p of about 0.001).
 CHANCE = 11.0
 #: Ratios nearer to the text's median word than this say nothing (a factor of about 1.6).
@@ -284,17 +285,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
     rows = cut(rows)
     last = max(f for f in range(folds) if f != held_out)
     summed = lambda of, c, late: F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == last if late else F.col("fold") != last), F.col(of)).otherwise(0))
-    columns = [summed(of, c, late).alias(f"{of}{c}{int(late)}") for of in ("n", "docs") for c in (1, 0) for late in (False, True)]
+    columns = [summed(of, c, late).cast("int").alias(f"{of}{c}{int(late)}") for of in ("n", "docs") for c in (1, 0) for late in (False, True)]
     wide = rows.mapInPandas(_count, "fold long, toxic int, run long, n long, docs long").groupBy("run").agg(*columns)
     # runs of the sample's documents, so bounded with it
-    counts = wide.where(f"run = -1 or docs00 + docs01 + docs10 + docs11 >= {FEWEST}").toPandas().sort_values("run")
+    table = wide.where(f"run = -1 or docs00 + docs01 + docs10 + docs11 >= {FEWEST}").toArrow()
+    order = np.argsort(table["run"].to_numpy())
+    counts = {c: table[c].to_numpy()[order] for c in table.column_names}
+    del table
 
     def model(*late: int) -> dict:
-        n, d = ([sum(counts[f"{of}{c}{x}"].to_numpy() for x in late) for c in (1, 0)] for of in ("n", "docs"))
-        if not (len(counts) and d[0][0] and d[1][0]):  # the first row counts documents
+        n, d = ([sum(counts[f"{of}{c}{x}"] for x in late) for c in (1, 0)] for of in ("n", "docs"))
+        if not (len(order) and d[0][0] and d[1][0]):  # the first row counts documents
             return {"runs": _packed(np.zeros(0, np.int64), np.zeros(0)), "contexts": _packed(np.zeros(0, np.int64), np.zeros(0))}
-        some = (d[0] + d[1] >= FEWEST) & (counts["run"].to_numpy() >= 0)
-        return kneser_ney(counts["run"].to_numpy()[some], [x[some] for x in n], [x[some] for x in d])
+        some = (d[0] + d[1] >= FEWEST) & (counts["run"] >= 0)
+        return kneser_ney(counts["run"][some], [x[some] for x in n], [x[some] for x in d])
 
     trial = docs.sparkSession.sparkContext.broadcast(model(0))
 
