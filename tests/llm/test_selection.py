@@ -125,7 +125,7 @@ def test_toxicity_models():
     every = np.unique(np.concatenate([x[0] for x in rows]))
     n, docs = ([np.bincount(np.searchsorted(every, x[0]), x[k], len(every)) for x in rows] for k in (1, 2))
     some = docs[0] + docs[1] >= toxicity.FEWEST
-    model = toxicity.kneser_ney(every[some], [x[some] for x in n], [x[some] for x in docs])
+    model = {k: toxicity._packed(*v) for k, v in toxicity.kneser_ney(every[some], [x[some] for x in n], [x[some] for x in docs]).items()}
     texts = [*toxic[:5], *ordinary[:5], "", "new words", "badbadbad BAD bad", " \n", "a" * 40]
     llr, words = toxicity.measure(texts, model)
     for t, got, m in zip(texts, llr, words):

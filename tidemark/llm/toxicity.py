@@ -40,7 +40,7 @@ BITS, ORDER = 9, 7
 EDGE, WIDE = 1, 386
 SLICE = 500_000
 #: Runs that fewer documents of the sample hold aren't counted.
-FEWEST = 5
+FEWEST = 2
 #: Likelihood-ratio statistic of a run in its context below which the classes' counts differ by chance (p of about 0.001).
 CHANCE = 11.0
 #: Ratios nearer to the text's median word than this say nothing (a factor of about 1.6).
@@ -155,7 +155,7 @@ def _g2(k: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
         return 2 * (np.where(k > 0, k * np.log(k / (n * share)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - share))), 0))
 
 
-def kneser_ney(run: np.ndarray, counts: list[np.ndarray], docs: list[np.ndarray], chance: float = CHANCE) -> dict[str, np.ndarray]:
+def kneser_ney(run: np.ndarray, counts: list[np.ndarray], docs: list[np.ndarray], chance: float = CHANCE) -> dict[str, tuple]:
     """Log-likelihood ratios of runs, and of what a context gives to runs it hasn't.
 
     ``counts``, and ``docs`` for how many documents hold them: of the toxic, then the ordinary class."""
@@ -179,7 +179,19 @@ def kneser_ney(run: np.ndarray, counts: list[np.ndarray], docs: list[np.ndarray]
     (toxic, free_toxic), (ordinary, free_ordinary) = (mixed(n, np.where(sure, np.minimum(n, discount(n)), n), shared) for n in counts)
     value, rest = np.log(toxic / ordinary), np.log(np.maximum(free_toxic, 1e-6) / np.maximum(free_ordinary, 1e-6))
     far = np.abs(value - rest[at]) > 1e-9
-    return {"runs": _packed(run[far], value[far]), "contexts": _packed(context[rest != 0], rest[rest != 0])}
+    return {"runs": (run[far], value[far]), "contexts": (context[rest != 0], rest[rest != 0])}
+
+
+def _models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All counts of the sample, which is bounded, to the trial (0) and the final (1) model's entries (model, part, key, value)."""
+    x = pd.concat(list(batches)).sort_values("run")
+    for model, late in ((0, (0,)), (1, (0, 1))):
+        n, docs = ([sum(x[f"{of}{c}{k}"].to_numpy() for k in late) for c in (1, 0)] for of in ("n", "docs"))
+        if not (len(x) and docs[0][0] and docs[1][0]):  # the first row counts documents
+            continue
+        some = (docs[0] + docs[1] >= FEWEST) & (x["run"].to_numpy() >= 0)
+        for part, (key, value) in kneser_ney(x["run"].to_numpy()[some], [k[some] for k in n], [k[some] for k in docs]).items():
+            yield pd.DataFrame({"model": model, "part": part, "key": key, "value": value})
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -287,18 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
     summed = lambda of, c, late: F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == last if late else F.col("fold") != last), F.col(of)).otherwise(0))
     columns = [summed(of, c, late).cast("int").alias(f"{of}{c}{int(late)}") for of in ("n", "docs") for c in (1, 0) for late in (False, True)]
     wide = rows.mapInPandas(_count, "fold long, toxic int, run long, n long, docs long").groupBy("run").agg(*columns)
-    # runs of the sample's documents, so bounded with it
-    table = wide.where(f"run = -1 or docs00 + docs01 + docs10 + docs11 >= {FEWEST}").toArrow()
-    order = np.argsort(table["run"].to_numpy())
-    counts = {c: table[c].to_numpy()[order] for c in table.column_names}
-    del table
-
-    def model(*late: int) -> dict:
-        n, d = ([sum(counts[f"{of}{c}{x}"] for x in late) for c in (1, 0)] for of in ("n", "docs"))
-        if not (len(order) and d[0][0] and d[1][0]):  # the first row counts documents
-            return {"runs": _packed(np.zeros(0, np.int64), np.zeros(0)), "contexts": _packed(np.zeros(0, np.int64), np.zeros(0))}
-        some = (d[0] + d[1] >= FEWEST) & (counts["run"] >= 0)
-        return kneser_ney(counts["run"][some], [x[some] for x in n], [x[some] for x in d])
+    # one task fits: runs of the sample's documents, so bounded with it; the driver gets the entries where the classes differ
+    entries = wide.where(f"run = -1 or docs00 + docs01 + docs10 + docs11 >= {FEWEST}").coalesce(1).mapInPandas(_models, "model int, part string, key long, value double").toPandas()
+
+    def model(which: int) -> dict:
+        own = entries[entries["model"] == which]
+        return {p: _packed(own["key"][own["part"] == p].to_numpy(np.int64), own["value"][own["part"] == p].to_numpy(float)) for p in ("runs", "contexts")}
 
     trial = docs.sparkSession.sparkContext.broadcast(model(0))
 
@@ -314,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
         weights = _logistic(_features(seen["llr"].to_numpy(), seen["words"].to_numpy()), y, w)
     else:  # too few labels to calibrate
         weights = np.array([-2.0, 1.0, 0.5])
-    return {"model": model(0, 1), "weights": weights}
+    return {"model": model(1), "weights": weights}
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFrame:
