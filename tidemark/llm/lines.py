@@ -12,9 +12,9 @@ Rarity comes from counts of all words of all different lines in SLOTS hashed slo
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. Under words that may have 2 ** (2 / 3 * ``busy``) lines or more by their class,
-each line is first held against the earliest one there and its neighbour, which finds most matches of groups
-of near copies in a few comparisons a line; only lines without a match so far meet all the others.
+Of equal lines only the first goes on. Under each word every line is first held against the earliest line
+there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
+all. Then lines without a match so far meet all others; lines that have one meet only those.
 
 Defined results: null text has no lines and stays null; a line without words always stays;
 rows with null doc_id stay whole and remove nothing; rows that share a doc_id are documents of
@@ -118,12 +118,13 @@ def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return x.where(f"{den} * both >= {num} * (words - both)").select("later.*").distinct()
 
 
-def _texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, v, line_no, line of the lines in ``pairs``."""
-    return lines.join(pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").distinct(), LINE)
+    asked = pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").groupBy(*DOC).agg(F.collect_set("line_no").alias("asked"))
+    return lines_of(docs.join(asked, DOC), F.col("asked"))
 
 
-def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 15) -> DataFrame:
+def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, v, line_no of every line with an earlier line of at least this similarity (a fraction). ``docs`` has doc_id, v (together unique) and text, no nulls."""
     num, den = similarity
     here = F.struct(*LINE)
@@ -140,27 +141,27 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5), busy: int = 1
     x = lines.select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
     x = x.select(*LINE, F.size("w").alias("n"), "w", F.expr("aggregate(w, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"))
     x = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
-    posts = cut(x)
-    done()
-
-    rare = posts.where(F.col("word") < busy << 63 - CLASS_BITS).withColumn("matched", F.lit(False))
-    hot = posts.where(F.col("word") >= busy << 63 - CLASS_BITS)
-    entry, in_order = F.struct(*LINE, "n", "at", "sig"), Window.partitionBy("word").orderBy(*LINE)
-    near = F.array_distinct(F.array(F.first(entry).over(in_order), F.lag(entry).over(in_order)))
-    tried = hot.select(*LINE, "n", "at", "sig", near.alias("near")).select(*LINE, "n", "at", "sig", F.explode("near").alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
-    pairs = _pairs(rare, rare, num, den).unionByName(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")))
-    pairs = cut(pairs.distinct())
-    texts = cut(_texts(lines, pairs))
+    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig"), Window.partitionBy("word").orderBy(*LINE)
+    x = x.withColumn("many", F.count("*").over(Window.partitionBy("word"))).withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).where("many > 1")
+    for c in ("first", "last"):
+        x = x.withColumn(c, F.when(F.expr(f"{c} is not null and {_before(f'{c}.', '')} and {_may(f'{c}.', '', num, den)}"), F.col(c)))
+    posts = cut(x.drop("many"))
+    done(lines)
+
+    tried = posts.select(*LINE, "n", F.explode(F.array("first", "last")).alias("a")).where("a is not null")
+    pairs = cut(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")).distinct())
+    texts = cut(_texts(docs, pairs))
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
-    marked = cut(hot.join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    marked = cut(posts.drop("first", "last").join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
     done(posts)
     single, matched = marked.where("not matched"), marked.where("matched")
-    more = _pairs(single, marked, num, den).unionByName(_pairs(matched, single, num, den)).distinct()
+    more = _pairs(marked, single, num, den).unionByName(_pairs(single, matched, num, den)).distinct()
     more = cut(more.join(pairs.select("line", "a"), ["line", "a"], "left_anti"))
-    late = cut(_matched(more, _texts(lines, more), num, den))
-    done(lines, pairs, marked, more)
+    done(marked, pairs)
+    late = cut(_matched(more, _texts(docs, more), num, den))
+    done(more)
     return equal.unionByName(found).unionByName(late)
 
 
