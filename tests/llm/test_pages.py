@@ -32,7 +32,8 @@ def rank(edges, seeds, rounds=200, damping=0.85):
     m /= np.maximum(m.sum(0), 1)
     x = seed
     for _ in range(rounds):
-        x = (1 - damping) * seed + damping * m @ x
+        x = damping * m @ x
+        x = x + (1 - x.sum()) * seed
     return dict(zip(hosts, x))
 
 
@@ -78,6 +79,20 @@ def test_urls_odd_rows(spark):
     assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and got.count() == 3
 
 
+def test_propagation(spark):
+    """Scores against plain iteration, with hosts without links, to the tolerance."""
+    r = random.Random(8)
+    edges = Counter((f"h{r.randint(0, 30)}", f"h{r.randint(0, 40)}") for _ in range(90))
+    edges = {e: n for e, n in edges.items() if e[0] != e[1]}
+    seeds = {f"h{k}": k + 1 for k in range(4)}
+    want = rank(edges, seeds)
+    rows = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    got, start = urls.propagate(rows, spark.createDataFrame([(h, k / 10) for h, k in seeds.items()], "host string, seed double"), tolerance=1e-3)
+    got = {x["host"]: x["score"] for x in got.collect()}
+    assert 0.15 <= start < 1 and abs(sum(got.values()) - 1) < 1e-9
+    assert all(abs(got.get(h, 0) - s) < 2e-3 for h, s in want.items())
+
+
 def test_partly_blocked_hosts_seed(spark, tmp_path):
     """Hosts with few blocked pages hand distrust to who links to them; each host decides by its own pages."""
     link = '<a href="http://part.net/">x</a>'

@@ -40,15 +40,20 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def done(*frames: DataFrame) -> None:
-    """Delete the tables of ``cut`` that no later step reads, and let go of finished steps' shuffle files.
-
-    Spark removes the files of a shuffle once the driver's garbage collector finds its plan unused, by itself at most every
-    half hour. A job of many steps would hold all of them until then."""
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of ``cut`` that no later step reads."""
     for x in frames:
         spark = x.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(x.cut_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def done(*frames: DataFrame) -> None:
+    """``drop``, and let go of finished steps' shuffle files.
+
+    Spark removes the files of a shuffle once the driver's garbage collector finds its plan unused, by itself at most every
+    half hour. A job of many steps would hold all of them until then."""
+    drop(*frames)
     gc.collect()
     time.sleep(0.5)  # until Spark's listeners have let go of the finished plan
     SparkSession.active()._jvm.System.gc()

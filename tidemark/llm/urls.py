@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rules = tuple[tuple[str, str], ...]
@@ -62,30 +62,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return x.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """host, score: personalised PageRank along ``edges`` (src, dst, n) from ``seeds`` (host, seed; the seeds sum to 1).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> tuple[DataFrame, float]:
+    """Personalised PageRank along ``edges`` (src, dst, n) from ``seeds`` (host, seed; the seeds sum to 1): host, score, and the
+    share of all score that starts at seeds in each round.
 
-    Each round is one join and one aggregation over hosts, written to the shared folder; it ends
-    when the scores move by less than ``tolerance`` in all."""
+    What hosts without links hold starts at seeds again, so the scores sum to 1. Each round is one join and one aggregation over
+    hosts, written to the shared folder. It ends when the scores move by less than ``tolerance`` in all, at the latest when
+    damping ** rounds is below half of it."""
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    score = seeds.select("host", F.col("seed").alias("score"))
-    if share.isEmpty():
-        return score.select("host", (F.col("score") * F.lit(1 - damping)).alias("score"))
-    score = cut(score)
-    for _ in range(rounds):
-        flow = score.join(share, score["host"] == share["src"]).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"), F.lit(0.0).alias("old"))
-        base = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"), F.lit(0.0).alias("old"))
-        last = score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("old"))
-        both = cut(flow.unionByName(base).unionByName(last).groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")))
-        moved = both.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-        score = both.select("host", "score")
+    if share.isEmpty() or seeds.isEmpty():
+        return seeds.select("host", F.col("seed").alias("score")), 1.0
+    start, state = 0.0, cut(seeds.select("host", F.col("seed").alias("flow"), F.lit(0.0).alias("seed")))
+    while True:
+        zero = F.lit(0.0)
+        score = state.select("host", (F.col("flow") + F.lit(start) * F.col("seed")).alias("score"))
+        flow = score.join(share, score["host"] == share["src"]).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("flow"), zero.alias("seed"), zero.alias("old"))
+        base = seeds.select("host", zero.alias("flow"), "seed", zero.alias("old"))
+        last = state.select("host", zero.alias("flow"), zero.alias("seed"), F.col("flow").alias("old"))
+        both = cut(flow.unionByName(base).unionByName(last).groupBy("host").agg(F.sum("flow").alias("flow"), F.sum("seed").alias("seed"), F.sum("old").alias("old")))
+        sums = both.agg(F.sum("flow").alias("flow"), F.sum(F.abs(F.col("flow") - F.col("old"))).alias("moved")).first()
+        drop(state)
+        state, moved, start = both.drop("old"), sums["moved"] + abs(1 - sums["flow"] - start), 1 - sums["flow"]
+        state.cut_path = both.cut_path
         if moved < tolerance:
-            break
-    return score
+            return state.select("host", (F.col("flow") + F.lit(start) * F.col("seed")).alias("score")), start
 
 
-def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float = 0.0, rounds: int = 30, threshold: float | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float = 0.0, threshold: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -100,16 +104,16 @@ def judge(pages: DataFrame, rules: Rules, damping: float = 0.85, margin: float =
         return known.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(max(total[column], 1)))).alias("seed"))
 
     edges = cut(host_edges(pages.select("url", "html")))
-    trust = propagate(edges, seeds("good"), damping, rounds)
+    trust, trust_start = propagate(edges, seeds("good"), damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, seeds("bad"), damping, rounds)
+    distrust, distrust_start = propagate(back, seeds("bad"), damping)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scores = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     if threshold is None:
         scores = scores.where(F.col("distrust") > F.col("trust") + margin)
     else:  # in pages; hosts without pages decide nothing
-        worth = lambda column, n: F.col(column) * F.lit(n / (1 - damping))
-        scores = scores.join(known.select("host", "pages"), "host").where(worth("distrust", total["bad"]) - worth("trust", total["good"]) > F.col("pages") * F.lit(threshold))
+        worth = lambda column, n, start: F.col(column) * F.lit(n / start)
+        scores = scores.join(known.select("host", "pages"), "host").where(worth("distrust", total["bad"], distrust_start) - worth("trust", total["good"], trust_start) > F.col("pages") * F.lit(threshold))
     blocked = scores.select(F.col("host").alias("blocked"))
     x = seen.join(blocked, F.col("host") == F.col("blocked"), "left")
     verdict = F.coalesce("ruled", F.when(F.col("blocked").isNotNull(), "block").otherwise("allow"))
