@@ -46,8 +46,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--smoothwidth", type=int, default=4)
     p.add_argument("--pv-adjust", default="fdr")
     p.add_argument("--pv-threshold", type=float, default=0.05)
+    p.add_argument("--checkpoint-dir", help="folder that the driver and all executors share; spark.checkpoint.dir by default")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if a.checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(a.checkpoint_dir)
     track = tracks.bedgraph(spark, a.plus, "+").unionByName(tracks.bedgraph(spark, a.minus, "-"))
     sizes = tracks.chrom_sizes(spark, a.sizes) if a.sizes else scan.sizes_of(track)
     r = run(track, tensors.load_svr(a.svr), tensors.load_forest(a.forest), sizes, a.pv_adjust, a.pv_threshold, a.smoothwidth, a.backend)

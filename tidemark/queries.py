@@ -193,28 +193,56 @@ def toeplitz(spark, d):
 
 
 WINDOWS, HALVES = (10, 25, 50), (10, 10, 10)
+LAYOUT = models.Svr.windows, models.Svr.halves
 
 
-@query(f"""with {EV_SCAN}, c as (select chrom, start c from infp qualify row_number() over (partition by chrom order by start) <= 20),
-zoom as (select * from (values (0, 10), (1, 25), (2, 50)) z(z, w)), strands as (select * from (values (0, '+'), (1, '-')) s(o, strand)),
-bins as (select chrom, c, z, w, o, strand, h, case when h < 10 then c - w * 10 + w * h else c + 1 + w * (h - 10) end lo from c, zoom, strands, range(0, 20) r(h)),
-near as (select c.chrom, c.c, t.strand, t.pos, abs(t.v) v from c join track t on t.chrom = c.chrom and t.pos >= c.c - 500 and t.pos <= c.c + 500),
-sums as (select b.chrom, b.c, b.z, b.o, b.h, coalesce(sum(n.v), 0)::double x from bins b left join near n on n.chrom = b.chrom and n.c = b.c and n.strand = b.strand and n.pos >= b.lo and n.pos < b.lo + b.w group by all),
-top as (select *, max(x) over (partition by chrom, c, z, o) mx from sums)
-select chrom, c start, cast(o * 60 + z * 20 + h as integer) k, round(1 / (1 + exp(-ln(99.0::double) / m * (x - m))), 9) f from (select *, case when mx = 0 then 1.0 else 0.05::double * mx end m from top)""")
-def logistic_features(spark, d):
-    from pyspark.sql import Window
+def _bins_sql(positions: str, windows, halves, tag: str = "") -> str:
+    """CTEs zoom, hit, bins, top: the bins of every position (chrom, start) that hold signal, and each zoom's largest. An empty bin's feature is 0.01."""
+    zooms = ", ".join(f"({z}, {w}, {h})" for z, (w, h) in enumerate(zip(windows, halves)))
+    far = features.reach(windows, halves)
+    return f"""zoom{tag} as (select * from (values {zooms}) z(z, w, hf)),
+hit{tag} as (select i.chrom, i.start c, case when strand = '+' then 0 else 1 end o, z, case when pos < i.start then (pos - i.start + w * hf) // w else hf + (pos - i.start - 1) // w end h, abs(v) v
+  from {positions} i join track t on t.chrom = i.chrom and t.pos >= i.start - {far} and t.pos <= i.start + {far} join zoom{tag} on pos <> i.start and pos >= i.start - w * hf and pos <= i.start + w * hf),
+bins{tag} as (select chrom, c, o, z, h, sum(v)::double x from hit{tag} group by all),
+top{tag} as (select chrom, c, o, z, h, 1 / (1 + exp(-ln(99.0::double) / m * (x - m))) f from (select *, case when mx = 0 then 1.0 else 0.05::double * mx end m from (select *, max(x) over (partition by chrom, c, o, z) mx from bins{tag})))"""
+
+
+def _digest_sql(windows, halves) -> str:
+    return f"""with {EV_SCAN}, {_bins_sql('infp', windows, halves)},
+held as (select chrom, c, o, z, sum(f) s, sum(f * (h + 1)) t, count(*) n, sum(h + 1) k from top group by all)
+select i.chrom, i.start, cast(z.o as integer) strand, z.z zoom, round(coalesce(s, 0) + 0.01::double * (2 * hf - coalesce(n, 0)), 6) total,
+  round(coalesce(t, 0) + 0.01::double * (hf * (2 * hf + 1) - coalesce(k, 0)), 6) weighted
+from infp i cross join (select * from zoom, range(0, 2) r(o)) z left join held d on d.chrom = i.chrom and d.c = i.start and d.o = z.o and d.z = z.z"""
 
+
+def _digest(spark, d, windows, halves) -> DataFrame:
+    """Of each position's feature vector, by strand and zoom: the sum of its values, and that of each value times its place."""
     t = tracks.events_track(spark, d)
-    p = scan.informative_positions(t, or_depth=2000)
-    few = p.withColumn("r", F.row_number().over(Window.partitionBy("chrom").orderBy("start"))).where("r <= 20")
-    x = features.with_features(few, t, WINDOWS, HALVES)
-    return x.select("chrom", "start", F.posexplode("features").alias("k", "f")).withColumn("f", F.round("f", 9))
+    x = features.with_features(scan.informative_positions(t, or_depth=2000), t, windows, halves)
+    at, parts = 0, []
+    for strand in (0, 1):
+        for zoom, half in enumerate(halves):
+            parts.append(F.struct(F.lit(strand).alias("strand"), F.lit(zoom).alias("zoom"), F.slice("features", at + 1, 2 * half).alias("f")))
+            at += 2 * half
+    x = x.select("chrom", "start", F.explode(F.array(*parts)).alias("p")).select("chrom", "start", "p.*")
+    added = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), 6)
+    return x.select("chrom", "start", "strand", "zoom", added(F.col("f")).alias("total"), added(F.transform("f", lambda v, i: v * (i + 1))).alias("weighted"))
+
+
+@query(_digest_sql(WINDOWS, HALVES))
+def logistic_features(spark, d):
+    return _digest(spark, d, WINDOWS, HALVES)
+
+
+@query(_digest_sql(*LAYOUT))
+def feature_layout(spark, d):
+    """All 360 values of the standard layout, at every informative position."""
+    return _digest(spark, d, *LAYOUT)
 
 
 @query()
 def logistic_features_all(spark, d):
-    """The features of every informative position; ``logistic_features`` and its SQL take the first 20 of each chrom."""
+    """Every value of every informative position's features."""
     t = tracks.events_track(spark, d)
     x = features.with_features(scan.informative_positions(t, or_depth=2000), t, WINDOWS, HALVES)
     return x.select("chrom", "start", F.posexplode("features").alias("k", "f")).withColumn("f", F.round("f", 9))
@@ -464,9 +492,49 @@ def mvlaplace_p(spark, d):
     return mvlaplace.neighbour_p(_ev_scored(spark, d), COVARIANCE)
 
 
-@query()
-def pipeline_e2e(spark, d):
-    """Scan, scores, gap filling and densifying over the events track, through to peaks, with a regressor of eight support vectors; its dense positions."""
+SMALL_LAYOUT = (10, 50), (5, 10)
+
+
+def _small_svr() -> models.Svr:
+    """Eight support vectors of 60 features."""
     e = np.arange(8 * 60, dtype=float).reshape(8, 60)
-    svr = models.Svr((e * 7919 % 101) / 101, (np.arange(8) * 37 % 11 - 5) / 5, 1 / 64, 0.1, windows=(10, 50), halves=(5, 10))
-    return pipeline.run(tracks.events_track(spark, d), svr, valley_forest(), threshold=1.0, or_depth=2000).dense
+    return models.Svr((e * 7919 % 101) / 101, (np.arange(8) * 37 % 11 - 5) / 5, 1 / 64, -0.785, y_scale=5.0, windows=SMALL_LAYOUT[0], halves=SMALL_LAYOUT[1])
+
+
+def _svr_sql(positions: str, out: str) -> str:
+    """CTEs that end in ``out`` (chrom, start, end, score): ``positions`` scored by the small regressor. A vector's squared distance is that of a vector of empty bins, and what the held bins change."""
+    windows, halves = SMALL_LAYOUT
+    first = [2 * sum(halves[:z]) for z in range(len(halves))]
+    place = " ".join(f"when {z} then {first[z]}" for z in range(len(halves)))
+    return f"""{_bins_sql(positions, windows, halves, out)},
+vec{out} as (select chrom, c, o * {2 * sum(halves)} + case z {place} end + h k, f from top{out}),
+moved{out} as (select chrom, c, j, sum((f - s) * (f - s) - (0.01::double - s) * (0.01::double - s)) q from vec{out} join sv using (k) group by all),
+{out} as (select p.chrom, p.start, p.start + 1 "end", 5 * (sum(coef * exp(-(base + coalesce(q, 0)) / 64.0::double)) + 0.785::double) score
+  from {positions} p cross join support left join moved{out} m on m.chrom = p.chrom and m.c = p.start and m.j = support.j group by p.chrom, p.start)"""
+
+
+PIPELINE_SQL = f"""with {EV_SCAN},
+sv as (select j, k, ((j * 60 + k) * 7919 % 101) / 101.0::double s from range(0, 8) a(j), range(0, 60) b(k)),
+support as (select j, (j * 37 % 11 - 5) / 5.0::double coef, sum((0.01::double - s) * (0.01::double - s)) base from sv group by j),
+{_svr_sql('infp', 'scored')}{SIGMA},
+least as (select -sigma * ln(2 * (1 - 0.9995::double)) t from sig),
+gaps as (select chrom, start, score, lead(start) over w nstart, lead(score) over w nscore from scored window w as (partition by chrom order by start)),
+sides as (select chrom, start base, 1 sign, score s, nstart - start gap from gaps, least where nstart - start > 50 and score > t
+  union all select chrom, nstart, -1, nscore, nstart - start from gaps, least where nstart - start > 50 and nscore > t),
+steps as (select sides.*, cast(case when gap < 500 then floor((gap - 50) / 50.0::double) else ceil((s - t) / 0.05::double) end as bigint) r from sides, least),
+cand as (select chrom, base + sign * 50 * k start from (select *, unnest(case when r >= 1 then generate_series(1, r) else generate_series(1, r, -1) end) k from steps)),
+fill as (select distinct chrom, start from cand anti join scored using (chrom, start)),
+{_svr_sql('fill', 'filled')},
+every as (select chrom, start, "end", score, 1 infp from scored union all select chrom, start, "end", score, 0 from filled){BROAD.replace("from scored", "from every")},
+high as (select b.chrom, b.start, b."end" from broad b join every s on s.chrom = b.chrom and s.start >= b.start and s.start < b."end", least group by b.chrom, b.start, b."end", t having max(score) >= t),
+grid as (select chrom, unnest(list_append(generate_series(start, "end" - 1, 10), "end")) start from high),
+more as (select distinct chrom, start from grid anti join every using (chrom, start)),
+{_svr_sql('more', 'added')}
+select chrom, start, "end", round(score, 6) score, infp from every union all select chrom, start, "end", round(score, 6), 0 from added where score > 0.05"""
+
+
+@query(PIPELINE_SQL)
+def pipeline_e2e(spark, d):
+    """Scan, scores, gap filling and densifying over the events track, through to peaks; its dense positions."""
+    x = pipeline.run(tracks.events_track(spark, d), _small_svr(), valley_forest(), threshold=1.0, or_depth=2000).dense
+    return x.select("chrom", "start", "end", F.round("score", 6).alias("score"), "infp")
