@@ -51,6 +51,18 @@ def test_stages(spark):
     assert check_packing and texts and public_tokenizers
 
 
+def test_odd_input(spark, odd_docs, no_docs):
+    """Every stage by itself: empty tables, null texts and ids, repeated rows, clashing names."""
+    odd = odd_docs.withColumn("n_chars", odd_docs["doc_id"])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, no_docs, SF).count() == 0
+        x = stage(spark, odd, SF)
+        rows = x.collect()
+        assert k == 4 or x.columns == odd.columns
+        ids = sorted((r["doc_id"] or 0) for r in rows)
+        assert ids == [[], [0, 1, 1, 2, 3, 3], [1, 2, 3], ids, [0, 1, 1, 2, 3, 3]][k]
+
+
 def test_near_dedup_rows(spark):
     """Unlike rows without a doc_id all stay, as do unlike texts under one; copies don't, with or without one."""
     text = lambda k: " ".join(f"w{k}x{i * i % 97}" for i in range(60))
