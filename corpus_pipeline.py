@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. ``sf_dir`` is where a stage finds other tables (labels)."""
+columns of documents. ``sf_dir`` is where a stage finds other tables (labels).
+
+Defined results: an empty table gives no rows at every stage. Null or empty texts fail the quality rules; given to a later
+stage by themselves, they have no lines, are near-duplicates of one another, have size 0 in the mix and pack as their closing
+id. Rows with null doc_id are judged like others, lose no lines, and leave one row of each group of near-duplicates. Repeated
+rows lose the same lines and are near-duplicates; unlike texts under one doc_id are documents of their own up to the mix, which
+takes rows that share doc_id and source equally often. Extra columns pass through unchanged until packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, packing, quality, simhash
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, done, table
 from tidemark.llm.queries import word_tokenizer
 
 
@@ -50,8 +57,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        done(*[before] if k else [])  # the stage's input, unless it is the documents themselves
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
