@@ -16,6 +16,8 @@ Of equal lines only the first goes on. Under each word every line is first held
 there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
 all. Then lines without a match so far meet all others; lines that have one meet only those.
 
+Joins are merged at every size: what one table is small enough to broadcast in a test grows with the data.
+
 Defined results: null text has no lines and stays null; a line without words always stays;
 rows with null doc_id stay whole and remove nothing; rows that share a doc_id are documents of
 their own, in the order of their texts' hashes, but rows that share doc_id and text are one
@@ -32,6 +34,8 @@ from .common import SPACE, cut, done
 #: Slots of the word counts: a fixed number, whatever the input.
 SLOTS, BLOCK = 1 << 19, 1 << 10
 CLASS_BITS, CLASSES = 6, 64
+#: Lines of more words have signatures of 128 bits, whose halves, added without carry, are the 64 bits of others.
+LONG = 96
 DOC = ["doc_id", "v"]
 LINE = [*DOC, "line_no"]
 BLANKS = " \t\x0b\x0c\r"
@@ -93,7 +97,7 @@ def _may(a: str, b: str, num: int, den: int) -> str:
     both = f"({a}n + {b}n)"
     return (
         f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) and {num + den} * least({a}n - {a}at, {b}n - {b}at) >= {num} * {both}"
-        f" and {num + den} * bit_count({a}sig ^ {b}sig) <= {den - num} * {both}"
+        f" and {num + den} * if(least({a}n, {b}n) > {LONG}, bit_count({a}sig ^ {b}sig) + bit_count({a}more ^ {b}more), bit_count({a}sig ^ {a}more ^ {b}sig ^ {b}more)) <= {den - num} * {both}"
     )
 
 
@@ -103,9 +107,9 @@ def _prefix(n: Column, num: int, den: int) -> Column:
 
 def _pairs(short: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (line, a) of a line without a match and an earlier one that a word joins and the filters leave; of the shorter one the word stands in its short prefix."""
-    a = short.where(f"at <= n - ceil({2 * num} * n / {num + den})").select("word", *[F.col(c).alias(f"a_{c}") for c in (*LINE, "n", "at", "sig", "matched")])
+    a = short.where(f"at <= n - ceil({2 * num} * n / {num + den})").select("word", *[F.col(c).alias(f"a_{c}") for c in (*LINE, "n", "at", "sig", "more", "matched")])
     order = f"(a_n < n or (a_n = n and {_before('a_', '')}))"  # each pair once
-    x = a.join(long, "word").where(f"{order} and {_may('a_', '', num, den)} and not if({_before('a_', '')}, matched, a_matched)")
+    x = a.join(long.hint("merge"), "word").where(f"{order} and {_may('a_', '', num, den)} and not if({_before('a_', '')}, matched, a_matched)")
     here, there = F.struct(*LINE), F.struct(*[F.col(f"a_{c}").alias(c) for c in LINE])
     return x.select(F.greatest(here, there).alias("line"), F.least(here, there).alias("a"), (F.col("n") + F.col("a_n")).alias("words"))
 
@@ -113,7 +117,7 @@ def _pairs(short: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
 def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines of the pairs that are similar; texts: lines by key, at least those of the pairs."""
     keyed = texts.select(F.struct(*LINE).alias("line"), F.col("line").alias("text"))
-    x = pairs.join(keyed, "line").withColumnsRenamed({"line": "later", "text": "b"}).join(keyed.withColumnsRenamed({"line": "a", "text": "a_text"}), "a")
+    x = pairs.join(keyed.hint("merge"), "line").withColumnsRenamed({"line": "later", "text": "b"}).join(keyed.withColumnsRenamed({"line": "a", "text": "a_text"}).hint("merge"), "a")
     x = x.select("later", "words", F.size(F.array_intersect(hashes(F.col("a_text")), hashes(F.col("b")))).alias("both"))
     return x.where(f"{den} * both >= {num} * (words - both)").select("later.*").distinct()
 
@@ -121,7 +125,7 @@ def _matched(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, v, line_no, line of the lines in ``pairs``."""
     asked = pairs.select(F.explode(F.array("line", "a")).alias("x")).select("x.*").groupBy(*DOC).agg(F.collect_set("line_no").alias("asked"))
-    return lines_of(docs.join(asked, DOC), F.col("asked"))
+    return lines_of(docs.join(asked.hint("merge"), DOC), F.col("asked"))
 
 
 def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -130,18 +134,21 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     here = F.struct(*LINE)
     hashed = cut(lines_of(docs).select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     repeated = hashed.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    equal = cut(hashed.join(repeated, ["h1", "h2"]).where(here != F.col("first")).select(*LINE))
+    equal = cut(hashed.join(repeated.hint("merge"), ["h1", "h2"]).where(here != F.col("first")).select(*LINE))
     copies = equal.groupBy(*DOC).agg(F.collect_list("line_no").alias("copies"))
     others = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("copies", F.array().cast("array<int>")))
     done(hashed)
-    lines = cut(lines_of(docs.join(copies, DOC, "left"), others))
+    lines = cut(lines_of(docs.join(copies.hint("merge"), DOC, "left"), others))
     done()
 
     steps = rarity(lines)
     x = lines.select(*LINE, ordered(hashes(F.col("line")), steps).alias("w"))
-    x = x.select(*LINE, F.size("w").alias("n"), "w", F.expr("aggregate(w, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"))
-    x = x.select(*LINE, "n", "sig", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
-    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig"), Window.partitionBy("word").orderBy(*LINE)
+    x = x.select(*LINE, F.size("w").alias("n"), "w")
+    bits = lambda some: F.expr(f"aggregate({some}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
+    half = lambda k: bits(f"filter(w, x -> x & 64 = {k})")
+    x = x.withColumn("sig", F.when(F.col("n") <= LONG, bits("w")).otherwise(half(0))).withColumn("more", F.when(F.col("n") > LONG, half(64)).otherwise(F.lit(0).cast("bigint")))
+    x = x.select(*LINE, "n", "sig", "more", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
+    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
     x = x.withColumn("many", F.count("*").over(Window.partitionBy("word"))).withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).where("many > 1")
     for c in ("first", "last"):
         x = x.withColumn(c, F.when(F.expr(f"{c} is not null and {_before(f'{c}.', '')} and {_may(f'{c}.', '', num, den)}"), F.col(c)))
@@ -154,11 +161,11 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
-    marked = cut(posts.drop("first", "last").join(found.withColumn("m", F.lit(True)), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    marked = cut(posts.drop("first", "last").join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
     done(posts)
     single, matched = marked.where("not matched"), marked.where("matched")
     more = _pairs(marked, single, num, den).unionByName(_pairs(single, matched, num, den)).distinct()
-    more = cut(more.join(pairs.select("line", "a"), ["line", "a"], "left_anti"))
+    more = cut(more.join(pairs.select("line", "a").hint("merge"), ["line", "a"], "left_anti"))
     done(marked, pairs)
     late = cut(_matched(more, _texts(docs, more), num, den))
     done(more)
@@ -172,7 +179,7 @@ def dedup(docs: DataFrame, similarity: tuple[int, int] = (4, 5), **options) -> D
     v = F.lit(0).cast("bigint") if once else F.xxhash64("text")
     base = base.withColumn("v", v)
     gone = removed(base if once else base.dropDuplicates(DOC), similarity, **options).groupBy(*DOC).agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("v", "__v")
-    x = docs.drop("n_lines", "n_lines_removed").withColumn("__v", v).join(gone, ["doc_id", "__v"], "left").withColumn("__lines", F.split("text", "\n"))
+    x = docs.drop("n_lines", "n_lines_removed").withColumn("__v", v).join(gone.hint("merge"), ["doc_id", "__v"], "left").withColumn("__lines", F.split("text", "\n"))
     x = x.withColumn("__keep", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")))
     x = x.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__keep", lambda i: F.get(F.col("__lines"), i)), "\n")))
     x = x.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("long")).withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
