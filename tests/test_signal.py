@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import queries
 from tidemark.functions.scalar import laplace_quantile, logistic_scale
-from tidemark.operators import calling, fdr, features, models, mvlaplace, noise, peaks, scan, smoothing
+from tidemark.operators import calling, fdr, features, intervals, models, mvlaplace, noise, peaks, scan, smoothing
 from tidemark.plans import pipeline
 from tidemark.sources import sinks, tensors, tracks
 from tidemark.streaming.bins import fine_bin_updates
@@ -22,7 +22,7 @@ TRACK = "chrom string, start long, end long, value double, strand string"
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
-    for t in "events lineitem orders embeddings documents".split():
+    for t in "events lineitem orders embeddings documents nation".split():
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -299,3 +299,43 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_merged_over_tiles(spark):
+    """Spans that reach over many tiles, touch, nest and repeat, against one pass in order."""
+    r = np.random.default_rng(5)
+    rows = [(c, int(s), int(s + n)) for c in "ab" for s, n in zip(r.integers(0, 4000, 150), r.integers(1, 60, 150))] + [("a", 100, 1500), ("a", 100, 1500)]
+    for gap in (0, 7):
+        want = []
+        for c, s, e in sorted(rows):
+            if want and want[-1][0] == c and s <= want[-1][2] + gap:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, s, e])
+        got = intervals.merged(spark.createDataFrame(rows, "chrom string, start long, end long"), gap, tile=64).collect()
+        assert sorted([x["chrom"], x["start"], x["end"]] for x in got) == want
+
+
+def test_hommel_with_ties_and_zeros(spark):
+    p = np.array([0.0, 0.0, 0.001, 0.01, 0.01, 0.01, 0.02, 0.03, 0.2, 0.2, 0.5, 0.9, 1.0, 1.0])
+    m = len(p)
+    q = {s: min(s * p[k] / (k + 1 - m + s) for k in range(m - s, m)) for s in range(1, m + 1)}
+    want = {v: min(1.0, max(min(s * v, q[s]) for s in q)) for v in p}
+    rows = spark.createDataFrame([(float(v),) for v in p] + [(None,), (float("nan"),)], "p double")
+    for x in fdr.adjust(rows, "hommel").collect():
+        assert x["adj_p"] is None if x["p"] is None or x["p"] != x["p"] else abs(x["adj_p"] - want[x["p"]]) < 1e-12
+
+
+def test_nan_scores_have_no_p():
+    assert np.isnan(mvlaplace.laplace_box(np.array([0.1, np.nan, 0, 0, 0]), np.eye(5)))
+
+
+def test_scoring_in_blocks(spark):
+    r = np.random.default_rng(2)
+    model = models.Svr(r.normal(size=(23, 4)), r.normal(size=23), 0.3, 0.1)
+    x = r.normal(size=(11, 4))
+    assert np.allclose(model.predict(x, block=5, rows=3), model.predict(x))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    support = spark.createDataFrame([(float(c), s.tolist()) for c, s in zip(model.coef, model.support)], "coef double, sv array<double>")
+    got = {y["id"]: y["score"] for y in models.svr_scores_joined(vectors, support, 0.3, 0.1, "id", "v", block=5).collect()}
+    assert np.allclose([got[i] for i in range(11)], model.predict(x))

@@ -40,8 +40,9 @@ def paired_ratio(df: DataFrame, key: str, side: str, first: str, second: str, va
     """One row: median, least and greatest ratio of ``first``'s value to ``second``'s over the keys that have both."""
     a = df.where(F.col(side) == first).select(key, F.col(value).alias("a"))
     b = df.where(F.col(side) == second).select(key, F.col(value).alias("b"))
-    ratio = F.col("a") / F.col("b")
-    return a.join(b, key).where("b <> 0").agg(F.percentile(ratio, F.lit(0.5)).alias("median"), F.min(ratio).alias("least"), F.max(ratio).alias("greatest"), F.count("*").alias("n"))
+    ratios = a.join(b, key).where("b <> 0").select((F.col("a") / F.col("b")).alias("ratio"))
+    median = ranked_values(ratios, "ratio", 0.5)[0]
+    return ratios.agg(F.lit(median).cast("double").alias("median"), F.min("ratio").alias("least"), F.max("ratio").alias("greatest"), F.count("*").alias("n"))
 
 
 def time_logs(lines: DataFrame) -> DataFrame:

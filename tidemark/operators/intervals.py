@@ -17,6 +17,17 @@ def overlap_join(points: DataFrame, spans: DataFrame, bucket: int = 1 << 14) ->
     return p.join(s, ["chrom", "__bucket"]).where("span_start <= start and start < span_end").drop("__bucket")
 
 
+def raw_values(track: DataFrame, ranges: DataFrame) -> DataFrame:
+    """chrom, start, end, pos, value: the track's value at every base of ``ranges`` (chrom, start, end); 0 where it has none, beyond a chrom's ends, and on a chrom it lacks."""
+    wanted = ranges.select("chrom", "start", "end").distinct()
+    bases = wanted.select("chrom", F.col("start").alias("range_start"), F.col("end").alias("range_end"), F.explode(F.when(F.col("end") > F.col("start"), F.sequence("start", F.col("end") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("start"))
+    spans = track.where("end > start").select("chrom", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "value")
+    keys = ["chrom", "range_start", "range_end", "start"]
+    found = overlap_join(bases, spans).groupBy(*keys).agg(F.sum("value").alias("value"))
+    x = bases.join(found, keys, "left")
+    return x.select("chrom", F.col("range_start").alias("start"), F.col("range_end").alias("end"), F.col("start").alias("pos"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+
+
 def _most_so_far(x: DataFrame, value: str, out: str, last: int) -> DataFrame:
     """``x`` (with __tile) with ``out``: the greatest ``value`` of its chrom up to ``last`` rows from here. A tile takes one row from those before it."""
     tiles = x.groupBy("chrom", "__tile").agg(F.max(value).alias("__m"))

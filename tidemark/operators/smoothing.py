@@ -42,6 +42,22 @@ def smooth(df: DataFrame, key: str, at: str, value: str, out: str, width: int, k
     return x.drop(*[f"__pass{i}" for i in range(len(widths))])
 
 
+def segmented(df: DataFrame, key: str, at: str, value: str, out: str, widths: list[int], kind: int = 1) -> DataFrame:
+    """The profile in ``len(widths)`` segments of equal length (rounded half to even), each taken from the whole profile smoothed at its width.
+
+    Rows beyond the last segment, and a segment that would run over the end, are 0."""
+    x = df
+    for i, w in enumerate(widths):
+        x = smooth(x, key, at, value, f"__width{i}", w, kind)
+    each, n = len(widths), F.count("*").over(Window.partitionBy(key))
+    length = F.bround(n / each, 0).cast("bigint")
+    x = x.withColumn("__length", length).withColumn("__rows", n).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1)
+    segment = F.floor(F.col("__i") / F.greatest(F.col("__length"), F.lit(1)))
+    whole = (segment < each) & ((segment + 1) * F.col("__length") <= F.col("__rows")) & (F.col("__length") > 0)
+    picked = F.get(F.array(*[f"__width{i}" for i in range(each)]), segment.cast("int"))
+    return x.withColumn(out, F.when(whole, picked).otherwise(0.0)).drop("__i", "__length", "__rows", *[f"__width{i}" for i in range(each)])
+
+
 def derivative(df: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
     """Half the difference of the neighbours; at the ends the difference to the one neighbour."""
     by = Window.partitionBy(key).orderBy(at)

@@ -328,6 +328,41 @@ def triangular_smooth(spark, d):
     return smoothing.smooth(_profile(spark, d), "k", "i", "y", "smooth", 4).select("k", "i", F.round("smooth", 6).alias("smooth"))
 
 
+WIDTHS5 = [round(4 * f) for f in (1.6, 1.4, 1.2, 1.0)]
+
+
+@query(f"""with {PROFILE}, {_boxcar_sql('profile', 'y', 'b1')}, {_boxcar_sql('b1', 'b1v', 'b2')}, {_boxcar_sql('b2', 'b2v', 'b3')}, {_boxcar_sql('b3', 'b3v', 'b4')},
+{_boxcar_sql('profile', 'y', 'w1', WIDTHS5[0])}, {_boxcar_sql('w1', 'w1v', 'w2', WIDTHS5[1])}, {_boxcar_sql('w2', 'w2v', 'w3', WIDTHS5[2])}, {_boxcar_sql('w3', 'w3v', 'w4', WIDTHS5[3])}
+select 3 kind, k, i, round(b3v, 6) smooth from b3 union all select 4, k, i, round(b4v, 6) from b4 union all select 5, k, i, round(w4v, 6) from w4""")
+def gaussian_smooth(spark, d):
+    """The three nearly Gaussian kinds."""
+    x = _profile(spark, d)
+    out = None
+    for kind in (3, 4, 5):
+        part = smoothing.smooth(x, "k", "i", "y", "smooth", 4, kind).select(F.lit(kind).alias("kind"), "k", "i", F.round("smooth", 6).alias("smooth"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""with {PROFILE}, {_boxcar_sql('profile', 'y', 'b1', 4)}, {_boxcar_sql('profile', 'y', 'b2', 7)}, {_boxcar_sql('profile', 'y', 'b3', 3)},
+n as (select k, i, row_number() over (partition by k order by i) - 1 r, count(*) over (partition by k) n from profile), s as (select *, cast(round_even(n / 3.0::double, 0) as bigint) l from n),
+g as (select *, r // l g from s)
+select k, i, round(case when g > 2 or (g + 1) * l > n then 0 when g = 0 then b1v when g = 1 then b2v else b3v end, 6) smooth from g join b1 using (k, i) join b2 using (k, i) join b3 using (k, i)""")
+def segmented_smooth(spark, d):
+    return smoothing.segmented(_profile(spark, d), "k", "i", "y", "smooth", [4, 7, 3]).select("k", "i", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"""with track as ({EV}), z as (select distinct chrom from track), ranges as (select chrom, s, s + 600 e from z, (values (-100), (100000), (2591700)) r(s) union all select 'nowhere', 0, 50)
+select r.chrom, cast(s as bigint) start, cast(e as bigint) "end", pos, coalesce(v, 0)::double as value from (select *, unnest(generate_series(s::bigint, e - 1)) pos from ranges) r
+left join (select chrom, pos, sum(v) v from track where strand = '+' group by all) t using (chrom, pos)""")
+def raw_values(spark, d):
+    t = tracks.events_track(spark, d)
+    z = t.select("chrom").distinct()
+    ranges = z.select("chrom", F.explode(F.array(*[F.lit(s).cast("bigint") for s in (-100, 100000, 2591700)])).alias("start")).withColumn("end", F.col("start") + 600)
+    ranges = ranges.unionByName(spark.range(1).select(F.lit("nowhere").alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.lit(50).cast("bigint").alias("end")))
+    return intervals.raw_values(t.where("strand = '+'"), ranges)
+
+
 @query(f"with {PROFILE}, n as (select *, lag(y) over w a, lead(y) over w b from profile window w as (partition by k order by i)) select k, i, case when a is null then b - y when b is null then y - a else (b - a) / 2 end slope from n")
 def derivative(spark, d):
     return smoothing.derivative(_profile(spark, d), "k", "i", "y", "slope").select("k", "i", "slope")
@@ -461,6 +496,29 @@ def five_numbers(spark, d):
     return x.select("event_type", *[F.round(c, 9).alias(c) for c in ("q1", "median", "q3")], "low", "high", "outliers")
 
 
+@query("""with x as (select user_id, event_type, sum(value) v from events group by all), s as (select min(event_type) a, max(event_type) b from events),
+r as (select p.v / q.v r from x p join x q using (user_id), s where p.event_type = a and q.event_type = b and q.v <> 0)
+select round(quantile_cont(r, 0.5), 9) median, round(min(r), 9) least, round(max(r), 9) greatest, count(*) n from r""")
+def paired_ratio(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    x = e.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    y = evaluation.paired_ratio(x, "user_id", "event_type", ends["a"], ends["b"], "v")
+    return y.select(*[F.round(c, 9).alias(c) for c in ("median", "least", "greatest")], "n")
+
+
+@query("""select n_name file, case when n_nationkey % 2 = 0 then n_nationkey * 3600.0 else 0.0 end + (n_nationkey + 7) * 60.0 + n_nationkey + 0.25::double wall_seconds,
+cast(n_nationkey * 1000 + 12 as bigint) rss_kb from nation""")
+def time_logs(spark, d):
+    """Reports written as text lines, with and without hours, and read back."""
+    n = F.col("n_nationkey")
+    hours = F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(":"))).otherwise("")
+    wall = F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), hours, F.lpad((n + 7).cast("string"), 2, "0"), F.lit(":"), F.lpad(n.cast("string"), 2, "0"), F.lit(".25"))
+    rss = F.concat(F.lit("\tMaximum resident set size (kbytes): "), (n * 1000 + 12).cast("string"))
+    lines = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("file"), F.explode(F.array(wall, rss, F.lit("\tExit status: 0"))).alias("value"))
+    return evaluation.time_logs(lines)
+
+
 def valley_forest() -> models.Forest:
     """One tree over a valley's ten features: deep valleys (the last feature) split, others merge."""
     row = lambda *v, t=int: np.array([v], t)
