@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, drop
 
 BITS, ORDER = 9, 7
 EDGE, WIDE = 1, 386
@@ -314,6 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
             yield pd.DataFrame({"toxic": b["toxic"], "llr": llr, "words": words})
 
     seen = rows.where(F.col("fold") == last).mapInPandas(features, "toxic int, llr double, words long").toPandas()
+    drop(rows)
     y = seen["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         w = np.where(y == 1, stands[1], stands[0])
