@@ -55,8 +55,9 @@ def done(*frames: DataFrame) -> None:
     half hour. A job of many steps would hold all of them until then."""
     drop(*frames)
     gc.collect()
-    time.sleep(0.5)  # until Spark's listeners have let go of the finished plan
-    SparkSession.active()._jvm.System.gc()
+    for _ in range(2):  # Spark's listeners let go of the finished plan a while after it; on a busy driver the first wait can be too short
+        time.sleep(0.5)
+        SparkSession.active()._jvm.System.gc()
 
 
 def text_or_empty(c: Column | str = "text") -> Column:
