@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, mixing, packing, quality, simhash, substring, toxicity, urls, winnow
+from . import alignment, html, importance, lines, mixing, packing, quality, sharding, simhash, substring, toxicity, urls, winnow
 from .common import table
 
 
@@ -64,7 +64,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_document_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_best_fit_packing, op8_source_mixing, op9_html_extraction, op10_substring_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 24)
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_document_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_best_fit_packing, op8_source_mixing, op9_html_extraction, op10_substring_dedup, op11_importance_resampling, op12_sharding, op13_cross_tokenizer_alignment)}
 
 ORACLE: dict[str, str] = {
     "op10_substring_dedup": r"""
@@ -119,5 +133,42 @@ with base as (
   from units d join goals g on d.source is not distinct from g.source
 )
 select doc_id, size, source_size, target, cast(floor(rate * r + u) - floor(rate * (r - 1) + u) as bigint) * size taken from ranked
+""",
+    # a CRC-32 goes byte by byte through a table that eight shifts of each number from 0 to 255 make
+    "op11_importance_resampling": r"""
+with recursive shifted as (select i b, i::bigint v, 0 k from range(256) r(i) union all
+  select b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from shifted where k < 8
+), crcs as (select list(v order by b) t from shifted where k = 8
+), texts as (select doc_id id, 0 target, coalesce(text, '') text from documents union all select null, 1, coalesce(text, '') from benchmark
+), numbered as (select row_number() over () r, id, target, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts
+), runs as (select r, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from numbered
+), features as (select r, target, f, count(*) n from runs group by all
+), bytes as (select f, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::bigint) x from (select distinct f from features)
+), buckets as (select f, xor(list_reduce(list_prepend(4294967295::bigint, x), lambda c, y: xor(c >> 8, t[1 + xor(c & 255, y)])), 4294967295) % 10000 b from bytes, crcs
+), totals as (select b, sum(n) filter (target = 0) s, sum(n) filter (target = 1) t from features join buckets using (f) group by b
+), whole as (select coalesce(sum(s), 0)::double ss, coalesce(sum(t), 0)::double tt from totals
+), gains as (select b, floor(1000 * ln((coalesce(t, 0)::double + 1) * (ss + 10000) / ((coalesce(s, 0)::double + 1) * (tt + 10000))))::bigint g from totals, whole
+), weighed as (select r, sum(n)::bigint n, floor(sum(n * g) / sum(n)::double)::bigint weight from features join buckets using (f) join gains using (b) where target = 0 group by r
+), scored as (
+  select id doc_id, len(w) n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint score
+  from numbered left join weighed using (r) where target = 0
+), ranked as (select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () n from scored where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when rank <= n * 25 // 100 then rank end rank from scored s left join ranked using (doc_id)
+""",
+    "op12_sharding": r"""
+with recursive shifted as (select i b, i::bigint v, 0 k from range(256) r(i) union all
+  select b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from shifted where k < 8
+), crcs as (select list(v order by b) t from shifted where k = 8
+), docs as (select doc_id, encode(coalesce(text, '')) x, ('0x' || substr(md5('0:key ' || doc_id), 1, 16))::ubigint::hugeint h from documents
+), sized as (
+  select doc_id, h, octet_length(x) + 8 size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(x), '..'), lambda y: ('0x' || y)::bigint)), lambda c, y: xor(c >> 8, t[1 + xor(c & 255, y)])), 4294967295) text_crc32 from docs, crcs
+), jumps as (
+  select distinct h, h k, -1::bigint b, 0::bigint j from docs union all
+  select h, (k * 2862933555777941757 + 1) % 18446744073709551616::hugeint, j,
+    floor((j + 1) * (2147483648.0::double / (((k * 2862933555777941757 + 1) % 18446744073709551616::hugeint) // 8589934592 + 1)::double))::bigint from jumps where j < 25
+), placed as (select h, max(b) filter (b < 24) shard, max(b) filter (b < 25) grown_shard from jumps group by h)
+select doc_id, size, text_crc32, 'key' law, shard::int shard, row_number() over (partition by shard order by doc_id, size, text_crc32) - 1 slot, grown_shard::int grown_shard from sized join placed using (h)
 """,
 }
