@@ -35,7 +35,7 @@ def run(track: DataFrame, svr: Svr, forest: Forest, sizes: DataFrame | None = No
 
 
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Find peaks in a pair of strand-specific signal tracks (bedGraph).")
+    p = argparse.ArgumentParser(description="Find peaks in a pair of strand-specific signal tracks (bigWig, by the ending .bw or .bigWig, or bedGraph).")
     p.add_argument("plus")
     p.add_argument("minus")
     p.add_argument("prefix")
@@ -46,15 +46,19 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--smoothwidth", type=int, default=4)
     p.add_argument("--pv-adjust", default="fdr")
     p.add_argument("--pv-threshold", type=float, default=0.05)
+    p.add_argument("--track-format", default="bedgraph", choices=["bedgraph", "bigwig"], help="of the score tracks written")
     p.add_argument("--checkpoint-dir", help="folder that the driver and all executors share; spark.checkpoint.dir by default")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.checkpoint_dir:
         spark.sparkContext.setCheckpointDir(a.checkpoint_dir)
-    track = tracks.bedgraph(spark, a.plus, "+").unionByName(tracks.bedgraph(spark, a.minus, "-"))
-    sizes = tracks.chrom_sizes(spark, a.sizes) if a.sizes else scan.sizes_of(track)
+    track = tracks.strand_file(spark, a.plus, "+").unionByName(tracks.strand_file(spark, a.minus, "-"))
+    if a.sizes:
+        sizes = tracks.chrom_sizes(spark, a.sizes)
+    else:
+        sizes = tracks.bigwig_sizes(spark, a.plus) if tracks.is_bigwig(a.plus) else scan.sizes_of(track)
     r = run(track, tensors.load_svr(a.svr), tensors.load_forest(a.forest), sizes, a.pv_adjust, a.pv_threshold, a.smoothwidth, a.backend)
-    print("\n".join(sinks.write_outputs(a.prefix, r.dense, r.raw, r.peaks, sizes)))
+    print("\n".join(sinks.write_outputs(a.prefix, r.dense, r.raw, r.peaks, sizes, a.track_format)))
 
 
 if __name__ == "__main__":

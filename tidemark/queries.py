@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .operators import calling, evaluation, fdr, features, intervals, models, mvlaplace, noise, peaks, scan, smoothing
 from .plans import pipeline
-from .sources import tracks
-from .sources.shared import kept
+from .sources import sinks, tracks
+from .sources.shared import fresh_path, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,6 +172,18 @@ def noise_counts(spark, d):
     return noise.noise_counts(_ev_scored(spark, d))
 
 
+@query(f"""select chrom, pos start, pos + 1 "end", cast(sum(v) as double) "value", strand from ({LI}) group by all""")
+def bigwig_round_trip(spark, d):
+    """Each strand of the track written as a bigWig file, sizes in its header, and both read back."""
+    t = tracks.lineitem_track(spark, d).groupBy("chrom", "start", "end", "strand").agg(F.sum("value").alias("value"))
+    t, strands = kept(t), []
+    for strand in "+-":
+        path = fresh_path(spark, "bw")
+        sinks.write_bigwig(t.where(F.col("strand") == strand), path, "value", t.groupBy("chrom").agg(F.max("end").alias("size")))
+        strands.append(tracks.bigwig(spark, path, strand).join(F.broadcast(tracks.bigwig_sizes(spark, path)), "chrom").where("end <= size"))
+    return strands[0].unionByName(strands[1]).select("chrom", "start", "end", "value", "strand")
+
+
 THINNED = f"""with {EV_SCORED}, lagged as (select chrom, start, score, start - lag(start, 2) over (partition by chrom order by start) g from scored),
 thin as (select score, (r + 1) // 2 idx from (select score, row_number() over (order by chrom, start) r from lagged where g = 100) where r % 2 = 1)"""
 

@@ -19,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession, ending: str) -> str:
+    """A new file's path in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}.{ending}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read again: what reads it several times doesn't make it again, and lost executors cost nothing."""
     spark = df.sparkSession

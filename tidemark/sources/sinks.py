@@ -4,6 +4,8 @@ Parts follow the order of chrom and start, so their concatenation is one sorted
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,25 @@ def write_bedgraph(df: DataFrame, path: str, value: str, sizes: DataFrame | None
     x.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").option("compression", "gzip").csv(path, sep="\t")
 
 
-def write_outputs(prefix: str, dense: DataFrame, raw: DataFrame, peaks: DataFrame, sizes: DataFrame | None = None) -> list[str]:
-    """The standard outputs; peak files only where there are peaks. Returns the paths written."""
-    done = [f"{prefix}.infp.bedgraph"]
-    write_bedgraph(dense, done[0], "score", sizes)
+def write_bigwig(df: DataFrame, path: str, value: str, sizes: DataFrame) -> None:
+    """One bigWig file of chrom, start, end and a value; rows beyond a chrom's size, on a chrom without one, or with a null value are left out."""
+    from .bigwig import BigWig
+
+    df.sparkSession.dataSource.register(BigWig)
+    known = {r["chrom"]: r["size"] for r in sizes.collect()}  # one row a chrom
+    x = df.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(value).cast("double").alias("value"))
+    x = x.join(sizes, "chrom").where("end <= size and value is not null").select("chrom", "start", "end", "value")
+    x = x.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
+    x.write.format("bigwig").mode("overwrite").option("sizes", json.dumps(known)).save(path)
+
+
+def write_outputs(prefix: str, dense: DataFrame, raw: DataFrame, peaks: DataFrame, sizes: DataFrame | None = None, tracks: str = "bedgraph") -> list[str]:
+    """The standard outputs; peak files only where there are peaks. Returns the paths written. Score tracks as ``bedgraph`` folders or ``bigwig`` files."""
+    if tracks == "bigwig" and sizes is None:
+        raise ValueError("a bigWig file needs its chroms' sizes")
+    write_track, ending = (write_bigwig, "bw") if tracks == "bigwig" else (write_bedgraph, "bedgraph")
+    done = [f"{prefix}.infp.{ending}"]
+    write_track(dense, done[0], "score", sizes)
     if not raw.isEmpty():
         done.append(f"{prefix}.raw.peak.bed.gz")
         write_bed(raw, done[-1])
@@ -39,6 +56,6 @@ def write_outputs(prefix: str, dense: DataFrame, raw: DataFrame, peaks: DataFram
             done.append(f"{prefix}.peak.{name}.bed.gz")
             write_bed(df, done[-1], columns)
         for name, df in (("score", peaks), ("prob", prob)):
-            done.append(f"{prefix}.peak.{name}.bedgraph")
-            write_bedgraph(df, done[-1], name, sizes)
+            done.append(f"{prefix}.peak.{name}.{ending}")
+            write_track(df, done[-1], name, sizes)
     return done

@@ -18,6 +18,34 @@ def bedgraph(spark: SparkSession, path: str, strand: str) -> DataFrame:
     return x.where("start is not null").withColumn("strand", F.lit(strand))
 
 
+def bigwig(spark: SparkSession, path: str, strand: str, **options) -> DataFrame:
+    """One strand from a bigWig file or a folder of them. Filters on chrom, start and end reach the file's range tree."""
+    x = _bigwig(spark).options(**options).load(path)
+    return x.withColumn("strand", F.lit(strand))
+
+
+def bigwig_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """chrom and size from a bigWig's header."""
+    return _bigwig(spark).option("table", "sizes").load(path).distinct()
+
+
+def _bigwig(spark: SparkSession):
+    from .bigwig import BigWig
+
+    spark.dataSource.register(BigWig)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bigwig")
+
+
+def is_bigwig(path: str) -> bool:
+    return path.lower().endswith((".bw", ".bigwig"))
+
+
+def strand_file(spark: SparkSession, path: str, strand: str) -> DataFrame:
+    """One strand from a bigWig or bedGraph file, told apart by the ending."""
+    return bigwig(spark, path, strand) if is_bigwig(path) else bedgraph(spark, path, strand)
+
+
 def two_strands(plus: DataFrame, minus: DataFrame) -> DataFrame:
     one = lambda x, s: x.select("chrom", "start", "end", "value").withColumn("strand", F.lit(s))
     return one(plus, "+").unionByName(one(minus, "-"))
