@@ -211,7 +211,8 @@ def score(docs: DataFrame, target: DataFrame, buckets: int = 10_000, longest: in
 
     Of the rows with at least ``min_words`` words, ``percent`` of a hundred are drawn, by falling score and then rising key."""
     gain = gains(bucket_totals(docs, buckets, longest), bucket_totals(target, buckets, longest))
-    x = weights(docs, gain, longest, key).withColumn("score", F.col("weight") + noise(F.col(key), seed))
+    # written: dealing out by ranges looks at its rows twice, and the texts are to be scored once
+    x = cut(weights(docs, gain, longest, key)).withColumn("score", F.col("weight") + noise(F.col(key), seed))
     order = [F.col("fits").desc(), F.col("score").desc(), F.col(key).asc_nulls_last(), F.col("n_features"), F.col("spread")]
     x = x.select(key, "n_features", "weight", "score", (F.col("n_words") >= min_words).alias("fits"), F.rand(seed).alias("spread"))
     dealt = cut(x.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
