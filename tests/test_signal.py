@@ -241,6 +241,15 @@ def test_calling(spark):
     raw = calling.raw_peaks(dense, broad, 0.05, _forest(1.0), cov).orderBy("start").collect()
     assert [abs(r["smooth_mode"] - c) <= 20 for r, c in zip(raw, (500, 1500, 3500, 4500))] == [True] * 4
     assert all(0 <= r["prob"] < 0.01 for r in raw)
+    # the exact way differs by no more than the mass it takes in besides and the errors allowed; counters count what was done
+    wide, seen = 0.2 * np.eye(5) + 0.1, {}
+    for tail in (0.0, mvlaplace.TAIL):
+        done = calling.Counters(spark)
+        rows = calling.raw_peaks(dense, broad, 0.05, _forest(1.0), wide, tail=tail, counters=done).collect()
+        seen[tail] = [r["prob"] for r in sorted(rows, key=lambda r: r["start"])], done
+    (exact, all_of_it), (fast, less) = seen[0.0], seen[mvlaplace.TAIL]
+    assert np.abs(np.array(exact) - fast).max() <= mvlaplace.TAIL + 2 * mvlaplace.TOLERANCE and min(fast) > 0.01
+    assert all_of_it.tests == less.tests == 4 and all_of_it.boxes > less.boxes > 4
     assert calling.raw_peaks(dense, broad, 0.05, _forest(0.0), cov).count() == 2
     _, kept = calling.call_peaks(dense, broad, 0.05, _forest(1.0), cov=cov)
     assert kept.columns == ["chrom", "start", "end", "score", "prob", "center"] and kept.count() == 4
@@ -266,6 +275,9 @@ def test_pipeline(spark, tmp_path):
     out = pipeline.run(track, svr, _forest(0.0), sizes, threshold=1.0)
     assert out.min_score > 0 and out.dense.count() >= positions.count()
     assert out.raw.where("start < 50500 and end > 49500").count() >= 1
+    n = out.counts
+    assert (n["informative"], n["dense"], n["summits"], n["peaks"]) == (positions.count(), out.dense.count(), out.raw.count(), out.peaks.count())
+    assert n["p_values"] == out.raw.where("prob <> -1").count() and n["boxes"] >= 0 and n["broad"] >= 1
     paths = sinks.write_outputs(f"{tmp_path}/out", out.dense, out.raw, out.peaks, sizes)
     assert len(paths) in (2, 7)
     back = tracks.bed(spark, paths[1])

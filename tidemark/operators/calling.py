@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
 from .fdr import significant
 from .intervals import overlap_join
 from .models import Forest
-from .mvlaplace import laplace_box
+from .mvlaplace import TAIL, laplace_boxes
 from .noise import covariance
 from .smoothing import derivative, local_maxima, smooth
 
@@ -24,6 +24,27 @@ OFFSETS = [(-4, -2, 0, 2, 4), (-2, 0, 2, 4, 6), (-6, -4, -2, 0, 2), (-8, -6, -4,
 SUMMIT = "start bigint, stop bigint, score double, prob double, smooth_mode bigint, original_mode bigint, centroid bigint"
 
 
+class Counters:
+    """What a run of peak calling did: p-values worked out and normal boxes integrated for them, added up over all tasks.
+
+    A task that is run again counts again, so the sums are exact only where no task was lost."""
+
+    def __init__(self, spark: SparkSession):
+        self._tests, self._boxes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def add(self, tests: int, boxes: int) -> None:
+        self._tests += tests
+        self._boxes += boxes
+
+    @property
+    def tests(self) -> int:
+        return self._tests.value
+
+    @property
+    def boxes(self) -> int:
+        return self._boxes.value
+
+
 def valley_features(x: np.ndarray, y: np.ndarray, gaps: list[tuple[int, int, int]]) -> np.ndarray:
     """Of valleys (left maximum, right maximum, lowest point): widths, heights and depths."""
     left, right, low = np.array(gaps).T
@@ -58,8 +79,9 @@ def sample(y: np.ndarray, left: int, right: int, peak: int) -> np.ndarray:
     return next(peak + np.array(o) for o in OFFSETS if peak + o[0] >= left and peak + o[-1] <= right)
 
 
-def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, forest: Forest, cov: np.ndarray, floor: float) -> list[tuple]:
-    """The summits of one peak: positions x, smoothed and raw scores, indexes of the smoothed maxima."""
+def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, forest: Forest, floor: float) -> list[tuple[list, np.ndarray | None]]:
+    """The summits of one peak (positions x, smoothed and raw scores, indexes of the smoothed maxima), each with the five
+    scores that its p-value is of, or None where it is too narrow for one."""
     edges = [0, *split_points(x, y, maxima, forest), len(x) - 1]
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
@@ -70,7 +92,7 @@ def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, f
         peak = left + int(np.argmax(y[left : right + 1]))
         score = float(raw[left : right + 1].max())
         if right - left < NARROW:
-            out.append((int(x[left]), int(x[right]), score, -1.0, int(x[peak]), 0, 0))
+            out.append(([int(x[left]), int(x[right]), score, -1.0, int(x[peak]), 0, 0], None))
             continue
         before, after = x[peak] - x[left], x[right] - x[peak]
         if before > RATIO * after and after > WIDE:
@@ -80,8 +102,8 @@ def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, f
         heights = y[left : right + 1]
         center = (heights * np.arange(1, len(heights) + 1)).sum() / heights.sum()
         centroid = round(float(center / (right - left) * (x[right] - x[left]))) + x[left]
-        p = 1 - laplace_box(y[sample(y, left, right, peak)], cov)
-        out.append((int(x[peak] - before + TRIM), int(x[peak] + after - TRIM), score, p, int(x[peak]), int(x[left + int(np.argmax(raw[left : right + 1]))]), int(centroid)))
+        row = [int(x[peak] - before + TRIM), int(x[peak] + after - TRIM), score, -1.0, int(x[peak]), int(x[left + int(np.argmax(raw[left : right + 1]))]), int(centroid)]
+        out.append((row, y[sample(y, left, right, peak)]))
     return out
 
 
@@ -111,23 +133,32 @@ def covariance_matrix(dense: DataFrame, order: int = 5) -> np.ndarray:
     return out
 
 
-def raw_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, cov: np.ndarray, width: int = 4, kind: int = 2) -> DataFrame:
-    """chrom, start, end, score, prob, smooth_mode, original_mode, centroid of every summit; prob -1 where it is too narrow to test."""
+def raw_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, cov: np.ndarray, width: int = 4, kind: int = 2, tail: float = TAIL, counters: Counters | None = None) -> DataFrame:
+    """chrom, start, end, score, prob, smooth_mode, original_mode, centroid of every summit; prob -1 where it is too narrow to test.
+
+    The p-values of all summits of an Arrow batch are worked out together, exact but for mixing values of mass ``tail``."""
     shared = dense.sparkSession.sparkContext.broadcast((forest, cov))
 
     @F.pandas_udf(f"array<struct<{SUMMIT.replace(' ', ':')}>>".replace(",:", ","))
     def find(x: pd.Series, y: pd.Series, raw: pd.Series, maxima: pd.Series) -> pd.Series:
-        names = [c.split()[0] for c in SUMMIT.split(", ")]
-        out = [[dict(zip(names, s)) for s in summits(a, b, c, np.searchsorted(a, m), *shared.value, floor)] for a, b, c, m in zip(x, y, raw, maxima)]
-        return pd.Series(out, dtype=object)
+        (forest, cov), names = shared.value, [c.split()[0] for c in SUMMIT.split(", ")]
+        found = [summits(a, b, c, np.searchsorted(a, m), forest, floor) for a, b, c, m in zip(x, y, raw, maxima)]
+        tested = [(row, five) for s in found for row, five in s if five is not None]
+        if tested:
+            inside, _, boxes = laplace_boxes(np.stack([five for _, five in tested]), cov, tail)
+            for (row, _), p in zip(tested, inside):
+                row[3] = float(1 - p)
+            if counters is not None:
+                counters.add(len(tested), boxes)
+        return pd.Series([[dict(zip(names, row)) for row, _ in s] for s in found], dtype=object)
 
     x = profiles(dense, broad, floor, width, kind).select("chrom", F.explode(find("x", "y", "raw", "maxima")).alias("s"))
     return x.select("chrom", F.col("s.start"), F.col("s.stop").alias("end"), "s.score", "s.prob", "s.smooth_mode", "s.original_mode", "s.centroid")
 
 
-def call_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, width: int = 4, kind: int = 2, method: str = "fdr", threshold: float = 0.05, cov: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+def call_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, width: int = 4, kind: int = 2, method: str = "fdr", threshold: float = 0.05, cov: np.ndarray | None = None, tail: float = TAIL, counters: Counters | None = None) -> tuple[DataFrame, DataFrame]:
     """All summits, and the significant ones as chrom, start, end, score, prob, center."""
     cov = covariance_matrix(dense) if cov is None else cov
-    raw = kept(raw_peaks(dense, broad, floor, forest, cov, width, kind))
+    raw = kept(raw_peaks(dense, broad, floor, forest, cov, width, kind, tail, counters))
     found = significant(raw, method, threshold)
     return raw, found.select("chrom", "start", "end", "score", F.col("adj_p").alias("prob"), F.col("original_mode").alias("center"))
