@@ -220,6 +220,28 @@ def test_alignment_equals_brute_force(spark, docs, long_docs, monkeypatch):
     assert {(r["a"], r["b"]): r["count"] for r in alignment.id_pairs(x, A, B).collect()} == dict(count)
 
 
+def test_ranks_and_merges_give_the_same_ids(texts, tmp_path):
+    """The library for ranks against the one that the file is made for; a file that says more goes to the latter."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    odd = ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x2FFF), r.randrange(0xE000, 0x1FFFF), 10, 32, 39])) for _ in range(60)) for _ in range(400)]
+    every = [t or "" for t in texts] + odd + ["it's 'S 12  34\n\n x<|endoftext|>y "]
+    spelled, encode = alignment.byte_level(A)
+    plain = Tokenizer.from_file(A)
+    plain.encode_special_tokens = True
+    got = encode(every)
+    assert got == [x.ids for x in plain.encode_batch(every, add_special_tokens=False)]
+    assert all(b"".join(spelled[i] for i in ids) == t.encode() for t, ids in zip(every, got))
+    file = json.load(open(A))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "more.json").write_text(json.dumps(file))
+    assert alignment.byte_level(str(tmp_path / "more.json"))[1](["ab"]) == encode([" ab"])
+
+
 def test_small_chunks_give_the_same(spark, docs, odd_docs, no_docs):
     def run(x):
         return rows_of(alignment.align(x, A, B))
