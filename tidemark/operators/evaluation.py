@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ranked_values
+from .ordered import grouped_quantiles, ranked_values
 
 
 def paired_scores(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -28,12 +31,18 @@ def histogram2d(pairs: DataFrame, width: float) -> DataFrame:
 
 def five_numbers(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Quartiles, the outermost values within 1.5 quartile ranges of them, and how many lie beyond."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    x = df.join(q, list(keys)) if keys else df.join(q, F.lit(True))
-    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col(value) >= low) & (F.col(value) <= high)
-    return x.groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"))
+    q, x = grouped_quantiles(df, value, list(keys), [0.25, 0.5, 0.75])
+    q = q.select(*keys, *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    # a key's rows meet its quantiles by range partition, so that a key with many rows isn't one task's
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    parts = x.select("part", *keys).distinct()
+    dealt = parts.alias("p").join(q.alias("q"), same("p", "q")).select("p.part", "q.*") if keys else parts.join(F.broadcast(q))
+    x = x.alias("x").join(dealt.alias("d"), (F.col("x.part") == F.col("d.part")) & same("x", "d")).select(F.col(f"x.{value}").alias("__v"), *[f"d.{c}" for c in q.columns])
+    step = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("__v") >= F.col("q1") - step) & (F.col("__v") <= F.col("q3") + step)
+    found = x.groupBy(*q.columns).agg(F.min(F.when(inside, F.col("__v"))).alias("low"), F.max(F.when(inside, F.col("__v"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    none = q.where("median is null").select(*q.columns, *[F.lit(None).cast(df.schema[value].dataType).alias(c) for c in ("low", "high")], F.lit(0).cast("bigint").alias("outliers"))
+    return found.unionByName(none)
 
 
 def paired_ratio(df: DataFrame, key: str, side: str, first: str, second: str, value: str) -> DataFrame:

@@ -78,12 +78,12 @@ def _none(use, halves) -> pa.Table:
 
 def scored(positions: DataFrame, track: DataFrame, model, backend: str = "numpy64") -> DataFrame:
     """chrom, start, end, score: features and regressor in one pass over each tile."""
-    from .models import scorer
+    from .models import scorer, stored
 
-    shared = positions.sparkSession.sparkContext.broadcast(model)
+    model = stored(model, positions.sparkSession)  # tasks read it block by block; nothing of its size is broadcast
 
     def use(x: np.ndarray) -> dict:
-        return {"score": scorer(shared.value, backend).predict(x) if len(x) else np.zeros(0)}
+        return {"score": scorer(model, backend).predict(x) if len(x) else np.zeros(0)}
 
     out = with_features(positions, track, model.windows, model.halves, use, "score double")
     return out.withColumn("end", F.col("start") + 1).select("chrom", "start", "end", "score")

@@ -304,15 +304,28 @@ def _forest_values() -> str:
     return ", ".join(f"({t}, {k + 1}, {f.status[t, k]}, {f.variable[t, k]}, {f.split[t, k]}::double, {f.left[t, k]}, {f.right[t, k]}, {f.prediction[t, k]}::double)" for t in range(3) for k in range(5))
 
 
-@query(f"""with recursive f as (select * from (values {_forest_values()}) v(tree, node, status, var, split, l, r, pred)),
+FOREST_SQL = f"""with recursive f as (select * from (values {_forest_values()}) v(tree, node, status, var, split, l, r, pred)),
 x as (select event_id, (user_id % 10)::double a, value::double b from events where event_id is not null and value is not null and user_id is not null),
 walk as (select event_id, a, b, tree, 1 node from x, (select distinct tree from f) union all
   select event_id, a, b, w.tree, case when (case when var = 1 then a else b end) <= split then l else r end from walk w join f on f.tree = w.tree and f.node = w.node where status = -3)
-select event_id, round(avg(pred), 9) score from walk w join f on f.tree = w.tree and f.node = w.node where status = -1 group by event_id""")
-def forest_scores(spark, d):
+select event_id, round(avg(pred), 9) score from walk w join f on f.tree = w.tree and f.node = w.node where status = -1 group by event_id"""
+
+
+def _forest_rows(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").where("event_id is not null and value is not null and user_id is not null")
-    x = e.select("event_id", (F.col("user_id") % 10).cast("double").alias("a"), F.col("value").cast("double").alias("b"))
-    return models.forest_scores(x, demo_forest(), "event_id", ["a", "b"]).withColumn("score", F.round("score", 9))
+    return e.select("event_id", (F.col("user_id") % 10).cast("double").alias("a"), F.col("value").cast("double").alias("b"))
+
+
+@query(FOREST_SQL)
+def forest_scores(spark, d):
+    return models.forest_scores(_forest_rows(spark, d), demo_forest(), "event_id", ["a", "b"]).withColumn("score", F.round("score", 9))
+
+
+@query(FOREST_SQL)
+def forest_scores_sql(spark, d):
+    """The walk as a recursive query over the forest's table."""
+    f = demo_forest()
+    return models.forest_scores_walked(_forest_rows(spark, d), f.table(spark), "event_id", ["a", "b"], len(f.status), f.depth()).withColumn("score", F.round("score", 9))
 
 
 PROFILE = "profile as (select user_id % 50 k, event_id i, cast(round(value * 100) as bigint)::double y from events)"
