@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 # Fixed values of the scan.
 MIN_SIZE = 2500
 STEP, OR_WIDTH, AND_WIDTH, PHASES = 50, 100, 1000, 9
@@ -34,6 +36,17 @@ def fine_bins(track: DataFrame, sizes: DataFrame, step: int = STEP) -> DataFrame
     return x.groupBy("chrom", F.col("tile").alias("bin")).agg(F.coalesce(F.sum(F.when(F.col("strand") == "+", F.col("total"))), F.lit(0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("strand") == "-", F.col("total"))), F.lit(0)).alias("minus"))
 
 
+def profile(track: DataFrame, step: int = STEP) -> DataFrame:
+    """chrom, bin, plus, minus and what the chrom's size and strands follow from: plus_end, the last covered base of the plus strand
+    that this bin knows of, and has_minus. One pass over the track, written: all else of a scan is made from it."""
+    a, b = F.greatest("start", F.lit(0)), F.greatest(F.col("end") - 1, F.greatest("start", F.lit(0)))
+    x = track.select("chrom", "strand", "start", "end", "value", F.explode(F.sequence(F.floor(a / step), F.floor(b / step))).alias("bin"))
+    covered = F.greatest(F.least("end", (F.col("bin") + 1) * step) - F.greatest("start", F.col("bin") * step), F.lit(0))
+    x = x.withColumn("__sum", F.col("value") * covered)
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("strand") == s, F.col("__sum"))), F.lit(0))
+    return kept(x.groupBy("chrom", "bin").agg(of("+").alias("plus"), of("-").alias("minus"), F.max(F.when(F.col("strand") == "+", F.col("end"))).alias("plus_end"), F.max(F.col("strand") == "-").alias("has_minus")))
+
+
 def _chroms(track: DataFrame, sizes: DataFrame) -> DataFrame:
     """chrom, size, paired: chroms of the plus strand that are large enough, and whether the minus strand has them."""
     minus = track.where("strand = '-'").select("chrom").distinct().withColumn("paired", F.lit(True))
@@ -51,15 +64,27 @@ def or_pass(bins: DataFrame, chroms: DataFrame, depth: float = 2) -> DataFrame:
 def and_pass(bins: DataFrame, chroms: DataFrame, depth: float = 0) -> DataFrame:
     """chrom, start: centers of 1000-base tiles, in nine phases of 50 bases, where either strand's signal exceeds ``depth``."""
     n = AND_WIDTH // STEP
-    inside = F.filter(F.sequence(F.col("bin") - (n - 1), F.col("bin")), lambda s: (s >= 0) & (s % n < PHASES))
-    x = bins.select("chrom", F.explode(inside).alias("s"), "plus", "minus").groupBy("chrom", "s").agg(F.sum("plus").alias("p"), F.sum("minus").alias("m"))
-    x = x.join(chroms.where("paired"), "chrom").where((F.col("p") > depth) & (F.abs("m") > depth) & (F.col("s") + n <= F.expr(f"size div {STEP}")))
+    # the tile of phase k that starts in block q of n bins holds that block from its bin k on, and the next block up to its bin k
+    x = bins.select("chrom", F.floor(F.col("bin") / n).alias("q"), F.pmod("bin", F.lit(n)).alias("at"), "plus", "minus")
+    x = x.select("chrom", "at", "plus", "minus", F.explode(F.when(F.col("at") < PHASES - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("next"), "q")
+    inside = lambda k: F.when(F.col("next") == 0, F.col("at") >= k).otherwise(F.col("at") < k)
+    sums = [F.struct(F.sum(F.when(inside(k), F.col("plus"))).alias("p"), F.sum(F.when(inside(k), F.col("minus"))).alias("m")) for k in range(PHASES)]
+    x = x.groupBy("chrom", (F.col("q") - F.col("next")).alias("q")).agg(F.array(*sums).alias("tiles")).where("q >= 0")
+    x = x.select("chrom", "q", F.posexplode("tiles").alias("k", "t")).where((F.col("t.p") > depth) & (F.abs("t.m") > depth)).withColumn("s", F.col("q") * n + F.col("k"))
+    x = x.join(chroms.where("paired"), "chrom").where(F.col("s") + n <= F.expr(f"size div {STEP}"))
     return x.select("chrom", (F.col("s") * STEP + AND_WIDTH // 2).alias("start"))
 
 
 def informative_positions(track: DataFrame, sizes: DataFrame | None = None, or_depth: float = 2, and_depth: float = 0) -> DataFrame:
-    """chrom, start, end: all positions that either pass finds, once each. Only the track's fine bins are read from it."""
-    sizes = sizes_of(track) if sizes is None else sizes
-    bins, chroms = fine_bins(track, sizes), _chroms(track, sizes)
+    """chrom, start, end: all positions that either pass finds, once each. The track is read once, for its fine bins."""
+    every = profile(track)
+    known = every.groupBy("chrom").agg(F.max("plus_end").alias("size"), F.max("has_minus").alias("paired"))
+    if sizes is None:
+        known = known.where("size is not null")
+    else:
+        known = sizes.alias("s").join(known.alias("k"), "chrom", "left").select("chrom", "s.size", F.coalesce("k.paired", F.lit(False)).alias("paired"))
+    known = kept(known)  # a row a chrom
+    bins = every.join(known, "chrom").where(F.col("bin") < F.expr(f"size div {STEP}")).select("chrom", "bin", "plus", "minus")
+    chroms = known.where(F.col("size") > MIN_SIZE)
     both = or_pass(bins, chroms, or_depth).unionByName(and_pass(bins, chroms, and_depth)).distinct()
     return both.withColumn("end", F.col("start") + 1)
