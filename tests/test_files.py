@@ -1,4 +1,4 @@
-"""File formats: bigWig."""
+"""File formats: bigWig, and BED in blocks with an index."""
 
 import json
 import struct
@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
-from tidemark.sources import bigwig, sinks, tracks
+from tidemark.sources import bgzf, bigwig, sinks, tracks
 
 
 def small_file(path, order="<", packed=True):
@@ -173,3 +173,100 @@ def test_bigwig_many_chroms(tmp_path, monkeypatch):
     w.commit([w.write(iter([pa.RecordBatch.from_pylist([{"chrom": c, "start": 1, "end": 2, "value": 1.0} for c in sorted(sizes)])]))])
     assert {c: s for c, (_, s) in bigwig.File(path).chroms().items()} == sizes
     assert len(_pushed(path)[2]) == 70
+
+
+BED = "chrom string, start bigint, end bigint, score double, name string"
+
+
+@pytest.fixture(scope="module")
+def bed_rows():
+    r = np.random.default_rng(1)
+    out = [(f"chr{c}", int(s), int(s) + int(n), float(v), f"row {k}") for k, (c, s, n, v) in enumerate(zip(r.integers(1, 12, 6000), r.integers(0, 3_000_000, 6000), r.choice([0, 1, 50, 40_000, 2_000_000], 6000, p=[0.1, 0.4, 0.4, 0.09, 0.01]), r.random(6000)))]
+    return [*out, ("chr3", 5, 9, None, None), ("chrÄ", 1, 2, 0.5, "é"), out[0]]
+
+
+@pytest.fixture(scope="module")
+def bed_file(spark, bed_rows, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("bed") / "x.bed.gz")
+    sinks.write_bed(spark.createDataFrame(bed_rows, BED).repartition(5), path)
+    return path
+
+
+def test_bed_blocks_are_plain_gzip(spark, bed_rows, bed_file):
+    """Any gzip reader sees one sorted text; blocks are small; the end is marked."""
+    import gzip
+
+    lines = gzip.open(bed_file, "rt", encoding="utf-8").read().splitlines()
+    keys = [(x.split("\t")[0].encode(), int(x.split("\t")[1])) for x in lines]
+    assert keys == sorted(keys) and len(lines) == len(bed_rows) and "chr3\t5\t9\t\t" in lines
+    raw = open(bed_file, "rb").read()
+    assert raw.endswith(bgzf.END_MARK)
+    at, n = 0, 0
+    while at < len(raw):
+        size = struct.unpack("<H", raw[at + 16 : at + 18])[0] + 1
+        assert raw[at : at + 4] == b"\x1f\x8b\x08\x04" and struct.unpack("<I", raw[at + size - 4 : at + size])[0] <= 65280
+        at, n = at + size, n + 1
+    assert at == len(raw) and n > 4
+    assert tracks.bed(spark, bed_file).count() == len(bed_rows)
+
+
+def test_indexed_bed_read(spark, bed_rows, bed_file):
+    x = tracks.indexed_bed(spark, bed_file, BED)
+    assert sorted(map(tuple, x.collect()), key=repr) == sorted(bed_rows, key=repr)
+    few = x.where("chrom = 'chr7' and end > 1000000 and start < 1005000")
+    want = [r for r in bed_rows if r[0] == "chr7" and r[2] > 1_000_000 and r[1] < 1_005_000]
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(want, key=repr) and want
+    assert sorted(tracks.indexed_bed(spark, bed_file).columns) == ["chrom", "end", "start"]
+
+
+def _bed_pushed(spark, path, *filters, piece=bgzf.PIECE):
+    from pyspark.sql.types import StructType
+
+    r = bgzf.Reader({"path": path, "piece": str(piece)}, StructType.fromDDL(BED))
+    assert list(r.pushFilters(list(filters))) == list(filters)
+    parts = r.partitions()
+    return r, len(parts), [tuple(row.values()) for p in parts for b in r.read(p) for row in b.to_pylist()]
+
+
+def test_indexed_bed_reads_only_its_blocks(spark, tmp_path):
+    """Many blocks; each range reads few, whatever it cuts, and no row of it is missed."""
+    every = sorted((f"chr{k % 3}", 10 * (k // 3), 10 * (k // 3) + (40_000 if k % 500 == 0 else 8), k / 7, f"a name of some length, so that blocks fill up {k}") for k in range(60_000))
+    path = str(tmp_path / "y.bed.gz")
+    w = bgzf.Writer({"path": path})
+    batch = lambda rows: pa.RecordBatch.from_pylist([{"chrom": r[0], "start": r[1], "end": r[2], "line": "\t".join(map(str, r))} for r in rows])
+    messages = [w.write(batch(every[k : k + 17_000][i : i + 1000]) for i in range(0, len(every[k : k + 17_000]), 1000)) for k in range(0, 60_000, 17_000)]
+    w.commit([messages[3], messages[0], None, messages[2], messages[1]])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["y.bed.gz", "y.bed.gz.tbi"]
+    r, n, out = _bed_pushed(spark, path, piece=100_000)
+    assert out == every and n > 5 and r.blocks > 50
+    for chrom, low, high in (("chr0", 0, 10), ("chr1", 99_990, 100_010), ("chr2", 150_000, 151_000), ("chr0", 16_380, 16_390), ("chr2", 199_000, 10**6)):
+        r, _, out = _bed_pushed(spark, path, EqualTo(("chrom",), chrom), GreaterThan(("end",), low), LessThan(("start",), high))
+        want = [x for x in every if x[0] == chrom and x[2] > low and x[1] < high]
+        assert [x for x in out if x[0] == chrom and x[2] > low and x[1] < high] == want and want and r.blocks < 14
+    assert _bed_pushed(spark, path, EqualTo(("chrom",), "gone"))[2] == []
+    assert _bed_pushed(spark, path, GreaterThan(("end",), 10**8))[2] == []
+
+
+def test_bed_errors_and_empty(spark, tmp_path):
+    path = str(tmp_path / "none.bed.gz")
+    sinks.write_bed(spark.createDataFrame([], BED), path)
+    assert open(path, "rb").read() == bgzf.END_MARK and tracks.indexed_bed(spark, path).count() == 0
+    w = bgzf.Writer({"path": str(tmp_path / "x.bed.gz")})
+    batch = lambda *r: iter([pa.RecordBatch.from_pylist([{"chrom": c, "start": s, "end": e, "line": ""} for c, s, e in r])])
+    for bad in ([("a", 5, 4)], [("a", 0, 1 << 30)], [("b", 0, 1), ("a", 0, 1)], [("a", 5, 6), ("a", 4, 9)]):
+        with pytest.raises(ValueError):
+            w.write(batch(*bad))
+    with pytest.raises(ValueError, match="two tasks"):
+        w.commit([w.write(batch(("a", 0, 1), ("a", 9, 10))), w.write(batch(("a", 5, 6)))])
+    w.abort([])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none.bed.gz", "none.bed.gz.tbi"]
+
+
+def test_index_bins():
+    r = np.random.default_rng(2)
+    start = r.integers(0, 1 << 28, 500)
+    end = start + 2 ** r.integers(0, 27, 500)
+    for s, e, b in zip(start.tolist(), end.tolist(), bgzf.bins_of(start, end).tolist()):
+        widths = [(k, 29 - 3 * k) for k in range(5, -1, -1)]  # levels from the finest up
+        level, shift = next((k, w) for k, w in widths if s >> w == (e - 1) >> w)
+        assert b == sum(8**j for j in range(level)) + (s >> shift) and bgzf.start_of(b) == s >> shift << shift and b in bgzf.bins_over(s, s + 1) and b in bgzf.bins_over(e - 1, e)

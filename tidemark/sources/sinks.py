@@ -1,6 +1,6 @@
-"""Writers: sorted BED and bedGraph as folders of range-partitioned parts, gzip-compressed.
+"""Writers: BED and bigWig as single files that tasks write in pieces, bedGraph as folders of range-partitioned parts, gzip-compressed.
 
-Parts follow the order of chrom and start, so their concatenation is one sorted file; no task writes more than its range."""
+bedGraph parts follow the order of chrom and start, so their concatenation is one sorted file; no task writes more than its range."""
 
 from __future__ import annotations
 
@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 
 def write_bed(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Tab-separated rows without header, sorted by chrom and start, coordinates as whole numbers."""
+    """One BED file in gzip blocks, sorted by chrom and start, coordinates as whole numbers, and its range index at ``path``.tbi."""
+    from .bgzf import IndexedBed
+
     if not path.endswith(".bed.gz"):
         raise ValueError("a BED path ends in .bed.gz")
+    df.sparkSession.dataSource.register(IndexedBed)
     x = df.select(*(columns or df.columns))
     a, start, end = x.columns[:3]
     x = x.withColumn(start, F.col(start).cast("long")).withColumn(end, F.col(end).cast("long"))
-    x.repartitionByRange(a, start).sortWithinPartitions(a, start).write.mode("overwrite").option("compression", "gzip").csv(path, sep="\t")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in x.columns])
+    x = x.select(F.col(a).alias("chrom"), F.col(start).alias("start"), F.col(end).alias("end"), line.alias("line"))
+    x.repartitionByRange("chrom", "start", "end").sortWithinPartitions("chrom", "start", "end").write.format("indexed_bed").mode("overwrite").save(path)
 
 
 def write_bedgraph(df: DataFrame, path: str, value: str, sizes: DataFrame | None = None) -> None:

@@ -62,6 +62,15 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col(a).alias("chrom"), F.col(b).cast("long").alias("start"), F.col(c).cast("long").alias("end")).where("start is not null")
 
 
+def indexed_bed(spark: SparkSession, path: str, schema: str = "chrom string, start bigint, end bigint", **options) -> DataFrame:
+    """A BED file that has a range index beside it, first columns as in ``schema``. Filters on chrom, start and end choose the blocks that are read."""
+    from .bgzf import IndexedBed
+
+    spark.dataSource.register(IndexedBed)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("indexed_bed").schema(schema).options(**options).load(path)
+
+
 def events_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as signal: type as chrom, seconds of 2024 as position, cents as value, the user's parity as strand."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
