@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tidemark.llm import html, queries, urls
 from tidemark.llm.queries import URL_RULES
@@ -227,3 +228,11 @@ def test_html_odd_rows(spark):
     assert html.extract(none).count() == 0
     rows = spark.createDataFrame([(None, "http://q.org/", "<p>a"), (1, "http://q.org/", "<p>a"), (1, "http://q.org/", "<p>a")], "page_id long, url string, html string").selectExpr("*", "'m' host", "'m' text", "'m' node", "'m' uid")
     assert [r["text"] for r in html.extract(rows).collect()] == ["a"] * 3
+
+
+@pytest.mark.parametrize("named", ['class="comments"', 'id="comments"', 'class="post-comments wide"', 'class="box comment-list"', 'id="disqus_thread"', 'class="comment_body"', 'id="comment-12"'])
+def test_comments_go_however_long(spark, named):
+    """A short article and comments of many times its length, different on every page."""
+    rows = [(i, f"http://a.com/{i}", f'<article class="post has-comments commentary"><p>Short text {i}.</p></article><section {named}>' + "".join(f"<p>Reader {i} {k} says a long thing, and more of it.</p>" for k in range(40)) + "</section>") for i in range(12)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Short text {i}." for i in range(12)}

@@ -12,7 +12,8 @@ Priors (PRIOR): inside an article or main element a node needs little importance
 or id says that it is noise, or that lies beside an article, is lost unless it holds about half or more of its
 host's text, which no advert or menu does; other branches stand for themselves. A block whose text its node has
 in more than ``repeated`` of the host's different pages (``shown`` at least) goes, too. What its element
-says to be no text of the page (menus, headers, footers, sidebars, forms, scripts, styles, hidden parts) isn't parsed.
+says to be no text of the page (menus, headers, footers, sidebars, forms, scripts, styles, hidden parts), and a branch whose class or id
+is that of reader comments, isn't parsed: no vote could tell comments, as different from page to page as articles, from the text.
 
 Defined results: null or empty html gives an empty text; null url gives the empty host, whose
 pages form one site; repeated rows get a result each; text cut off inside a tag ends there; ids of any
@@ -44,6 +45,8 @@ NOISE = frozenset(
     "sidebar aside footer masthead topbar comment comments commentlist disqus respond notice notices cookie cookies consent gdpr alert popup modal overlay "
     "newsletter subscribe signup related recommended share sharing social widget widgets toolbar pagination pager skip login search copyright disclaimer".split()
 )
+#: A class or id, among those that white space separates, of a branch of reader comments: the contract takes them out however much they hold.
+COMMENTS = re.compile(r"(?:^|\s)(?:(?:user|reader|post|article|disqus|fb)[-_]?)?(?:comments?|respond|disqus)(?:[-_]?(?:\d+|list|section|area|thread|body|content|text|item|wrap|wrapper|container|box|block|form|respond))*(?=\s|$)")
 #: Raw text elements, comments, declarations, and tags whose quoted values may hold ">".
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
@@ -74,6 +77,8 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
         role = a.get("role", "").lower()
         if role in ROLES:
             return DROP, style
+        if tag not in ("html", "body") and any(COMMENTS.search(x) for x in (style, a.get("id", "").lower())):
+            return DROP, style
         if tag not in ("html", "body") and not NOISE.isdisjoint(WORDS.findall(f"{style} {a.get('id', '').lower()}")):
             return HINT, style
         if role in ("main", "article"):
