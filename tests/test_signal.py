@@ -71,6 +71,23 @@ def test_smoothing(spark):
     assert column(smoothing.boxcar, y, width=3, progressive_ends=True) == [1, 1, 4, 7, 10, 7, 4, 1, 1, 1]
 
 
+@pytest.mark.parametrize("n, width", [(12, 6), (12, 7), (5, 8), (9, 3), (2, 5)])
+def test_progressive_ends(spark, n, width):
+    """Near the ends: the mean of as many rows on either side as there are; at the ends that of two."""
+    y = np.random.default_rng(n).random(n)
+    half, start = round(width / 2), (width + 1) // 2
+    want = []
+    for i in range(1, n + 1):
+        k = i - 1 if i < start else n - i
+        if i < start or i > n - start + 1:
+            want.append(y[:2].mean() if i == 1 else y[-2:].mean() if i == n and not i < start else y[max(0, i - 1 - k) : i + k].sum() / (2 * k + 1))
+        else:
+            want.append(y[i - half : i + width - half].mean() if half <= i <= n - (width - half) else 0.0)
+    x = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(y)], "k int, i int, y double")
+    got = [r["o"] for r in smoothing.boxcar(x, "k", "i", "y", "o", width, progressive_ends=True).orderBy("i").collect()]
+    assert np.allclose(got, want)
+
+
 def test_noise(spark):
     r = np.random.default_rng(0)
     v = np.concatenate([-np.abs(r.normal(0, 0.1, 500)), [0.0] * 20, r.random(100), [-5.0]])

@@ -21,7 +21,7 @@ from .smoothing import derivative, local_maxima, smooth
 # Fixed values of the method.
 WIDE, RATIO, NARROW, TRIM, CUT = 300, 2, 5, 10, 0.5
 OFFSETS = [(-4, -2, 0, 2, 4), (-2, 0, 2, 4, 6), (-6, -4, -2, 0, 2), (-8, -6, -4, -2, 0), (0, 2, 4, 6, 8)]
-SUMMIT = "start bigint, stop bigint, score double, prob double, smooth_mode bigint, original_mode bigint, centroid bigint"
+SUMMIT = "start bigint, stop bigint, score double, smooth_mode bigint, original_mode bigint, centroid bigint, five array<double>"
 
 
 class Counters:
@@ -79,8 +79,8 @@ def sample(y: np.ndarray, left: int, right: int, peak: int) -> np.ndarray:
     return next(peak + np.array(o) for o in OFFSETS if peak + o[0] >= left and peak + o[-1] <= right)
 
 
-def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, forest: Forest, floor: float) -> list[tuple[list, np.ndarray | None]]:
-    """The summits of one peak (positions x, smoothed and raw scores, indexes of the smoothed maxima), each with the five
+def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, forest: Forest, floor: float) -> list[tuple]:
+    """The summits of one peak (positions x, smoothed and raw scores, indexes of the smoothed maxima), each ended by the five
     scores that its p-value is of, or None where it is too narrow for one."""
     edges = [0, *split_points(x, y, maxima, forest), len(x) - 1]
     out = []
@@ -92,7 +92,7 @@ def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, f
         peak = left + int(np.argmax(y[left : right + 1]))
         score = float(raw[left : right + 1].max())
         if right - left < NARROW:
-            out.append(([int(x[left]), int(x[right]), score, -1.0, int(x[peak]), 0, 0], None))
+            out.append((int(x[left]), int(x[right]), score, int(x[peak]), 0, 0, None))
             continue
         before, after = x[peak] - x[left], x[right] - x[peak]
         if before > RATIO * after and after > WIDE:
@@ -102,8 +102,8 @@ def summits(x: np.ndarray, y: np.ndarray, raw: np.ndarray, maxima: np.ndarray, f
         heights = y[left : right + 1]
         center = (heights * np.arange(1, len(heights) + 1)).sum() / heights.sum()
         centroid = round(float(center / (right - left) * (x[right] - x[left]))) + x[left]
-        row = [int(x[peak] - before + TRIM), int(x[peak] + after - TRIM), score, -1.0, int(x[peak]), int(x[left + int(np.argmax(raw[left : right + 1]))]), int(centroid)]
-        out.append((row, y[sample(y, left, right, peak)]))
+        mode = int(x[left + int(np.argmax(raw[left : right + 1]))])
+        out.append((int(x[peak] - before + TRIM), int(x[peak] + after - TRIM), score, int(x[peak]), mode, int(centroid), y[sample(y, left, right, peak)]))
     return out
 
 
@@ -133,27 +133,39 @@ def covariance_matrix(dense: DataFrame, order: int = 5) -> np.ndarray:
     return out
 
 
+def found_summits(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, width: int = 4, kind: int = 2) -> DataFrame:
+    """chrom, start, end, score, smooth_mode, original_mode, centroid of every summit, and ``five``: the scores that its p-value is of, null where it is too narrow to test."""
+    shared = dense.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf(f"array<struct<{SUMMIT.replace(' ', ':')}>>".replace(",:", ","))
+    def find(x: pd.Series, y: pd.Series, raw: pd.Series, maxima: pd.Series) -> pd.Series:
+        names = [c.split()[0] for c in SUMMIT.split(", ")]
+        out = [[dict(zip(names, s)) for s in summits(a, b, c, np.searchsorted(a, m), shared.value, floor)] for a, b, c, m in zip(x, y, raw, maxima)]
+        return pd.Series(out, dtype=object)
+
+    x = profiles(dense, broad, floor, width, kind).select("chrom", F.explode(find("x", "y", "raw", "maxima")).alias("s"))
+    return x.select("chrom", F.col("s.start"), F.col("s.stop").alias("end"), "s.score", "s.smooth_mode", "s.original_mode", "s.centroid", "s.five")
+
+
 def raw_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, cov: np.ndarray, width: int = 4, kind: int = 2, tail: float = TAIL, counters: Counters | None = None) -> DataFrame:
     """chrom, start, end, score, prob, smooth_mode, original_mode, centroid of every summit; prob -1 where it is too narrow to test.
 
-    The p-values of all summits of an Arrow batch are worked out together, exact but for mixing values of mass ``tail``."""
-    shared = dense.sparkSession.sparkContext.broadcast((forest, cov))
+    Summits are dealt out by number for their p-values (few bytes, but much work a row); those of an Arrow batch are worked out
+    together, exact but for mixing values of mass ``tail``."""
 
-    @F.pandas_udf(f"array<struct<{SUMMIT.replace(' ', ':')}>>".replace(",:", ","))
-    def find(x: pd.Series, y: pd.Series, raw: pd.Series, maxima: pd.Series) -> pd.Series:
-        (forest, cov), names = shared.value, [c.split()[0] for c in SUMMIT.split(", ")]
-        found = [summits(a, b, c, np.searchsorted(a, m), forest, floor) for a, b, c, m in zip(x, y, raw, maxima)]
-        tested = [(row, five) for s in found for row, five in s if five is not None]
-        if tested:
-            inside, _, boxes = laplace_boxes(np.stack([five for _, five in tested]), cov, tail)
-            for (row, _), p in zip(tested, inside):
-                row[3] = float(1 - p)
+    @F.pandas_udf("double")
+    def p(fives: pd.Series) -> pd.Series:
+        out, tested = np.full(len(fives), -1.0), np.flatnonzero(fives.notna().to_numpy())
+        if len(tested):
+            inside, _, boxes = laplace_boxes(np.stack(fives.to_numpy()[tested]), cov, tail)
+            out[tested] = 1 - inside
             if counters is not None:
                 counters.add(len(tested), boxes)
-        return pd.Series([[dict(zip(names, row)) for row, _ in s] for s in found], dtype=object)
+        return pd.Series(out)
 
-    x = profiles(dense, broad, floor, width, kind).select("chrom", F.explode(find("x", "y", "raw", "maxima")).alias("s"))
-    return x.select("chrom", F.col("s.start"), F.col("s.stop").alias("end"), "s.score", "s.prob", "s.smooth_mode", "s.original_mode", "s.centroid")
+    found = kept(found_summits(dense, broad, floor, forest, width, kind))
+    tasks = 4 * dense.sparkSession.sparkContext.defaultParallelism
+    return found.repartition(tasks).select("chrom", "start", "end", "score", p("five").alias("prob"), "smooth_mode", "original_mode", "centroid")
 
 
 def call_peaks(dense: DataFrame, broad: DataFrame, floor: float, forest: Forest, width: int = 4, kind: int = 2, method: str = "fdr", threshold: float = 0.05, cov: np.ndarray | None = None, tail: float = TAIL, counters: Counters | None = None) -> tuple[DataFrame, DataFrame]:

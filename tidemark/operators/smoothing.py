@@ -20,14 +20,13 @@ def boxcar(df: DataFrame, key: str, at: str, value: str, out: str, width: int, p
     inside = (F.col("__i") >= half) & (F.col("__i") <= F.col("__n") - (width - half))
     x = x.withColumn(out, F.when(inside, mean).otherwise(0.0))
     if progressive_ends:
-        start = (width + 1) // 2
-        both = F.struct("__i", value)
-        lists = x.withColumn("__all", F.array_sort(F.collect_list(both).over(every)))
-        take = lambda lo, n: F.aggregate(F.slice("__all", lo, n), F.lit(0.0), lambda a, b: a + b[value]) / n
-        i, n = F.col("__i"), F.col("__n")
-        low = F.when(i == 1, (F.get("__all", F.lit(0))[value] + F.get("__all", F.lit(1))[value]) / 2).otherwise(take(F.lit(1), 2 * i - 1))
-        high = F.when(i == n, (F.get("__all", n - 1)[value] + F.get("__all", n - 2)[value]) / 2).otherwise(take(2 * i - n, 2 * (n - i) + 1))
-        x = lists.withColumn(out, F.when(i < start, low).when(i > n - start + 1, high).otherwise(F.col(out))).drop("__all")
+        # a row whose k-th neighbour is the profile's end takes the mean of k rows on either side; the end itself that of two rows
+        around = lambda lo, hi: F.sum(value).over(by.rowsBetween(lo, hi)) / (hi - lo + 1)
+        ends, i, n = (width + 1) // 2 - 1, F.col("__i"), F.col("__n")
+        first, last = F.when(i == 1, around(0, 1)), F.when(i == n, around(-1, 0))
+        for k in range(1, ends):
+            first, last = first.when(i - 1 == k, around(-k, k)), last.when(n - i == k, around(-k, k))
+        x = x.withColumn(out, F.when(i <= ends, first).when(n - i < ends, last).otherwise(F.col(out)))
     return x.drop("__i", "__n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -204,6 +205,22 @@ def toeplitz(spark, d):
     return noise.covariance(_ev_scored(spark, d), 100).select("i", "j", F.round("cov", 9).alias("cov"))
 
 
+DENSE_THINNED = f"""with {EV_SCORED}{BROAD}, grid as (select chrom, unnest(list_append(generate_series(start, "end" - 1, 10), "end")) start from broad),
+added as (select *, (start // 50 * 7919) % 1000 h from (select distinct chrom, start from grid anti join scored using (chrom, start))),
+dense as (select chrom, start, score from scored union all select chrom, start, case when h < 500 then -h / 50000.0::double else (h - 500) / 500.0::double end from added),
+lagged as (select chrom, start, score, start - lag(start, 2) over (partition by chrom order by start) g from dense),
+thin as (select score, (r + 1) // 2 idx from (select score, row_number() over (order by chrom, start) r from lagged where g = 20) where r % 2 = 1)"""
+
+
+@query(DENSE_THINNED + """, rho as (select k, corr(a.score, b.score) r from range(1, 5) t(k) join thin a on true join thin b on b.idx = a.idx - k group by k union all select 0, 1.0)
+select cast(i as integer) i, cast(j as integer) j, round(v * r, 9) cov from range(0, 5) x(i), range(0, 5) y(j), rho, (select var_samp(score) v from thin where abs(score) <= 0.5) where k = abs(i - j)""")
+def toeplitz_dense(spark, d):
+    """The covariance at the distance that peak calling uses, over positions densified to every 10 bases of broad peaks."""
+    s = kept(_ev_scored(spark, d))
+    dense = kept(s.unionByName(tracks.proxy_scores(peaks.densify_grid(s, peaks.broad_peaks(s)))))
+    return noise.covariance(dense).select("i", "j", F.round("cov", 9).alias("cov"))
+
+
 WINDOWS, HALVES = (10, 25, 50), (10, 10, 10)
 LAYOUT = models.Svr.windows, models.Svr.halves
 
@@ -559,14 +576,67 @@ def _dense(spark, d) -> tuple[DataFrame, DataFrame]:
     return dense, kept(peaks.summary(dense, peaks.broad_peaks(dense)))
 
 
-@query()
+def _twice_sql(source: str, column: str, out: str) -> str:
+    """CTEs that end in ``out``: ``column`` of profiles (pk) after two boxcars, four wide, or three wide for profiles of four rows."""
+    one = lambda v, s, o: f"""{o} as (select *, case when n > 4 and i >= 2 and i <= n - 2 then (lag({v}) over w + {v} + lead({v}) over w + lead({v}, 2) over w) / 4
+  when n <= 4 and i >= 2 and i <= n - 1 then (lag({v}) over w + {v} + lead({v}) over w) / 3 else 0.0::double end {o}v from {s} window w as (partition by pk order by i))"""
+    return f"{one(column, source, out + '_a')},\n{one(out + '_av', out + '_a', out)}"
+
+
+# valleys that stay: the first two neighbours that both merge become one, until there are none, a join a step
+SUMMITS_SQL = EV_SCORED + f""",
+gaps as (select chrom, start, score, lead(start) over w nstart, lead(score) over w nscore from scored window w as (partition by chrom order by start)),
+sides as (select chrom, start base, 1 sign, score s, nstart - start gap from gaps where nstart - start > 50 and score > 0.2
+  union all select chrom, nstart, -1, nscore, nstart - start from gaps where nstart - start > 50 and nscore > 0.2),
+steps as (select *, cast(case when gap < 500 then floor((gap - 50) / 50.0::double) else ceil((s - 0.2::double) / 0.05::double) end as bigint) r from sides),
+cand as (select chrom, base + sign * 50 * k start from (select *, unnest(case when r >= 1 then generate_series(1, r) else generate_series(1, r, -1) end) k from steps)),
+fill as (select *, (start // 50 * 7919) % 1000 h from (select distinct chrom, start from cand anti join scored using (chrom, start))),
+dense as (select chrom, start, "end", score from scored union all select chrom, start, start + 1, case when h < 500 then -h / 50000.0::double else (h - 500) / 500.0::double end from fill)
+{BROAD.replace("from scored", "from dense")},
+members as (select b.chrom, b.start b, s.start x, s.score raw from broad b join dense s on s.chrom = b.chrom and s.start >= b.start and s.start < b."end"),
+prof as (select (chrom, b) pk, chrom, x, raw, row_number() over w i, count(*) over (partition by chrom, b) n from members
+  window w as (partition by chrom, b order by x) qualify n > 3 and max(raw) over (partition by chrom, b) > 0.05::double),
+{_twice_sql('prof', 'raw', 'sm')},
+sloped as (select pk, chrom, x, raw, i, n, smv y, case when i = 1 then lead(smv) over w - smv when i = n then smv - lag(smv) over w else (lead(smv) over w - lag(smv) over w) / 2 end slope
+  from sm window w as (partition by pk order by i)),
+{_twice_sql('sloped', 'slope', 'tn')},
+ys as (select pk, chrom, x, raw, i, n, y, tnv < 0 and lag(tnv) over (partition by pk order by i) > 0 and y > 0.05::double top from tn),
+tops as (select pk, i lo, lead(i) over (partition by pk order by i) hi from ys where top),
+lows as (select t.pk, lo, first(a.y) ya, first(c.y) yb, min((v.y, v.i)) low from tops t join ys a on a.pk = t.pk and a.i = lo join ys c on c.pk = t.pk and c.i = hi
+  join ys v on v.pk = t.pk and v.i >= lo and v.i <= hi where hi is not null group by t.pk, lo),
+valleys as (select pk, list({{'a': ya, 'b': yb, 'v': low[1], 'at': low[2]}} order by lo) g from lows group by pk),
+joined as (select pk, g from valleys union all
+  select pk, list_concat(g[: p - 1], [{{'a': g[p].a, 'b': g[p + 1].b, 'v': least(g[p].v, g[p + 1].v), 'at': case when g[p + 1].v <= g[p].v then g[p + 1].at else g[p].at end}}], g[p + 2 :])
+  from (select pk, g, list_position(list_transform(range(1, len(g)), lambda k: not split(g[k]) and not split(g[k + 1])), true) p from joined) where p > 0),
+final as (select pk, g from joined qualify row_number() over (partition by pk order by len(g)) = 1),
+edges as (select pk, unnest(list_concat([1], list_transform(list_filter(g, lambda q: split(q)), lambda q: q.at), [n])) e
+  from (select distinct f.pk, coalesce(g, []) g, n from (select distinct pk, n from ys) f left join final using (pk) where f.pk in (select pk from tops))),
+parts as (select pk, e lo, lead(e) over (partition by pk order by e) hi from edges),
+spans as (select p.pk, lo, min(i) l, max(i) r from parts p join ys using (pk) where hi is not null and i >= lo and i <= hi and y > 0.05::double group by p.pk, lo),
+found as (select s.pk, lo, l, r, first(chrom) chrom, min(x) xl, max(x) xr, max(raw) score, arg_max(x, (y, -i)) peak, arg_max(x, (raw, -i)) mode, sum(y * (i - l + 1)) / sum(y) mid
+  from spans s join ys using (pk) where i >= l and i <= r group by s.pk, lo, l, r),
+sized as (select *, case when peak - xl > 2 * (xr - peak) and xr - peak > 300 then 2 * (xr - peak) else peak - xl end bf from found),
+summits as (select chrom, r - l >= 5 tested, score, peak smooth_mode,
+  case when r - l < 5 then xl else peak - bf + 10 end start, case when r - l < 5 then xr else peak + case when 2 * bf < xr - peak and bf > 300 then 2 * bf else xr - peak end - 10 end "end",
+  case when r - l < 5 then 0 else mode end original_mode, case when r - l < 5 then 0 else cast(round_even(mid / (r - l) * (xr - xl), 0) as bigint) + xl end centroid from sized)"""
+SUMMITS_SQL = re.sub(r"split\((\w+(?:\[[^]]*\])?)\)", r"coalesce((least(\1.a, \1.b) - \1.v) / nullif(abs(\1.a - \1.b) + \1.v, 0) > 0.5::double, true)", f"with recursive {SUMMITS_SQL}")
+
+
+@query(f'{SUMMITS_SQL} select chrom, start, "end", score, tested, smooth_mode, original_mode, centroid from summits')
 def summits(spark, d):
-    return calling.raw_peaks(*_dense(spark, d), 0.05, valley_forest(), COVARIANCE)
+    """All summits but for their p-values."""
+    return calling.found_summits(*_dense(spark, d), 0.05, valley_forest()).withColumn("tested", F.col("five").isNotNull()).drop("five")
 
 
 @query()
+def summit_p_values(spark, d):
+    return calling.raw_peaks(*_dense(spark, d), 0.05, valley_forest(), COVARIANCE).select("chrom", "start", "end", "prob")
+
+
+@query(f'{SUMMITS_SQL} select chrom, start, "end", score, original_mode center from summits where tested')
 def called_peaks(spark, d):
-    return calling.call_peaks(*_dense(spark, d), 0.05, valley_forest(), threshold=1.0, cov=COVARIANCE)[1]
+    """Peaks at a threshold that every tested summit meets, but for their p-values."""
+    return calling.call_peaks(*_dense(spark, d), 0.05, valley_forest(), threshold=1.0, cov=COVARIANCE)[1].drop("prob")
 
 
 @query()
