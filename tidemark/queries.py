@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import calling, evaluation, fdr, features, intervals, models, mvlaplace, noise, peaks, scan, smoothing
 from .plans import pipeline
-from .sources import sinks, tracks
+from .sources import sinks, tensors, tracks
 from .sources.shared import fresh_path, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,14 @@ def toeplitz(spark, d):
     return noise.covariance(_ev_scored(spark, d), 100).select("i", "j", F.round("cov", 9).alias("cov"))
 
 
+@query(f"""select chrom, pos start, pos + 1 "end", v::double as value, strand from ({LI}) where chrom = 'A' and pos >= 500000""")
+def indexed_bed_range(spark, d):
+    """The track written as a BED file in blocks with an index; the rows of a range read back."""
+    path = fresh_path(spark, "bed.gz")
+    sinks.write_bed(tracks.lineitem_track(spark, d), path)
+    return tracks.indexed_bed(spark, path, "chrom string, start bigint, end bigint, value double, strand string").where("chrom = 'A' and start >= 500000")
+
+
 DENSE_THINNED = f"""with {EV_SCORED}{BROAD}, grid as (select chrom, unnest(list_append(generate_series(start, "end" - 1, 10), "end")) start from broad),
 added as (select *, (start // 50 * 7919) % 1000 h from (select distinct chrom, start from grid anti join scored using (chrom, start))),
 dense as (select chrom, start, score from scored union all select chrom, start, case when h < 500 then -h / 50000.0::double else (h - 500) / 500.0::double end from added),
@@ -307,6 +315,18 @@ def svr_scores_sql(spark, d):
     return x.withColumn("score", F.round("score", 6))
 
 
+@query("""with sv as (select ((vec_id * 37) % 11 - 5) / 10.0::double coef, embedding::double[] s from embeddings where vec_id < 32),
+x as (select vec_id, list_transform(embedding::double[], lambda v, i: (v - (i - 1) / 640.0::double) / (1 + (i - 1) / 32.0::double)) e from embeddings)
+select vec_id, round(3 + 2 * (sum(coef * exp(-(list_sum(list_transform(list_zip(e, s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / 64.0::double)) - 0.1::double), 6) score from x, sv group by vec_id""")
+def svr_scores_packed(spark, d):
+    """A regressor with centers and scales of its own, packed into a compressed model file and loaded from it."""
+    rows = _support(spark, d).orderBy("vec_id").collect()  # the model: 32 vectors
+    at = np.arange(len(rows[0]["sv"]) if rows else 0)
+    path = fresh_path(spark, "svr.zst")
+    tensors.save_svr(path, models.Svr(np.array([r["sv"] for r in rows]), np.array([r["coef"] for r in rows]), 1 / 64, 0.1, at / 640, 1 + at / 32, 3.0, 2.0))
+    return models.svr_scores(spark.read.parquet(f"{d}/embeddings.parquet"), tensors.load_svr(path), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
 def demo_forest() -> models.Forest:
     """Three trees of up to five nodes over two variables."""
     return models.Forest(
@@ -338,6 +358,14 @@ def forest_scores(spark, d):
     return models.forest_scores(_forest_rows(spark, d), demo_forest(), "event_id", ["a", "b"]).withColumn("score", F.round("score", 9))
 
 
+@query(FOREST_SQL)
+def forest_scores_packed(spark, d):
+    """The forest packed into a model file and loaded from it."""
+    path = fresh_path(spark, "forest")
+    tensors.save_forest(path, demo_forest())
+    return models.forest_scores(_forest_rows(spark, d), tensors.load_forest(path), "event_id", ["a", "b"]).withColumn("score", F.round("score", 9))
+
+
 @query(FOREST_SQL)
 def forest_scores_sql(spark, d):
     """The walk as a recursive query over the forest's table."""

@@ -35,14 +35,14 @@ class Parts:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         fs, inside = filesystem(path)
         fs.create_dir(inside.rsplit("/", 1)[0], recursive=True)
-        return path, fs.open_output_stream(inside)
+        return path, fs.open_output_stream(inside, compression=None)
 
     def assemble(self, pieces: Iterable[bytes | str]) -> None:
         """Write the target from bytes and the paths of parts, then let the parts go."""
         fs, target = filesystem(self.target)
         whole = f"{self.folder}/whole"
         fs.create_dir(filesystem(self.folder)[1], recursive=True)
-        with fs.open_output_stream(filesystem(whole)[1]) as out:
+        with fs.open_output_stream(filesystem(whole)[1], compression=None) as out:
             for piece in pieces:
                 for part in [piece] if isinstance(piece, bytes) else stream(piece):
                     out.write(part)
@@ -59,7 +59,7 @@ class Parts:
 
 def stream(path: str) -> Iterator[bytes]:
     fs, inside = filesystem(path)
-    with fs.open_input_stream(inside) as f:
+    with fs.open_input_stream(inside, compression=None) as f:
         while part := f.read(PIECE):
             yield part
 

@@ -9,6 +9,7 @@ import struct
 import numpy as np
 
 from ..operators.models import Forest, Svr
+from .parts import filesystem
 
 # Fixed values of the format.
 KINDS = {"F64": np.float64, "F32": np.float32, "I64": np.int64, "I32": np.int32, "U8": np.uint8, "BOOL": np.bool_}
@@ -19,7 +20,8 @@ TREE = ("nodestatus", "bestvar", "xbestsplit", "left_daughter", "right_daughter"
 
 def read_tensors(path: str) -> tuple[dict[str, np.ndarray], dict]:
     """Tensors by name and the metadata: text, but for the entries in LISTS."""
-    with open(path, "rb") as f:
+    fs, inside = filesystem(path)
+    with fs.open_input_stream(inside, compression=None) as f:
         data = f.read()
     if data[:4] == MAGIC or path.endswith(".zst"):
         import zstandard
@@ -46,7 +48,8 @@ def write_tensors(path: str, tensors: dict[str, np.ndarray], meta: dict[str, obj
         import zstandard
 
         data = zstandard.ZstdCompressor().compress(data)
-    with open(path, "wb") as f:
+    fs, inside = filesystem(path)
+    with fs.open_output_stream(inside, compression=None) as f:
         f.write(data)
 
 
