@@ -12,6 +12,9 @@ takes rows that share doc_id and source equally often. Extra columns pass throug
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +22,47 @@ from tidemark.llm import lines, mixing, packing, quality, simhash
 from tidemark.llm.common import cut, done, table
 from tidemark.llm.queries import word_tokenizer
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage with the columns that aren't those of documents in one struct meanwhile, so that no name of theirs meets one of an operator's."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in CORE]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        held = docs.select(*[c for c in docs.columns if c in CORE], F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra"))
+        out = stage(spark, held, sf_dir)
+        return out.select(*[F.col("extra").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns])
+
+    return run
+
 
+@apart
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the log-likelihood ratio go."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+@apart
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier match go; n_chars follows the text."""
     kept = lines.dedup(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+@apart
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their source's target weight says."""
     return mixing.mix(docs)
