@@ -78,7 +78,22 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     registered = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert set(queries.QUERIES) <= set(registered) and registered["pipeline"] is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(registered)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_names_of_operators_pass_through(spark, docs):
+    """Extra columns that have the names the operators use come back as they were, at every stage; so does a copy of a document's own."""
+    names = ["n_lines", "n_lines_removed", "__v", "__lines", "__gone", "__keep", "__row", "__row2", "__copy", "extra", "kept", "first", "d", "rank", "a.b"]
+    x = docs
+    for k, n in enumerate(names):
+        x = x.selectExpr("*", f"concat(doc_id, ' {k}') as `{n}`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, x, SF)
+        assert out.columns == x.columns
+        rows = out.collect()
+        assert rows or stage.__name__ == "quality_rules"
+        assert all(r[n] == f"{r['doc_id']} {k}" for r in rows for k, n in enumerate(names))
+    assert stage.__name__ == "source_mixing"
