@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calling, features, peaks, scan
-from ..operators.models import Forest, Svr
+from ..operators.models import Forest, Svr, stored
 from ..operators.mvlaplace import TAIL
 from ..sources import sinks, tensors, tracks
 from ..sources.shared import kept
@@ -35,6 +35,7 @@ def run(track: DataFrame, svr: Svr, forest: Forest, sizes: DataFrame | None = No
         seen[name] = Observation(name)
         return kept(df.observe(seen[name], F.count(F.lit(1)).alias("n")))
 
+    svr = stored(svr, track.sparkSession)  # once for all three scorings
     positions = scan.informative_positions(track, sizes, or_depth)
     score = lambda p: kept(features.scored(p, track, svr, backend))
     dense, broad, floor = peaks.dense_positions(counted(features.scored(positions, track, svr, backend), "informative"), score)
