@@ -277,7 +277,9 @@ def feature_layout(spark, d):
     return _digest(spark, d, *LAYOUT)
 
 
-@query()
+@query(f"""with {EV_SCAN}, {_bins_sql('infp', WINDOWS, HALVES)},
+held as (select chrom, c, o * {2 * sum(HALVES)} + z * {2 * HALVES[0]} + h k, f from top)
+select i.chrom, i.start, cast(r.k as integer) k, round(coalesce(f, 0.01::double), 9) f from infp i cross join range(0, {4 * sum(HALVES)}) r(k) left join held t on t.chrom = i.chrom and t.c = i.start and t.k = r.k""")
 def logistic_features_all(spark, d):
     """Every value of every informative position's features."""
     t = tracks.events_track(spark, d)
