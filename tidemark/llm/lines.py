@@ -12,9 +12,10 @@ Rarity comes from counts of all words of all different lines in SLOTS hashed slo
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. Under each word every line is first held against the earliest line
-there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
-all. Then lines without a match so far meet all others; lines that have one meet only those.
+Of equal lines only the first goes on. Under each of its rarest words every line is first held against the earliest
+line there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
+all. Lines are marked by that, then posted under their whole prefixes: those without a match meet all others, those
+that have one meet only those.
 
 Joins are merged at every size: what one table is small enough to broadcast in a test grows with the data.
 
@@ -34,8 +35,12 @@ from .common import SPACE, cut, done
 #: Slots of the word counts: a fixed number, whatever the input.
 SLOTS, BLOCK = 1 << 19, 1 << 10
 CLASS_BITS, CLASSES = 6, 64
+#: Words below this are of class 0, the only ones of their slots: no other line has them, so they are posted nowhere.
+ALONE = 1 << (63 - CLASS_BITS)
 #: Lines of more words have signatures of 128 bits, whose halves, added without carry, are the 64 bits of others.
 LONG = 96
+#: So many of a line's rarest words that others may have are looked at in the first meeting. The second takes whole prefixes, so this moves cost, not results.
+EARLY = 3
 DOC = ["doc_id", "v"]
 LINE = [*DOC, "line_no"]
 BLANKS = " \t\x0b\x0c\r"
@@ -147,26 +152,34 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     bits = lambda some: F.expr(f"aggregate({some}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
     half = lambda k: bits(f"filter(w, x -> x & 64 = {k})")
     x = x.withColumn("sig", F.when(F.col("n") <= LONG, bits("w")).otherwise(half(0))).withColumn("more", F.when(F.col("n") > LONG, half(64)).otherwise(F.lit(0).cast("bigint")))
-    x = x.select(*LINE, "n", "sig", "more", F.posexplode(F.slice("w", F.lit(1), _prefix(F.col("n"), num, den))).alias("at", "word"))
-    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
-    x = x.withColumn("many", F.count("*").over(Window.partitionBy("word"))).withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).where("many > 1")
-    for c in ("first", "last"):
-        x = x.withColumn(c, F.when(F.expr(f"{c} is not null and {_before(f'{c}.', '')} and {_may(f'{c}.', '', num, den)}"), F.col(c)))
-    posts = cut(x.drop("many"))
+    x = x.select(*LINE, "n", "sig", "more", F.slice("w", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix"))
+    x = x.withColumn("alone", F.size(F.filter("prefix", lambda w: w < ALONE)))
+    prefixes = cut(x.withColumn("prefix", F.slice("prefix", F.col("alone") + 1, F.size("prefix"))))
     done(lines)
 
-    tried = posts.select(*LINE, "n", F.explode(F.array("first", "last")).alias("a")).where("a is not null")
-    pairs = cut(tried.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")).distinct())
+    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
+    x = prefixes.select(*LINE, "n", "sig", "more", "alone", F.posexplode(F.slice("prefix", 1, EARLY)).alias("at", "word")).withColumn("at", F.col("at") + F.col("alone"))
+    x = x.withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).select(*LINE, "n", "at", "sig", "more", F.explode(F.array("first", "last")).alias("a"))
+    x = x.where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    pairs = cut(x.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")).distinct())
+    done()
     texts = cut(_texts(docs, pairs))
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
-    marked = cut(posts.drop("first", "last").join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
-    done(posts)
-    single, matched = marked.where("not matched"), marked.where("matched")
-    more = _pairs(marked, single, num, den).unionByName(_pairs(single, matched, num, den)).distinct()
+    # marks go to lines, before these are posted
+    marked = cut(prefixes.join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    done(prefixes)
+    posts = marked.select(*LINE, "n", "sig", "more", "matched", "alone", F.posexplode("prefix").alias("at", "word"))
+    posts = posts.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+    single, matched = posts.where("not matched"), posts.where("matched")
+    to_single = cut(_pairs(posts, single, num, den))
+    done()  # one meeting's shuffle at a time
+    to_matched = cut(_pairs(single, matched, num, den))
+    done(marked)
+    more = to_single.unionByName(to_matched).distinct()
     more = cut(more.join(pairs.select("line", "a").hint("merge"), ["line", "a"], "left_anti"))
-    done(marked, pairs)
+    done(pairs, to_single, to_matched)
     late = cut(_matched(more, _texts(docs, more), num, den))
     done(more)
     return equal.unionByName(found).unionByName(late)
