@@ -12,9 +12,9 @@ Rarity comes from counts of all words of all different lines in SLOTS hashed slo
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. Under each of its rarest words every line is first held against the earliest
+Of equal lines only the first goes on. Under each of its prefix's words every line is first held against the earliest
 line there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
-all. Lines are marked by that, then posted under their whole prefixes: those without a match meet all others, those
+all. Lines are marked by that, then posted anew: those without a match meet all others, those
 that have one meet only those.
 
 Joins are merged at every size: what one table is small enough to broadcast in a test grows with the data.
@@ -39,8 +39,6 @@ CLASS_BITS, CLASSES = 6, 64
 ALONE = 1 << (63 - CLASS_BITS)
 #: Lines of more words have signatures of 128 bits, whose halves, added without carry, are the 64 bits of others.
 LONG = 96
-#: So many of a line's rarest words that others may have are looked at in the first meeting. The second takes whole prefixes, so this moves cost, not results.
-EARLY = 3
 DOC = ["doc_id", "v"]
 LINE = [*DOC, "line_no"]
 BLANKS = " \t\x0b\x0c\r"
@@ -158,7 +156,7 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     done(lines)
 
     here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
-    x = prefixes.select(*LINE, "n", "sig", "more", "alone", F.posexplode(F.slice("prefix", 1, EARLY)).alias("at", "word")).withColumn("at", F.col("at") + F.col("alone"))
+    x = prefixes.select(*LINE, "n", "sig", "more", "alone", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at") + F.col("alone"))
     x = x.withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).select(*LINE, "n", "at", "sig", "more", F.explode(F.array("first", "last")).alias("a"))
     x = x.where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
     pairs = cut(x.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")).distinct())
