@@ -98,16 +98,12 @@ def scan_windowed_sum_phase(spark, d):
 
 @query(f"with {LI_SCAN} select * from por")
 def scan_or_pass(spark, d):
-    t = tracks.lineitem_track(spark, d)
-    z = _sizes(t)
-    return scan.or_pass(scan.fine_bins(t, z), scan._chroms(t, z))
+    return scan.or_pass(*scan.surveyed(tracks.lineitem_track(spark, d)))
 
 
 @query(f"with {LI_SCAN} select * from pand")
 def scan_and_pass(spark, d):
-    t = tracks.lineitem_track(spark, d)
-    z = _sizes(t)
-    return scan.and_pass(scan.fine_bins(t, z), scan._chroms(t, z))
+    return scan.and_pass(*scan.surveyed(tracks.lineitem_track(spark, d)))
 
 
 @query(f"with {_scan_sql(EV + " where not (event_type = (select min(event_type) from events) and user_id % 2 <> 0)", 2000)} select chrom, start, start + 1 \"end\" from infp")
