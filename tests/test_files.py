@@ -262,6 +262,25 @@ def test_bed_errors_and_empty(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["none.bed.gz", "none.bed.gz.tbi"]
 
 
+@pytest.mark.parametrize("far", [1 << 29, 900_000_000, 54_000_000_000])
+def test_indexed_bed_of_long_chroms(spark, tmp_path, far):
+    """Coordinates beyond tabix: the wide index finds every row of a range and reads few blocks; a later write leaves one index."""
+    r = np.random.default_rng(3)
+    rows = sorted((f"chr{k % 2}", int(s), int(s) + (far // 5 if k % 400 == 0 else 1), k / 7, f"some name {k}") for k, s in enumerate(r.integers(0, far - far // 5, 20_000)))
+    rows.append(("chr1", far - 1, far, 1.0, "last"))
+    path = str(tmp_path / "z.bed.gz")
+    sinks.write_bed(spark.createDataFrame(rows, BED), path)
+    assert (tmp_path / "z.bed.gz.csi").exists() == (far > 1 << 29) and (tmp_path / "z.bed.gz.tbi").exists() == (far <= 1 << 29)
+    every, n, out = _bed_pushed(spark, path, piece=20_000)
+    assert out == rows and n > 3
+    for chrom, low, high in (("chr1", far - 10, far + 5), ("chr0", far // 2, far // 2 + far // 1000), ("chr0", 0, far // 900), ("chr1", far // 3, far // 2), ("chr0", far, 1 << 62)):
+        got, _, out = _bed_pushed(spark, path, EqualTo(("chrom",), chrom), GreaterThan(("end",), low), LessThan(("start",), high))
+        want = [x for x in rows if x[0] == chrom and x[2] > low and x[1] < high]
+        assert [x for x in out if x[0] == chrom and x[2] > low and x[1] < high] == want and got.blocks < every.blocks
+    sinks.write_bed(spark.createDataFrame(rows[:10], BED).withColumn("start", F.lit(1)).withColumn("end", F.lit(2)), path)
+    assert not (tmp_path / "z.bed.gz.csi").exists() and tracks.indexed_bed(spark, path).count() == 10
+
+
 def test_index_bins():
     r = np.random.default_rng(2)
     start = r.integers(0, 1 << 28, 500)

@@ -7,8 +7,11 @@ its index beside it (see ``parts``).
 Reading: ``spark.read.format("indexed_bed").schema(...).load(path)``. Partitions are ranges of the file between rows that the index
 knows; filters on chrom, start and end choose ranges by the index, and only their blocks are read.
 
+Coordinates beyond 2**29, which tabix can't name, take the wider published index (CSI, beside the file as .csi): option ``shift`` is the
+bits of its smallest bins, of which there are five levels as in tabix. So an index has no more bins a chrom, however long it is.
+
 Defined results: no rows make a file of the end mark and an index without names; null fields are empty; rows out of order and
-coordinates beyond 2**29, which the index can't name, are errors."""
+coordinates beyond 2**(shift + 15), which the index can't name, are errors."""
 
 from __future__ import annotations
 
@@ -29,7 +32,7 @@ from .parts import Parts, filesystem, stream
 END_MARK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 HEAD = bytes.fromhex("1f8b08040000000000ff060042430200")
 TEXT = 0xFF00
-INDEX_MAGIC, INDEX_LAYOUT = b"TBI\x01", (0x10000, 1, 2, 3, 35, 0)
+INDEX_MAGIC, WIDE_MAGIC, INDEX_LAYOUT = b"TBI\x01", b"CSI\x01", (0x10000, 1, 2, 3, 35, 0)
 #: Bits of the smallest bins, and of those of each level above.
 SMALLEST, STEP, LEVELS, LARGEST = 14, 3, 5, 1 << 29
 #: Compressed bytes of a partition, where the index has a row to cut at.
@@ -42,30 +45,35 @@ def block(text: bytes) -> bytes:
     return HEAD + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(text), len(text))
 
 
-def bins_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def shift_for(end: int) -> int:
+    """Bits of the smallest bins for coordinates up to ``end``."""
+    return max(SMALLEST, (max(end, 1) - 1).bit_length() - STEP * LEVELS)
+
+
+def bins_of(start: np.ndarray, end: np.ndarray, smallest: int = SMALLEST) -> np.ndarray:
     """The smallest bin that holds each range whole."""
     out = np.zeros(len(start), np.int64)
     for level in range(LEVELS, 0, -1):  # from the finest level up, the coarser ones only where none was found
-        shift = SMALLEST + STEP * (LEVELS - level)
+        shift = smallest + STEP * (LEVELS - level)
         first = ((1 << STEP * level) - 1) // 7
         here = (out == 0) & (start >> shift == (end - 1) >> shift)
         out[here] = first + (start[here] >> shift)
     return out
 
 
-def bins_over(start: int, end: int) -> list[int]:
+def bins_over(start: int, end: int, smallest: int = SMALLEST, levels: int = LEVELS) -> list[int]:
     """All bins that ranges overlapping this one can be in."""
     out = [0]
-    for level in range(1, LEVELS + 1):
-        shift, first = SMALLEST + STEP * (LEVELS - level), ((1 << STEP * level) - 1) // 7
+    for level in range(1, levels + 1):
+        shift, first = smallest + STEP * (levels - level), ((1 << STEP * level) - 1) // 7
         out += range(first + (start >> shift), first + ((end - 1) >> shift) + 1)
     return out
 
 
-def start_of(number: int) -> int:
+def start_of(number: int, smallest: int = SMALLEST, levels: int = LEVELS) -> int:
     """Where a bin begins."""
-    level = next(k for k in range(LEVELS, -1, -1) if number >= ((1 << STEP * k) - 1) // 7)
-    return number - ((1 << STEP * level) - 1) // 7 << SMALLEST + STEP * (LEVELS - level)
+    level = next(k for k in range(levels, -1, -1) if number >= ((1 << STEP * k) - 1) // 7)
+    return number - ((1 << STEP * level) - 1) // 7 << smallest + STEP * (levels - level)
 
 
 @dataclass
@@ -80,7 +88,7 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.parts = options["path"], Parts(options["path"])
+        self.path, self.parts, self.shift = options["path"], Parts(options["path"]), int(options.get("shift", SMALLEST))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         path, out = self.parts.open()
@@ -102,7 +110,7 @@ class Writer(DataSourceArrowWriter):
                 continue
             chroms, lines = b.column("chrom").to_pylist(), b.column("line").to_pylist()
             start, end = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
-            if (start < 0).any() or (end < start).any() or (end > LARGEST).any():
+            if (start < 0).any() or (end < start).any() or (end > LARGEST << self.shift - SMALLEST).any():
                 raise ValueError("a range is turned round, or beyond what the index can name")
             number, places = np.zeros(len(lines), np.int64), np.zeros(len(lines) + 1, np.int64)
             for k, (chrom, line) in enumerate(zip(chroms, lines)):
@@ -119,10 +127,10 @@ class Writer(DataSourceArrowWriter):
                 raise ValueError("rows aren't sorted by chrom and start")
             first, last = first or (names[0], int(start[0])), here[-1]
             high = np.maximum(end, start + 1)
-            bins = bins_of(start, high)
+            bins = bins_of(start, high, self.shift)
             turn = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (bins[1:] != bins[:-1])]))
             runs.append(np.column_stack([number[turn], bins[turn], places[turn], places[np.append(turn[1:], len(lines))]]))
-            for c, low, top, place in zip(number.tolist(), (start >> SMALLEST).tolist(), ((high - 1) >> SMALLEST).tolist(), places.tolist()):
+            for c, low, top, place in zip(number.tolist(), (start >> self.shift).tolist(), ((high - 1) >> self.shift).tolist(), places.tolist()):
                 for w in range(low, top + 1):
                     windows.setdefault((c, w), place)
         flush(True)
@@ -137,8 +145,10 @@ class Writer(DataSourceArrowWriter):
             if key(a.ends[1]) > key(b.ends[0]):
                 self.parts.discard()
                 raise ValueError("ranges of two tasks overlap; deal the rows out by ranges of chrom and start")
-        index = Parts(f"{self.path}.tbi")
-        content = _index(done)
+        endings = (".csi", ".tbi") if self.shift > SMALLEST else (".tbi", ".csi")
+        index, other = (Parts(self.path + e) for e in endings)
+        content = _index(done, self.shift)
+        other.remove()  # of a file that was here before
         index.assemble([block(content[k : k + TEXT]) for k in range(0, len(content), TEXT)] + [END_MARK])
         self.parts.assemble([*(m.path for m in done), END_MARK])
 
@@ -146,8 +156,8 @@ class Writer(DataSourceArrowWriter):
         self.parts.discard()
 
 
-def _index(done: list[Written]) -> bytes:
-    """The index's content: of each chrom its bins with their runs, and the first place of each smallest bin."""
+def _index(done: list[Written], shift: int = SMALLEST) -> bytes:
+    """The index's content: of each chrom its bins with their runs, and the first place of each smallest bin (a wide index has it in the bins)."""
     names: list[str] = []
     chunks: list[dict[int, list[list[int]]]] = []
     first: list[dict[int, int]] = []
@@ -158,26 +168,32 @@ def _index(done: list[Written]) -> bytes:
                 names.append(n)
                 chunks.append({})
                 first.append({})
-        shift = len(names) - len(m.names)
+        known = len(names) - len(m.names)
         for c, b, begin, end in m.runs.tolist():
-            begin, end, of = begin + (base << 16), end + (base << 16), chunks[shift + c].setdefault(b, [])
+            begin, end, of = begin + (base << 16), end + (base << 16), chunks[known + c].setdefault(b, [])
             if of and of[-1][1] == begin:
                 of[-1][1] = end
             else:
                 of.append([begin, end])
         for c, w, place in m.windows.tolist():
-            first[shift + c].setdefault(w, place + (base << 16))
+            first[known + c].setdefault(w, place + (base << 16))
         base += m.size
     joined = b"".join(n.encode() + b"\0" for n in names)
-    out = [INDEX_MAGIC, struct.pack("<i6ii", len(names), *INDEX_LAYOUT, len(joined)), joined]
+    if wide := shift > SMALLEST:
+        out = [WIDE_MAGIC, struct.pack("<3i6ii", shift, LEVELS, 28 + len(joined), *INDEX_LAYOUT, len(joined)), joined, struct.pack("<i", len(names))]
+    else:
+        out = [INDEX_MAGIC, struct.pack("<i6ii", len(names), *INDEX_LAYOUT, len(joined)), joined]
     for bins, starts in zip(chunks, first):
-        out.append(struct.pack("<i", len(bins)))
-        for b in sorted(bins):
-            out.append(struct.pack("<Ii", b, len(bins[b])) + b"".join(struct.pack("<QQ", *c) for c in bins[b]))
         linear, place = [], 0
         for w in range(max(starts, default=-1) + 1):  # an empty bin begins where the one before it does
             place = starts.get(w, place)
             linear.append(place)
+        out.append(struct.pack("<i", len(bins)))
+        for b in sorted(bins):
+            at = struct.pack("<Q", linear[start_of(b, shift) >> shift]) if wide else b""
+            out.append(struct.pack("<I", b) + at + struct.pack("<i", len(bins[b])) + b"".join(struct.pack("<QQ", *c) for c in bins[b]))
+        if wide:
+            continue
         out.append(struct.pack(f"<i{len(linear)}Q", len(linear), *linear))
     return b"".join(out)
 
@@ -192,23 +208,48 @@ class Index:
             text.append(unpack.decompress(raw))
             raw = unpack.unused_data
         data = b"".join(text)
-        if data[:4] != INDEX_MAGIC:
+        if data[:4] not in (INDEX_MAGIC, WIDE_MAGIC):
             raise ValueError(f"{path} is no index")
-        n, length = struct.unpack_from("<i", data, 4)[0], struct.unpack_from("<i", data, 32)[0]
-        self.names = [x.decode() for x in data[36 : 36 + length].split(b"\0")[:-1]]
-        at, self.bins, self.linear = 36 + length, [], []
+        self.wide, self.shift, self.levels = data[:4] == WIDE_MAGIC, SMALLEST, LEVELS
+        if self.wide:
+            self.shift, self.levels, more = struct.unpack_from("<3i", data, 4)
+            at, names = 16 + more, 16  # the layout comes before the number of chroms here
+            (n,) = struct.unpack_from("<i", data, at)
+            at += 4
+        else:
+            (n,), names = struct.unpack_from("<i", data, 4), 8
+            at = 36 + struct.unpack_from("<i", data, 32)[0]
+        (length,) = struct.unpack_from("<i", data, names + 24)
+        self.names = [x.decode() for x in data[names + 28 : names + 28 + length].split(b"\0")[:-1]]
+        self.bins, self.linear = [], []  # linear: first places of smallest bins in order, or in a wide index, by bin
         for _ in range(n):
-            bins = {}
+            bins, linear = {}, {}
             (count,) = struct.unpack_from("<i", data, at)
             at += 4
             for _ in range(count):
-                b, chunks = struct.unpack_from("<Ii", data, at)
+                (b,) = struct.unpack_from("<I", data, at)
+                if self.wide:
+                    (linear[b],) = struct.unpack_from("<Q", data, at + 4)
+                    at += 8
+                (chunks,) = struct.unpack_from("<i", data, at + 4)
                 bins[b] = np.frombuffer(data, "<u8", 2 * chunks, at + 8).astype(np.int64).reshape(-1, 2)
                 at += 8 + 16 * chunks
-            (count,) = struct.unpack_from("<i", data, at)
-            self.linear.append(np.frombuffer(data, "<u8", count, at + 4).astype(np.int64))
+            if not self.wide:
+                (count,) = struct.unpack_from("<i", data, at)
+                linear = dict(enumerate(np.frombuffer(data, "<u8", count, at + 4).astype(np.int64).tolist()))
+                at += 4 + 8 * count
+            self.linear.append(linear)
             self.bins.append(bins)
-            at += 4 + 8 * count
+
+    def least(self, linear: dict[int, int], low: int) -> int | None:
+        """From where on rows reach ``low`` or lie beyond it; None where all end before it."""
+        if not self.wide:
+            return linear.get(low >> self.shift)
+        b = ((1 << STEP * self.levels) - 1) // 7 + (low >> self.shift)
+        while b and b not in linear:  # the bin before it, or where there is none, the one above
+            up = (b - 1) >> STEP
+            b = b - 1 if b > (up << STEP) + 1 else up
+        return linear.get(b, 0)
 
     def ranges(self, wanted: Wanted) -> list[tuple[int, int]]:
         """Places in the file, from and to, that hold all that is wanted."""
@@ -216,16 +257,16 @@ class Index:
         for name, bins, linear in zip(self.names, self.bins, self.linear):
             if wanted.chroms is not None and name not in wanted.chroms:
                 continue
-            low, high = max(wanted.low, 0), min(wanted.high, LARGEST)
+            low, high = max(wanted.low, 0), min(wanted.high, 1 << self.shift + STEP * self.levels)
             if low >= high:
                 continue
             # ends beyond low: from the row that first reaches low's bin; bins by number are few where the range is narrow
-            numbers = bins.keys() if high - low > 1 << 26 else bins.keys() & set(bins_over(low, high))
-            least = int(linear[low >> SMALLEST]) if low >> SMALLEST < len(linear) else None
+            numbers = bins.keys() if high - low > 1 << self.shift + 12 else bins.keys() & set(bins_over(low, high, self.shift, self.levels))
+            least = self.least(linear, low)
             if least is None:
                 continue
             # starts before high: up to the first row of a bin that begins there; rows lie in order of their starts
-            most = min((int(of[0, 0]) for k, of in bins.items() if start_of(k) >= high), default=1 << 63)
+            most = min((int(of[0, 0]) for k, of in bins.items() if start_of(k, self.shift, self.levels) >= high), default=1 << 63)
             out += [(max(a, least), min(b, most)) for k in numbers for a, b in bins[k].tolist() if b > least and a < most]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(out):
@@ -237,7 +278,7 @@ class Index:
 
     def cut(self, ranges: list[tuple[int, int]], piece: int) -> list[tuple[int, int]]:
         """Long ranges in pieces of about ``piece`` compressed bytes, cut at rows."""
-        rows = np.unique(np.concatenate([np.zeros(0, np.int64), *self.linear]))
+        rows = np.unique(np.array([place for of in self.linear for place in of.values()], np.int64))
         out = []
         for a, b in ranges:
             for r in rows[(rows > a) & (rows < b)].tolist():
@@ -266,7 +307,9 @@ class Reader(DataSourceReader):
             yield f  # ranges hold other rows, too
 
     def partitions(self) -> list[InputPartition]:
-        index = Index(f"{self.path}.tbi")
+        fs, inside = filesystem(self.path)
+        wide = fs.get_file_info(f"{inside}.csi").type.name != "NotFound"
+        index = Index(f"{self.path}.csi" if wide else f"{self.path}.tbi")
         return [Range(self.path, *r) for r in index.cut(index.ranges(self.wanted), self.piece)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

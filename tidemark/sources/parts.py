@@ -49,6 +49,12 @@ class Parts:
         fs.move(filesystem(whole)[1], target)
         self.discard()
 
+    def remove(self) -> None:
+        """Take away a target that is there."""
+        fs, target = filesystem(self.target)
+        if fs.get_file_info(target).type.name != "NotFound":
+            fs.delete_file(target)
+
     def discard(self) -> None:
         fs, folder = filesystem(self.folder)
         from pyarrow.fs import FileType

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def write_bed(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One BED file in gzip blocks, sorted by chrom and start, coordinates as whole numbers, and its range index at ``path``.tbi."""
-    from .bgzf import IndexedBed
+    """One BED file in gzip blocks, sorted by chrom and start, coordinates as whole numbers, and its range index at ``path``.tbi, or ``path``.csi where coordinates exceed 2**29."""
+    from .bgzf import IndexedBed, shift_for
 
     if not path.endswith(".bed.gz"):
         raise ValueError("a BED path ends in .bed.gz")
@@ -20,9 +20,10 @@ def write_bed(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     x = df.select(*(columns or df.columns))
     a, start, end = x.columns[:3]
     x = x.withColumn(start, F.col(start).cast("long")).withColumn(end, F.col(end).cast("long"))
+    longest = x.agg(F.max(end)).first()[0]
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in x.columns])
     x = x.select(F.col(a).alias("chrom"), F.col(start).alias("start"), F.col(end).alias("end"), line.alias("line"))
-    x.repartitionByRange("chrom", "start", "end").sortWithinPartitions("chrom", "start", "end").write.format("indexed_bed").mode("overwrite").save(path)
+    x.repartitionByRange("chrom", "start", "end").sortWithinPartitions("chrom", "start", "end").write.format("indexed_bed").option("shift", shift_for(longest or 0)).mode("overwrite").save(path)
 
 
 def write_bedgraph(df: DataFrame, path: str, value: str, sizes: DataFrame | None = None) -> None:
