@@ -178,6 +178,30 @@ def test_bigwig_many_chroms(tmp_path, monkeypatch):
 BED = "chrom string, start bigint, end bigint, score double, name string"
 
 
+def test_bigwig_of_long_chroms(spark, tmp_path):
+    """Chroms beyond 32 bits come back whole, by rows, sizes and filters; an interval over a border as one a stretch."""
+    s = bigwig.STRETCH
+    rows = [(c, k * 1_000_003, k * 1_000_003 + 2, float(k % 9)) for c in ("N", "N1") for k in range(9001)] + [("a", 5, 7, 1.0), ("a", 8, 9, 2.0)]
+    over = ("long", s - 3, 3 * s + 4, 5.0)
+    sizes = {"N": 54_000_000_000, "N1": 9_100_000_000, "a": 100, "long": 3 * s + 9, "none": 1 << 33}
+    path = str(tmp_path / "x.bw")
+    sinks.write_bigwig(spark.createDataFrame([*rows, over], "chrom string, start long, end long, value double").repartition(3), path, "value", spark.createDataFrame(list(sizes.items()), "chrom string, size long"))
+    pieces = [("long", s - 3, s, 5.0), ("long", s, 2 * s, 5.0), ("long", 2 * s, 3 * s, 5.0), ("long", 3 * s, 3 * s + 4, 5.0)]
+    every = sorted([*rows, *pieces])
+    x = tracks.bigwig(spark, path, "+").select("chrom", "start", "end", "value")
+    assert sorted(map(tuple, x.collect())) == every
+    assert dict(map(tuple, tracks.bigwig_sizes(spark, path).collect())) == sizes
+    for filters in ([GreaterThan(("end",), 8_000_000_000)], [LessThan(("start",), 10)], [EqualTo(("chrom",), "N"), GreaterThan(("end",), s - 9), LessThan(("start",), s + 2_000_000)], [EqualTo(("chrom",), "none")]):
+        r = bigwig.Reader({"path": path})
+        list(r.pushFilters(filters))
+        w = r.wanted
+        want = [x for x in every if (w.chroms is None or x[0] in w.chroms) and x[2] > w.low and x[1] < w.high]
+        out = [tuple(row.values()) for p in r.partitions() for b in r.read(p) for row in b.to_pylist()]
+        assert sorted(set(out) & set(want)) == want and r.blocks < 14
+    with pytest.raises(ValueError, match="tab"):
+        bigwig.Writer({"path": path, "sizes": json.dumps({"a\t00001": 5})})
+
+
 @pytest.fixture(scope="module")
 def bed_rows():
     r = np.random.default_rng(1)

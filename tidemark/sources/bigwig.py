@@ -7,12 +7,16 @@ and decoded by a task. Filters on chrom, start and end leave out nodes and block
 Writing: rows sorted by chrom and start, in range partitions. Tasks write compressed blocks and the records of zoom levels; the commit
 makes the trees from their bounds (see ``parts``). Option ``sizes`` is a JSON object of every chrom's size.
 
-Defined results: values are single precision; an empty file or table has no rows and its chroms in the header; rows of chroms without a size,
+Coordinates in the format have 32 bits. A chrom longer than that is written in stretches of 2**31 bases, each a chrom of the file named by the chrom,
+a tab and the stretch's number in five digits; reading puts them together again, in rows, sizes and filters. Other readers see the stretches.
+
+Defined results: an interval over the border of two stretches comes back as one a stretch; chroms with a tab in their names are errors in the writer; values are single precision; an empty file or table has no rows and its chroms in the header; rows of chroms without a size,
 beyond their chrom's end, overlapping or out of order are errors in the writer; other sections than the three of the format are errors."""
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +41,29 @@ BLOCK, NODE, LEAVES, ROWS = 1024, 256, 16, 1 << 16
 FIRST_ZOOM, ZOOMS = 64, 10
 
 
+#: The largest size of a chrom that is written whole, and the bases of a stretch of others.
+LONGEST, STRETCH = (1 << 32) - 1, 1 << 31
+
+
+@dataclass
+class Stretch:
+    """A chrom of a file: all of a chrom, or ``size`` bases of it from ``offset`` on."""
+
+    chrom: str
+    number: int
+    offset: int
+    size: int
+
+
+def stretches(sizes: list[tuple[str, int]]) -> list[Stretch]:
+    """The chroms of a file for these names and sizes, in order."""
+    out: list[Stretch] = []
+    for c, size in sizes:
+        for offset in range(0, size, STRETCH) if size > LONGEST else (0,):
+            out.append(Stretch(c, len(out), offset, min(STRETCH, size - offset) if size > LONGEST else size))
+    return out
+
+
 def layout(order: str, fields: list) -> np.dtype:
     return np.dtype([(n, order + t) for n, t in fields])
 
@@ -79,6 +106,14 @@ class File:
                     left.append(self.unpack("Q", place + key)[0])
         return out
 
+    def stretches(self) -> list[Stretch]:
+        """What chroms() gives, as stretches in the order of their numbers."""
+        out = []
+        for name, (number, size) in sorted(self.chroms().items(), key=lambda kv: kv[1][0]):
+            cut = re.fullmatch(r"(.*)\t(\d{5})", name, re.DOTALL)
+            out.append(Stretch(cut[1], number, int(cut[2]) * STRETCH, size) if cut else Stretch(name, number, 0, size))
+        return out
+
     def node(self, offset: int) -> tuple[bool, np.ndarray]:
         leaf, _, n = self.unpack("BBH", offset)
         kind = layout(self.order, LEAF if leaf else LEAF[:-1])
@@ -117,14 +152,16 @@ class Wanted:
             if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
                 self.high = min(self.high, v + (not at_end and not isinstance(f, LessThan)))
 
-    def of(self, entries: np.ndarray, known: dict[str, tuple[int, int]]) -> np.ndarray:
+    def of(self, entries: np.ndarray, known: list[Stretch]) -> np.ndarray:
         """Those entries of a node that can hold what is wanted."""
         c0, s0, c1, s1 = (entries[c].astype(np.int64) for c in ("c0", "s0", "c1", "s1"))
-        if self.chroms is None:
+        if self.chroms is None and not any(x.offset for x in known):
             use = np.where(c0 == c1, (s0 < self.high) & (s1 > self.low), (c1 - c0 > 1) | (s0 < self.high) | (s1 > self.low))
         else:
-            c = np.array([known[c][0] for c in self.chroms if c in known], np.int64)[:, None]
-            use = (((c0 < c) | ((c0 == c) & (s0 < self.high))) & ((c1 > c) | ((c1 == c) & (s1 > self.low)))).any(0)
+            these = [x for x in known if (self.chroms is None or x.chrom in self.chroms) and x.offset < self.high and x.offset + x.size > self.low]
+            c, offset = (np.array([getattr(x, name) for x in these], np.int64)[:, None] for name in ("number", "offset"))
+            low, high = self.low - offset, self.high - offset
+            use = (((c0 < c) | ((c0 == c) & (s0 < high))) & ((c1 > c) | ((c1 == c) & (s1 > low)))).any(0)
         return entries[use]
 
 
@@ -153,7 +190,7 @@ class Reader(DataSourceReader):
                 out.append(Leaves(path, []))
                 continue
             f = File(path)
-            known, level = f.chroms(), [f.root]
+            known, level = f.stretches(), [f.root]
             while level:
                 nodes = [f.node(o) for o in level[:1]]
                 if nodes[0][0]:
@@ -166,18 +203,21 @@ class Reader(DataSourceReader):
         if not partition.path:
             return
         f = File(partition.path)
-        known = f.chroms()
+        known = f.stretches()
         if self.sizes:
-            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([s for _, s in known.values()], pa.int64())], ["chrom", "size"])
+            sizes: dict[str, int] = {}
+            for x in known:
+                sizes[x.chrom] = max(sizes.get(x.chrom, 0), x.offset + x.size)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], ["chrom", "size"])
             return
-        names = pa.array([n for n, _ in sorted(known.items(), key=lambda kv: kv[1][0])], pa.string())
-        numbers = np.sort(np.array([k for k, _ in known.values()], np.int64))
+        names, numbers = pa.array([x.chrom for x in known], pa.string()), np.array([x.number for x in known], np.int64)
         held, rows = [], 0
         for offset in partition.offsets:
             for e in self.wanted.of(f.node(offset)[1], known):
                 chrom, start, end, value = f.block(int(e["offset"]), int(e["size"]))
                 self.blocks += 1
-                held.append((np.full(len(start), np.searchsorted(numbers, chrom)), start, end, value))
+                at = int(np.searchsorted(numbers, chrom))
+                held.append((np.full(len(start), at), start + known[at].offset, end + known[at].offset, value))
                 rows += len(start)
                 if rows >= ROWS:
                     yield self._batch(names, held)
@@ -256,6 +296,9 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         sizes = json.loads(options["sizes"])
         self.chroms = [(c, int(sizes[c])) for c in sorted(sizes, key=str.encode)]
+        if any("\t" in c for c in sizes):
+            raise ValueError("a chrom has a tab in its name")
+        self.stretches = stretches(self.chroms)
         self.parts, self.value = Parts(options["path"]), options.get("value", "value")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -265,6 +308,9 @@ class Writer(DataSourceArrowWriter):
         held: list[np.ndarray] = []
         items, last, first, totals = 0, (-1, 0), None, [0, np.inf, -np.inf, 0.0, 0.0]
         kind = layout("<", [("chrom", "u4"), *ITEMS[1]])
+        long = np.array([s > LONGEST for _, s in self.chroms], bool)
+        number_of = {x.chrom: x.number for x in reversed(self.stretches)}  # of the first stretch
+        base = np.array([number_of[c] for c, _ in self.chroms], np.int64)
 
         def put(x: np.ndarray) -> None:
             for at in np.split(x, np.flatnonzero(np.diff(x["chrom"])) + 1):  # a block has one chrom
@@ -286,7 +332,6 @@ class Writer(DataSourceArrowWriter):
             number = pa.compute.index_in(b.column("chrom"), names)
             if number.null_count:
                 raise ValueError("a chrom has no size")
-            x = np.zeros(b.num_rows, kind)
             chrom, start, end = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (number, b.column("start"), b.column("end")))
             if (start < 0).any() or (end <= start).any() or (end > limit[chrom]).any():
                 raise ValueError("an interval is empty or lies beyond its chrom")
@@ -294,7 +339,17 @@ class Writer(DataSourceArrowWriter):
             if ((chrom < before[0]) | ((chrom == before[0]) & (start < before[1]))).any():
                 raise ValueError("intervals overlap or aren't sorted by chrom and start")
             first, last = first or (int(chrom[0]), int(start[0])), (int(chrom[-1]), int(end[-1]))
-            x["chrom"], x["start"], x["end"], x["value"] = chrom, start, end, b.column(self.value).to_numpy(zero_copy_only=False)
+            value, at = b.column(self.value).to_numpy(zero_copy_only=False), np.arange(len(chrom))
+            stretch = np.where(long[chrom], start // STRETCH, 0)
+            over = np.where(long[chrom], (end - 1) // STRETCH, 0) - stretch
+            if over.any():  # intervals over borders are cut
+                at = np.repeat(at, over + 1)
+                stretch = stretch[at] + np.arange(len(at)) - np.searchsorted(at, at)
+            offset = stretch * STRETCH
+            begin = np.maximum(start[at] - offset, 0)
+            x = np.zeros(len(at), kind)
+            x["chrom"], x["start"], x["value"] = base[chrom[at]] + stretch, begin, value[at]
+            x["end"] = np.where(long[chrom[at]], np.minimum(end[at] - offset, STRETCH), end[at])
             items += len(x)
             held.append(x)
             if sum(map(len, held)) >= BLOCK:
@@ -318,7 +373,9 @@ class Writer(DataSourceArrowWriter):
                 raise ValueError("intervals of two tasks overlap; deal the rows out by ranges of chrom and start")
         items = sum(m.items for m in done)
         levels = [k for k in range(ZOOMS) if 0 < 2 * sum(m.zooms[k]["n"] for m in done) <= items]
-        self.parts.assemble(_file(self.chroms, done, levels))
+        cut = {x.chrom for x in self.stretches if x.offset}
+        named = [(f"{x.chrom}\t{x.offset // STRETCH:05}" if x.chrom in cut else x.chrom, x.size) for x in self.stretches]
+        self.parts.assemble(_file(named, done, levels))
 
     def abort(self, messages: list) -> None:
         self.parts.discard()

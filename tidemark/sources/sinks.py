@@ -41,7 +41,8 @@ def write_bigwig(df: DataFrame, path: str, value: str, sizes: DataFrame) -> None
     df.sparkSession.dataSource.register(BigWig)
     known = {r["chrom"]: r["size"] for r in sizes.collect()}  # one row a chrom
     x = df.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(value).cast("double").alias("value"))
-    x = x.join(sizes, "chrom").where("end <= size and value is not null").select("chrom", "start", "end", "value")
+    few = df.sparkSession.createDataFrame(list(known.items()), "chrom string, size bigint")
+    x = x.join(F.broadcast(few), "chrom").where("end <= size and value is not null").select("chrom", "start", "end", "value")  # not dealt by chrom
     x = x.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
     x.write.format("bigwig").mode("overwrite").option("sizes", json.dumps(known)).save(path)
 
