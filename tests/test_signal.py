@@ -204,6 +204,22 @@ def test_features(spark):
     assert np.allclose(got["chr2", 200][60:], 0.01)
 
 
+def test_features_of_deep_signal(spark, monkeypatch):
+    """Python sees each base's signal once, however many intervals lie there, and the features are those of their sum."""
+    track = spark.createDataFrame([("c", 10 * k, 10 * k + 1, float(1 + k % 3), s) for k in range(40) for s in "+-"], TRACK)
+    deep = track.crossJoin(spark.range(50)).withColumn("value", F.when(F.col("id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))).drop("id")
+    once = track.withColumn("value", F.col("value") * 50)
+    at = spark.createDataFrame([("c", 200), ("c", 215)], "chrom string, start long")
+    got, want = ({r["start"]: r["features"] for r in features.with_features(at, t, (10, 25), (4, 4)).collect()} for t in (deep, once))
+    assert got == want and len(got[200]) == 32 and max(got[215]) > 0.5
+    from pyspark.sql.group import GroupedData
+
+    seen, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: seen.append(other._df.count()) or cogroup(self, other))
+    features.with_features(at, deep, (10, 25), (4, 4))
+    assert seen == [40]
+
+
 def test_scan_rules(spark):
     """A plus-only contig, a tiny one, and one only the minus strand has."""
     rows = [("alone", 100, 300, 5.0, "+"), ("tiny", 0, 10, 9.0, "+"), ("minus", 10, 5000, 9.0, "-"), ("chr1", 1000, 1010, 1.0, "+"), ("chr1", 1020, 1030, -1.0, "-")]

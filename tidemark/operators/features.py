@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FLOOR_VALUE
+from .scan import dealt
 
 TILE = 1 << 20
 
@@ -38,13 +39,15 @@ def binned(prefix: np.ndarray, at: np.ndarray, windows, halves) -> np.ndarray:
 def with_features(positions: DataFrame, track: DataFrame, windows, halves, use: Callable[[np.ndarray], dict] | None = None, schema: str = "features array<double>", tile: int = TILE) -> DataFrame:
     """positions (chrom, start) with what ``use`` makes of their feature matrix (plus strand's features, then minus).
 
-    Signal goes to each tile it can reach, so a tile's positions see all they need: memory is one tile and its margins,
-    however large the chromosome, and the vectors themselves needn't be shuffled if ``use`` scores them here."""
+    Signal goes to each tile it can reach, so a tile's positions see all they need. Intervals of the same bases are summed there before
+    Python sees them: memory is one tile and its margins, however large the chromosome and deep the signal, and the vectors themselves needn't be shuffled if ``use`` scores them here."""
     far = reach(windows, halves)
     p = positions.select("chrom", "start", F.floor(F.col("start") / tile).alias("tile"))
     tiles = F.sequence(F.greatest(F.floor((F.col("start") - far - 1) / tile), F.lit(0)), F.floor((F.col("end") + far) / tile))
     s = track.where("end > start").select("chrom", F.explode(tiles).alias("tile"), "start", "end", F.abs("value").cast("double").alias("value"), "strand")
-    use = use or (lambda x: {"features": list(x)})
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("strand") == k, F.col("value"))), F.lit(0.0))
+    s = dealt(s, "chrom", "tile").groupBy("chrom", "tile", "start", "end").agg(of("+").alias("plus"), of("-").alias("minus"))
+    use = use or (lambda x: {"features": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), x.ravel())})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         centers = left["start"].to_numpy()
@@ -52,12 +55,11 @@ def with_features(positions: DataFrame, track: DataFrame, windows, halves, use:
         n = tile + 2 * far + 3
         signal = {k: np.zeros(n + 1) for k in "+-"}
         if right.num_rows:
-            start, end, value, strand = (right[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "value", "strand"))
+            start, end, *values = (right[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "plus", "minus"))
             a, b = np.clip(start - lo, 0, n), np.clip(end - lo, 0, n)
-            for k in "+-":
-                m = strand == k
-                np.add.at(signal[k], a[m], value[m])
-                np.add.at(signal[k], b[m], -value[m])
+            for k, value in zip("+-", values):
+                np.add.at(signal[k], a, value)
+                np.add.at(signal[k], b, -value)
         prefix = [np.concatenate([[0.0], np.cumsum(np.cumsum(signal[k]))]) for k in "+-"]
         order = np.argsort(centers, kind="stable")
         parts = [np.concatenate([binned(x, centers[order[i : i + 4096]] - lo, windows, halves) for x in prefix], 1) for i in range(0, len(order), 4096)]
