@@ -172,7 +172,8 @@ def noise_counts(spark, d):
 @query(f"""select chrom, pos start, pos + 1 "end", cast(sum(v) as double) "value", strand from ({LI}) group by all""")
 def bigwig_round_trip(spark, d):
     """Each strand of the track written as a bigWig file, sizes in its header, and both read back."""
-    t = tracks.lineitem_track(spark, d).groupBy("chrom", "start", "end", "strand").agg(F.sum("value").alias("value"))
+    base = ["chrom", "start", "end", "strand"]
+    t = scan.dealt(tracks.lineitem_track(spark, d), *base).groupBy(*base).agg(F.sum("value").alias("value"))
     t, strands = kept(t), []
     for strand in "+-":
         path = fresh_path(spark, "bw")
