@@ -51,6 +51,15 @@ def test_near_lines(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_blanks(spark, monkeypatch):
+    """Lines that differ in blanks alone are similar; equal lines are found without a pattern over every line."""
+    texts, plans, cut = ["a b c d e", " a  b\tc d e\r\na b c d e", "a b c d e \n \t", "f g"], [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, *more))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts) == ["a b c d e", "", " \t", "f g"]
+    assert "h1" in plans[0] and "regexp_replace" not in plans[0]
+
+
 def test_long_lines(spark):
     """Lines of thousands of words, beyond what the signatures can tell apart, and a document of many lines."""
     words = [f"w{i}" for i in range(5000)]

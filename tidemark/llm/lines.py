@@ -135,7 +135,8 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, v, line_no of every line with an earlier line of at least this similarity (a fraction). ``docs`` has doc_id, v (together unique) and text, no nulls."""
     num, den = similarity
     here = F.struct(*LINE)
-    hashed = cut(lines_of(docs).select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
+    raw = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    hashed = cut(raw.select(*LINE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))  # lines that differ in blanks alone meet later
     repeated = hashed.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     equal = cut(hashed.join(repeated.hint("merge"), ["h1", "h2"]).where(here != F.col("first")).select(*LINE))
     copies = equal.groupBy(*DOC).agg(F.collect_list("line_no").alias("copies"))
