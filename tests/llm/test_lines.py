@@ -60,6 +60,18 @@ def test_blanks(spark, monkeypatch):
     assert "h1" in plans[0] and "regexp_replace" not in plans[0]
 
 
+def test_rare_words_meet_once(spark, monkeypatch):
+    """Words of few lines are joined once for all; frequent words alone go through the rounds for groups."""
+    r, meetings, pairs = random.Random(3), [], lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda short, long, *more: meetings.append(long.count()) or pairs(short, long, *more))
+    texts = near(5, 300) + [" ".join(f"r{r.randint(0, 3000)}" for _ in range(30)) for _ in range(200)]
+    texts += [" ".join(t.split(" ")[:-2]) for t in texts[300:320]]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    rare, *frequent = meetings
+    assert rare > 1000 and len(frequent) == 2 and 0 < sum(frequent) < rare
+
+
 def test_long_lines(spark):
     """Lines of thousands of words, beyond what the signatures can tell apart, and a document of many lines."""
     words = [f"w{i}" for i in range(5000)]

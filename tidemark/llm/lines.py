@@ -12,9 +12,10 @@ Rarity comes from counts of all words of all different lines in SLOTS hashed slo
 A word that shares a slot with a frequent one stands later than it should, which costs some
 candidates and no pair, since any one order finds every pair.
 
-Of equal lines only the first goes on. Under each of its prefix's words every line is first held against the earliest
+Of equal lines only the first goes on. Words of few lines (below COMMON) are met first: all their lines are joined at once, which is at most
+256 comparisons a posting. Under each of the other words of its prefix every line is first held against the earliest
 line there and its neighbour, which finds most matches in a few comparisons a line, in groups of near copies above
-all. Lines are marked by that, then posted anew: those without a match meet all others, those
+all. Lines are marked by both, then posted anew under those words: those without a match meet all others, those
 that have one meet only those.
 
 Joins are merged at every size: what one table is small enough to broadcast in a test grows with the data.
@@ -37,6 +38,8 @@ SLOTS, BLOCK = 1 << 19, 1 << 10
 CLASS_BITS, CLASSES = 6, 64
 #: Words below this are of class 0, the only ones of their slots: no other line has them, so they are posted nowhere.
 ALONE = 1 << (63 - CLASS_BITS)
+#: Words from here on may be in 256 lines or more (their slots are of class 12 at least); those below are in fewer.
+COMMON = 12 << (63 - CLASS_BITS)
 #: Lines of more words have signatures of 128 bits, whose halves, added without carry, are the 64 bits of others.
 LONG = 96
 DOC = ["doc_id", "v"]
@@ -108,6 +111,12 @@ def _prefix(n: Column, num: int, den: int) -> Column:
     return (n - F.floor((num * n + (den - 1)) / den) + 1).cast("int")
 
 
+def _posts(prefixes: DataFrame) -> DataFrame:
+    """A row for each line and word of ``prefixes``, with the word's place in the line's order."""
+    x = prefixes.select(*LINE, "n", "sig", "more", "matched", "alone", F.posexplode("prefix").alias("at", "word"))
+    return x.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+
+
 def _pairs(short: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (line, a) of a line without a match and an earlier one that a word joins and the filters leave; of the shorter one the word stands in its short prefix."""
     a = short.where(f"at <= n - ceil({2 * num} * n / {num + den})").select("word", *[F.col(c).alias(f"a_{c}") for c in (*LINE, "n", "at", "sig", "more", "matched")])
@@ -152,25 +161,33 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     half = lambda k: bits(f"filter(w, x -> x & 64 = {k})")
     x = x.withColumn("sig", F.when(F.col("n") <= LONG, bits("w")).otherwise(half(0))).withColumn("more", F.when(F.col("n") > LONG, half(64)).otherwise(F.lit(0).cast("bigint")))
     x = x.select(*LINE, "n", "sig", "more", F.slice("w", F.lit(1), _prefix(F.col("n"), num, den)).alias("prefix"))
-    x = x.withColumn("alone", F.size(F.filter("prefix", lambda w: w < ALONE)))
+    x = x.withColumn("alone", F.when(F.get("prefix", F.lit(0)) < ALONE, F.size(F.filter("prefix", lambda w: w < ALONE))).otherwise(0))
     prefixes = cut(x.withColumn("prefix", F.slice("prefix", F.col("alone") + 1, F.size("prefix"))))
     done(lines)
 
-    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
-    x = prefixes.select(*LINE, "n", "sig", "more", "alone", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at") + F.col("alone"))
-    x = x.withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order)).select(*LINE, "n", "at", "sig", "more", F.explode(F.array("first", "last")).alias("a"))
-    x = x.where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
-    pairs = cut(x.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words")).distinct())
+    # few lines have a rare word, so all of them meet at once
+    rare = _posts(prefixes.withColumn("matched", F.lit(False))).where(F.col("word") < COMMON)
+    met = cut(_pairs(rare, rare, num, den))
     done()
+    often = F.filter("prefix", lambda w: w >= COMMON)
+    common = prefixes.where((F.size("prefix") > 0) & (F.get("prefix", F.size("prefix") - 1) >= COMMON))  # words are in order
+    common = cut(common.withColumn("alone", F.col("alone") + F.size("prefix") - F.size(often)).withColumn("prefix", often))
+    done(prefixes)
+
+    here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
+    x = _posts(common.withColumn("matched", F.lit(False))).withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order))
+    x = x.select(*LINE, "n", "at", "sig", "more", F.explode(F.array("first", "last")).alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
+    x = x.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words"))
+    pairs = cut(met.unionByName(x).distinct())
+    done(met)
     texts = cut(_texts(docs, pairs))
     found = cut(_matched(pairs, texts, num, den))
     done(texts)
 
     # marks go to lines, before these are posted
-    marked = cut(prefixes.join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
-    done(prefixes)
-    posts = marked.select(*LINE, "n", "sig", "more", "matched", "alone", F.posexplode("prefix").alias("at", "word"))
-    posts = posts.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+    marked = cut(common.join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    done(common)
+    posts = _posts(marked)
     single, matched = posts.where("not matched"), posts.where("matched")
     to_single = cut(_pairs(posts, single, num, den))
     done()  # one meeting's shuffle at a time
@@ -179,6 +196,8 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     more = to_single.unionByName(to_matched).distinct()
     more = cut(more.join(pairs.select("line", "a").hint("merge"), ["line", "a"], "left_anti"))
     done(pairs, to_single, to_matched)
+    if more.isEmpty():
+        return equal.unionByName(found)
     late = cut(_matched(more, _texts(docs, more), num, den))
     done(more)
     return equal.unionByName(found).unionByName(late)
