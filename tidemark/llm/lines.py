@@ -166,16 +166,13 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     done(lines)
 
     # few lines have a rare word, so all of them meet at once
-    rare = _posts(prefixes.withColumn("matched", F.lit(False))).where(F.col("word") < COMMON)
+    posts = _posts(prefixes.withColumn("matched", F.lit(False)))
+    rare, common = posts.where(F.col("word") < COMMON), posts.where(F.col("word") >= COMMON)
     met = cut(_pairs(rare, rare, num, den))
     done()
-    often = F.filter("prefix", lambda w: w >= COMMON)
-    common = prefixes.where((F.size("prefix") > 0) & (F.get("prefix", F.size("prefix") - 1) >= COMMON))  # words are in order
-    common = cut(common.withColumn("alone", F.col("alone") + F.size("prefix") - F.size(often)).withColumn("prefix", often))
-    done(prefixes)
 
     here, entry, in_order = F.struct(*LINE), F.struct(*LINE, "n", "at", "sig", "more"), Window.partitionBy("word").orderBy(*LINE)
-    x = _posts(common.withColumn("matched", F.lit(False))).withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order))
+    x = common.withColumn("first", F.first(entry).over(in_order)).withColumn("last", F.lag(entry).over(in_order))
     x = x.select(*LINE, "n", "at", "sig", "more", F.explode(F.array("first", "last")).alias("a")).where(f"a is not null and {_before('a.', '')} and {_may('a.', '', num, den)}")
     x = x.select(here.alias("line"), F.struct(*[F.col(f"a.{c}").alias(c) for c in LINE]).alias("a"), F.expr("n + a.n").alias("words"))
     pairs = cut(met.unionByName(x).distinct())
@@ -185,9 +182,9 @@ def removed(docs: DataFrame, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     done(texts)
 
     # marks go to lines, before these are posted
-    marked = cut(common.join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
-    done(common)
-    posts = _posts(marked)
+    marked = cut(prefixes.join(found.withColumn("m", F.lit(True)).hint("merge"), LINE, "left").withColumn("matched", F.col("m").isNotNull()).drop("m"))
+    done(prefixes)
+    posts = _posts(marked).where(F.col("word") >= COMMON)
     single, matched = posts.where("not matched"), posts.where("matched")
     to_single = cut(_pairs(posts, single, num, den))
     done()  # one meeting's shuffle at a time
